@@ -40,14 +40,18 @@ def word_matches(word: Column, model: CollapsedModel) -> Column:
     gmap = _gram_map(model)
     per_len = []
     for n in model.gram_lengths:
-        subs = F.transform(F.sequence(F.lit(1), F.length(word) - n + 1),
-                           lambda i, n=n: F.substring(word, i, n))
+        subs = F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), _substr_of(word, n))
         per_len.append(F.when(F.length(word) >= n,
                               F.filter(subs, lambda s: F.map_contains_key(gmap, s)))
                        .otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*per_len))
 
 
+def _substr_of(word: Column, n: int):
+    """A one-argument lambda (PySpark reads the arity) taking position -> substring."""
+    return lambda i: F.substring(word, i, n)
+
+
 def text_part(tokens: Column, model: CollapsedModel, denominator: str = ALL_TOKENS) -> Column:
     """struct(t0, t1, n_words, n_hit_words, grams): the text half of the logits."""
     gmap = _gram_map(model)
@@ -140,7 +144,7 @@ def score_text_by_join(pages: DataFrame, grams: DataFrame, id_col: str = "page_i
         id_col, "pos", F.explode(F.flatten(F.array(*[
             F.when(F.length("word") >= n,
                    F.transform(F.sequence(F.lit(1), F.length("word") - n + 1),
-                               lambda i, n=n: F.substring("word", i, n)))
+                               _substr_of(F.col("word"), n)))
             .otherwise(F.array().cast("array<string>")) for n in lengths]))).alias("ngram"))
     n_grams = grams.count()
     g = F.broadcast(grams) if n_grams <= broadcast_limit else grams
