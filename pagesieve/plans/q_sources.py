@@ -1,3 +1,126 @@
-"""Queries."""
+"""Source and sink queries S1..S11."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import shared_dir
+from ..sources import files as FS
+from ..sources import model_io, tables
+from . import sqlparts as Q
+from .q_clean import ART_CTE
+from .registry import query
+
+SITES_CTE = """per_dom AS (SELECT source AS website, lang AS domain, count(*) AS n FROM documents GROUP BY 1, 2),
+dom AS (SELECT website, arg_max(domain, (n, domain)) AS domain FROM per_dom GROUP BY website),
+cls AS (SELECT website, count(*) FILTER (WHERE slop = 'Slop') AS n_slop, count(*) FILTER (WHERE slop = 'Non-Slop') AS n_ok
+        FROM art GROUP BY website),
+sites AS (SELECT dom.website AS website_name, dom.website || '.example.com' AS url, dom.domain,
+          CASE WHEN n_slop > n_ok THEN 'Slop' ELSE 'Non-Slop' END AS slop FROM dom JOIN cls USING (website))"""
+
+
+@query("s01_site_catalog", f"""WITH {ART_CTE}, {SITES_CTE}
+SELECT website_name, url, domain, slop FROM sites""")
+def s01_site_catalog(spark, sf_dir):
+    return tables.sites(spark, sf_dir)
+
+
+@query("s02_csv_roundtrip", f"""WITH {ART_CTE}
+SELECT website, url, length(text) AS n_chars, slop FROM art""")
+def s02_csv_roundtrip(spark, sf_dir):
+    """Write the article table as CSV (quoted multi-line fields) to the shared folder, read it back."""
+    a = tables.articles(spark, sf_dir).select(
+        "website", "title", "url", F.col("text").alias("content"), "domain", "slop")
+    path = shared_dir(spark, f"s02-{uuid.uuid4().hex}")
+    FS.write_article_csv(a, path)
+    back = FS.read_article_csv(spark, path)
+    return back.select("website", "url", F.length("content").cast("long").alias("n_chars"), "slop")
+
+
+@query("s03_labelled_dataset", """SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS label,
+  length(d.text) AS n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1)""")
+def s03_labelled_dataset(spark, sf_dir):
+    t = tables.train_table(spark, sf_dir)
+    return t.select("doc_id", "label", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("s04_partitioned_save")
+def s04_partitioned_save(spark, sf_dir):
+    """Append articles partitioned by domain to the shared folder, then count per partition."""
+    path = shared_dir(spark, f"s04-{uuid.uuid4().hex}")
+    FS.save_partitioned(tables.articles(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+DONE_RULE = "length(text) < 200"
+
+
+@query("s05_resume_sites", f"""WITH {ART_CTE}, {SITES_CTE},
+done AS (SELECT DISTINCT website FROM art WHERE {DONE_RULE})
+SELECT website_name, url, domain, slop FROM sites WHERE website_name NOT IN (SELECT website FROM done)""")
+def s05_resume_sites(spark, sf_dir):
+    """Sites still to fetch: the checkpoint holds the sites that already have a short article."""
+    a = tables.articles(spark, sf_dir)
+    done = a.where(F.length("text") < 200).select("website")
+    return FS.remaining_sites(tables.sites(spark, sf_dir), done)
+
+
+@query("s06_attach_catalog", f"""WITH {ART_CTE}, {SITES_CTE}
+SELECT art.doc_id, art.website, sites.domain AS site_domain, sites.slop AS site_slop
+FROM art JOIN sites ON art.website = sites.website_name""")
+def s06_attach_catalog(spark, sf_dir):
+    out = FS.attach_catalog(tables.articles(spark, sf_dir), tables.sites(spark, sf_dir))
+    return out.select("doc_id", "website", "site_domain", "site_slop")
+
+
+@query("s07_export_table", f"""WITH {ART_CTE}
+SELECT website, domain, slop, title, url, NULL::VARCHAR AS html_text, length(text) AS text_len FROM art""")
+def s07_export_table(spark, sf_dir):
+    e = FS.export_table(tables.articles(spark, sf_dir))
+    return e.select("website", "domain", "slop", "title", "url", "html_text",
+                    F.length("text").cast("long").alias("text_len"))
+
+
+@query("s08_model_relations")
+def s08_model_relations(spark, sf_dir):
+    """The model file as relations (n-gram table), joined to the pages that hold each gram."""
+    rel = model_io.model_relations(spark)
+    grams = rel["grams"]
+    p = tables.pages(spark, sf_dir).select(F.lower("html").alias("h"))
+    n = grams.count()
+    g = F.broadcast(grams) if n <= model_io.MAX_INLINE_GRAMS else grams
+    return p.join(g, F.instr(F.col("h"), F.col("ngram")) > 0).groupBy("ngram", "u0", "u1") \
+        .agg(F.count("*").alias("n_pages"))
+
+
+@query("s09_model_export")
+def s09_model_export(spark, sf_dir):
+    """Export the model to the shared folder as one JSON object and read it back (S8 + S9)."""
+    m = model_io.load_model(spark)
+    path = shared_dir(spark, f"s09-{uuid.uuid4().hex}")
+    model_io.write_model(m, spark, path)
+    back = model_io.model_relations(spark, path)["numeric"]
+    return back.select("pos", "feature", "w0", "w1", "mu", "sigma")
+
+
+@query("s10_parse_site_lines", f"""WITH {ART_CTE}, {SITES_CTE},
+ln AS (SELECT website_name || ' ' || url AS line FROM sites)
+SELECT line, CASE WHEN contains(line, ' ') THEN regexp_extract(line, '^(.*) [^ ]*$', 1) ELSE '' END AS website_name,
+  split_part(line, ' ', -1) AS url_parsed FROM ln""")
+def s10_parse_site_lines(spark, sf_dir):
+    s = tables.sites(spark, sf_dir).select(F.concat_ws(" ", "website_name", "url").alias("line"))
+    return FS.parse_site_lines(s)
+
+
+@query("s11_tag_and_union", f"""WITH {ART_CTE}
+SELECT doc_id, 'slop' AS Type FROM art WHERE slop = 'Slop'
+UNION ALL SELECT doc_id, 'human' FROM art WHERE slop = 'Non-Slop'""")
+def s11_tag_and_union(spark, sf_dir):
+    a = tables.articles(spark, sf_dir)
+    return FS.tag_and_union({"slop": a.where(F.col("slop") == "Slop").select("doc_id"),
+                             "human": a.where(F.col("slop") == "Non-Slop").select("doc_id")})
+
+
+_ = Q
