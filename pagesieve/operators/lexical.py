@@ -224,6 +224,8 @@ def ascending_tricolons(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     """X11: "x, y and z" with len y >= len x, len z > len y, each < 60 after stripping."""
     keep = keep or []
     s = docs.select(id_col, *keep, F.posexplode(PP.legacy_sentences(F.col(text))).alias("sent_pos", "s"))
+    # a match needs both literals: only such sentences meet the (backtracking) regex
+    s = s.where(F.col("s").contains(", ") & F.col("s").contains(" and "))
     parts = F.arrays_zip(T.extract_all(F.col("s"), TRICOLON, 1).alias("x"),
                          T.extract_all(F.col("s"), TRICOLON, 2).alias("y"),
                          T.extract_all(F.col("s"), TRICOLON, 3).alias("z"))
@@ -237,11 +239,27 @@ PHRASES = {
     "i_will": r"([^,]+)I will ([^,]+)",
     "is_not_about": r"([^,]+) is not about ([^,]+)",
 }
+# The two "([^,]+)<literal>([^,]+)" finders cannot cross a comma and a match
+# runs to the end of its comma-free segment, so their match count equals the
+# number of segments holding the literal with a character on each side. The
+# segment form is linear; the regex form backtracks quadratically.
+SEGMENT_LITERALS = {"i_will": "I will ", "is_not_about": " is not about "}
+
+
+def phrase_count(text: Column, key: str) -> Column:
+    if key in SEGMENT_LITERALS:
+        lit = SEGMENT_LITERALS[key]
+        import re as _re
+        rx = "(?s)." + _re.escape(lit) + "."
+        segs = F.split(text, ",", -1)
+        return F.when(text.contains(lit), F.size(F.filter(segs, lambda g: g.rlike(rx)))) \
+            .otherwise(F.lit(0)).cast("long")
+    return T.count_matches(text, PHRASES[key])
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Matches of the three phrase finders per text."""
-    return docs.select(id_col, *[T.count_matches(F.col(text), p).alias(k) for k, p in PHRASES.items()])
+    return docs.select(id_col, *[phrase_count(F.col(text), k).alias(k) for k in PHRASES])
 
 
 # --- M16, M18 ----------------------------------------------------------------
