@@ -59,13 +59,28 @@ def fnv1a64_hex(s: Column) -> Column:
 
 
 def bucket(s: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """``fnv1a64(s) mod buckets`` (unsigned), as a long."""
-    st = fnv1a64_state(s)
+    """``fnv1a64(s) mod buckets`` (unsigned), as a long.
+
+    As a single expression the state is inlined twice (hi and lo); in
+    DataFrame code prefer ``with_bucket``, which computes the state once.
+    """
+    return bucket_from_state(fnv1a64_state(s), buckets)
+
+
+def bucket_from_state(st: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
     b = F.lit(buckets).cast("long")
     two32 = F.lit((1 << 32) % buckets).cast("long")
     return F.pmod(F.pmod(st["hi"], b) * two32 + st["lo"], b)
 
 
+def with_bucket(df, gram_col: str, out: str = "bucket", buckets: int = DEFAULT_BUCKETS):
+    """Add ``out`` = bucket of ``gram_col``; the hash state is its own projection,
+    so it is computed once per row (not once per half, nor again in filters)."""
+    st = f"_{out}_fnv"
+    return df.withColumn(st, fnv1a64_state(F.col(gram_col))) \
+        .withColumn(out, bucket_from_state(F.col(st), buckets)).drop(st)
+
+
 FULL_TOKEN = rf"^__{P.W}+__$"
 
 

@@ -50,7 +50,7 @@ def word_grams(words: DataFrame, min_n: int, max_n: int, buckets: int = H.DEFAUL
     """Per distinct word: ``(word, gram_pos, ngram, bucket)``, hash 0 dropped."""
     dw = words.select("word").distinct()
     g = dw.select("word", F.posexplode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("gram_pos", "ngram"))
-    g = g.withColumn("bucket", H.bucket(F.col("ngram"), buckets))
+    g = H.with_bucket(g, "ngram", "bucket", buckets)
     return g.where(F.col("bucket") != 0)
 
 
@@ -91,7 +91,7 @@ def subword_mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gc = wc.select(F.explode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("ngram"), "n") \
         .groupBy("ngram").agg(F.sum("n").alias("count"))
     kept = gc.where(F.col("count") >= min_freq)
-    return kept.select(H.bucket(F.col("ngram"), buckets).alias("bucket")).distinct()
+    return H.with_bucket(kept.select("ngram"), "ngram", "bucket", buckets).select("bucket").distinct()
 
 
 def allow_list_grams(docs: DataFrame, grams: DataFrame, id_col: str = "page_id",

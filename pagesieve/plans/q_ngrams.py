@@ -57,7 +57,7 @@ _BENCH_WORDS_SQL = f"bw AS (SELECT DISTINCT unnest({_tokens_sql('text', None)})
 SELECT word, {sql_bucket('word')} AS bucket FROM bw""")
 def t01_bucket_hash(spark, sf_dir):
     w = _bench_words(spark, sf_dir)
-    return w.select("word", H.bucket(F.col("word"), B).alias("bucket"))
+    return H.with_bucket(w, "word", "bucket", B)
 
 
 @query("t02_word_ngrams", f"""WITH {_BENCH_WORDS_SQL}
