@@ -102,11 +102,12 @@ def _unescape_udf():
 
         import pandas as pd
 
-        @F.pandas_udf("string")
-        def _unescape(col: pd.Series) -> pd.Series:
+        def _unescape(col):
             return col.map(lambda v: None if v is None else _html.unescape(v))
 
-        _UNESCAPE = _unescape
+        # explicit hints (this module uses postponed annotations)
+        _unescape.__annotations__ = {"col": pd.Series, "return": pd.Series}
+        _UNESCAPE = F.pandas_udf(_unescape, "string")
     return _UNESCAPE
 
 
@@ -117,4 +118,4 @@ def py_strip(s) -> Column:
 
 # N15
 def squeeze_ws(s) -> Column:
-    return F.trim(F.lower(F.regexp_replace(_c(s), f"{P.S}+", " ")), " ")
+    return F.trim(F.lower(F.regexp_replace(_c(s), f"{P.S}+", " ")), F.lit(" "))

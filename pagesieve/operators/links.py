@@ -90,10 +90,11 @@ def resolve_url_exact(base, href) -> Column:
 
         import pandas as pd
 
-        @F.pandas_udf("string")
-        def _join(b: pd.Series, h: pd.Series) -> pd.Series:
+        def _join(b, h):
             return pd.Series([None if x is None or y is None else urljoin(x, y) for x, y in zip(b, h)])
 
+        _join.__annotations__ = {"b": pd.Series, "h": pd.Series, "return": pd.Series}
+        _join = F.pandas_udf(_join, "string")
         _URLJOIN = _join
     return _URLJOIN(_c(base), _c(href))
 
