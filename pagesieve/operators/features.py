@@ -27,13 +27,14 @@ def with_visible_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.withColumn("_html", html).withColumn("_text", T.visible_text("_html"))
 
 
-def feature_columns(html: Column, text: Column, tokens: Column) -> dict[str, Column]:
+def feature_columns(html: Column, text: Column, tokens: Column,
+                    paras: Column | None = None) -> dict[str, Column]:
     """The twelve model features as expressions over precomputed columns."""
     n_tok = F.size(tokens)
     html_len = F.length(html)
     text_len = F.length(text)
     n_tags = F.greatest(T.count_matches(html, P.TAG_OPEN), F.lit(1))
-    paras = T.paragraphs(text)
+    paras = T.paragraphs(text) if paras is None else paras
     n_paras = F.size(paras)
     piece_sum = F.aggregate(paras, F.lit(0).cast("long"),
                             lambda acc, p: acc + T.sentence_piece_count(p))
@@ -66,8 +67,8 @@ def page_features(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """
     keep = keep or []
     base = with_visible_text(pages.select(id_col, html_col, *keep), html_col)
-    base = base.withColumn("_tokens", T.word_tokens("_text"))
-    cols = feature_columns(F.col("_html"), F.col("_text"), F.col("_tokens"))
+    base = base.withColumn("_tokens", T.word_tokens("_text")).withColumn("_paras", T.paragraphs("_text"))
+    cols = feature_columns(F.col("_html"), F.col("_text"), F.col("_tokens"), F.col("_paras"))
     return base.select(id_col, *keep, *[cols[c].alias(c) for c in K.NUM_COLUMNS])
 
 

@@ -52,29 +52,42 @@ def _substr_of(word: Column, n: int):
     return lambda i: F.substring(word, i, n)
 
 
-def text_part(tokens: Column, model: CollapsedModel, denominator: str = ALL_TOKENS) -> Column:
-    """struct(t0, t1, n_words, n_hit_words, grams): the text half of the logits."""
-    gmap = _gram_map(model)
+def hit_words(tokens: Column, model: CollapsedModel) -> Column:
+    """Per token holding a kept gram: the list of its matches (repeats kept).
+
+    Tokens are first screened by one literal alternation (cached pattern), so
+    only candidate words are expanded into substrings.
+    """
     alt = P.literal_alternation(model.u.keys())
-    cand = F.filter(tokens, lambda t: t.rlike(alt))
-    words = F.transform(cand, lambda t: word_matches(t, model))
-    words = F.filter(words, lambda m: F.size(m) > 0)
+    shortest = min(model.gram_lengths)
+    cand = F.filter(tokens, lambda t: (F.length(t) >= shortest) & t.rlike(alt))
+    return F.filter(F.transform(cand, lambda t: word_matches(t, model)), lambda m: F.size(m) > 0)
+
+
+def text_part_from_hits(hits: Column, n_words: Column, model: CollapsedModel,
+                        denominator: str = ALL_TOKENS) -> Column:
+    """struct(t0, t1, n_words, n_hit_words, grams) from a materialized ``hit_words`` column."""
+    gmap = _gram_map(model)
 
     def word_mean(m, k):
         return F.aggregate(m, F.lit(0.0), lambda a, g: a + F.element_at(gmap, g)[k]) / F.size(m)
 
-    s0 = F.aggregate(words, F.lit(0.0), lambda a, m: a + word_mean(m, 0))
-    s1 = F.aggregate(words, F.lit(0.0), lambda a, m: a + word_mean(m, 1))
-    n_words = F.size(tokens)
-    n_hit = F.size(words)
+    s0 = F.aggregate(hits, F.lit(0.0), lambda a, m: a + word_mean(m, 0))
+    s1 = F.aggregate(hits, F.lit(0.0), lambda a, m: a + word_mean(m, 1))
+    n_hit = F.size(hits)
     den = n_words if denominator == ALL_TOKENS else n_hit
-    grams = F.array_sort(F.array_distinct(F.flatten(words)))
+    grams = F.array_sort(F.array_distinct(F.flatten(hits)))
     return F.struct(
         F.when(den > 0, s0 / den).otherwise(0.0).alias("t0"),
         F.when(den > 0, s1 / den).otherwise(0.0).alias("t1"),
         n_words.alias("n_words"), n_hit.alias("n_hit_words"), grams.alias("grams"))
 
 
+def text_part(tokens: Column, model: CollapsedModel, denominator: str = ALL_TOKENS) -> Column:
+    """The text half of the logits in one expression (prefer the staged form in plans)."""
+    return text_part_from_hits(hit_words(tokens, model), F.size(tokens), model, denominator)
+
+
 def as_float32(c: Column) -> Column:
     """The reference feeds features as float32: round to float, then widen."""
     return c.cast("float").cast("double")
@@ -106,12 +119,17 @@ def score_pages(pages: DataFrame, model: CollapsedModel, id_col: str = "page_id"
     """M14 + M15: one row per page with features, logits, probabilities and verdict."""
     keep = keep or []
     base = with_visible_text(pages.select(id_col, html_col, *keep), html_col)
+    # stage 2: tokenize once; stage 3: per-word gram hits once (each is reused)
     base = base.select(id_col, *keep, "_html", "_text",
                        T.word_tokens("_text").alias("_tokens"),
-                       T.model_tokens("_html").alias("_mtokens"))
-    fcols = feature_columns(F.col("_html"), F.col("_text"), F.col("_tokens"))
+                       T.model_tokens("_html").alias("_mtokens"),
+                       T.paragraphs("_text").alias("_paras"))
+    base = base.select(id_col, *keep, "_html", "_text", "_tokens", "_paras",
+                       hit_words(F.col("_mtokens"), model).alias("_hits"),
+                       F.size("_mtokens").alias("_nw"))
+    fcols = feature_columns(F.col("_html"), F.col("_text"), F.col("_tokens"), F.col("_paras"))
     stage = base.select(id_col, *keep, *[fcols[c].alias(c) for c in model.num_columns],
-                        text_part(F.col("_mtokens"), model, denominator).alias("_tp"))
+                        text_part_from_hits(F.col("_hits"), F.col("_nw"), model, denominator).alias("_tp"))
     feats = {c: F.col(c) for c in model.num_columns}
     z0 = F.col("_tp.t0") + numeric_part(feats, model, 0) + F.lit(float(model.bias[0]))
     z1 = F.col("_tp.t1") + numeric_part(feats, model, 1) + F.lit(float(model.bias[1]))
