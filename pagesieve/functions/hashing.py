@@ -36,20 +36,45 @@ def utf8_bytes(s: Column) -> Column:
     return F.when(n > 0, arr).otherwise(F.array().cast("array<long>"))
 
 
+def _fnv_step(acc: Column, b: Column) -> Column:
+    m = F.lit(MASK32).cast("long")
+    x = acc["lo"].bitwiseXOR(b)
+    xp = x * F.lit(FNV_PRIME_LOW)
+    lo = xp.bitwiseAND(m)
+    hi = (acc["hi"] * F.lit(FNV_PRIME_LOW) + F.shiftright(xp, 32) + F.shiftleft(x, 8)).bitwiseAND(m)
+    return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+
+def _code_points(s: Column) -> Column:
+    """array<long> of the code points of ``s`` (``ascii`` gives a character's code point)."""
+    n = F.length(s)
+    cps = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda i: F.ascii(F.substring(s, i, 1)).cast("long"))
+    return F.when(n > 0, cps).otherwise(F.array().cast("array<long>"))
+
+
 def fnv1a64_state(s: Column) -> Column:
-    """struct(hi, lo): the 64-bit FNV-1a state after all bytes of ``s``."""
+    """struct(hi, lo): the 64-bit FNV-1a state after all UTF-8 bytes of ``s``.
+
+    Folds over code points and feeds each one's 1-4 UTF-8 bytes (computed
+    arithmetically) into the FNV step, so no per-byte string work is needed.
+    """
     init = F.struct(F.lit(FNV_OFFSET_HI).cast("long").alias("hi"),
                     F.lit(FNV_OFFSET_LO).cast("long").alias("lo"))
-    m = F.lit(MASK32).cast("long")
 
-    def step(acc, b):
-        x = acc["lo"].bitwiseXOR(b)
-        xp = x * F.lit(FNV_PRIME_LOW)
-        lo = xp.bitwiseAND(m)
-        hi = (acc["hi"] * F.lit(FNV_PRIME_LOW) + F.shiftright(xp, 32) + F.shiftleft(x, 8)).bitwiseAND(m)
-        return F.struct(hi.alias("hi"), lo.alias("lo"))
+    def b(cp, shift, mask, lead):
+        return F.lit(lead) + F.shiftright(cp, shift).bitwiseAND(F.lit(mask))
+
+    def step(acc, cp):
+        one = _fnv_step(acc, cp)
+        two = _fnv_step(_fnv_step(acc, b(cp, 6, 0x1F, 0xC0)), b(cp, 0, 0x3F, 0x80))
+        three = _fnv_step(_fnv_step(_fnv_step(acc, b(cp, 12, 0x0F, 0xE0)), b(cp, 6, 0x3F, 0x80)),
+                          b(cp, 0, 0x3F, 0x80))
+        four = _fnv_step(_fnv_step(_fnv_step(_fnv_step(acc, b(cp, 18, 0x07, 0xF0)), b(cp, 12, 0x3F, 0x80)),
+                                   b(cp, 6, 0x3F, 0x80)), b(cp, 0, 0x3F, 0x80))
+        return (F.when(cp < 0x80, one).when(cp < 0x800, two).when(cp < 0x10000, three).otherwise(four))
 
-    return F.aggregate(utf8_bytes(s), init, step)
+    return F.aggregate(_code_points(s), init, step)
 
 
 def fnv1a64_hex(s: Column) -> Column:

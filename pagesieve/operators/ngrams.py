@@ -47,11 +47,20 @@ def word_occurrences(docs: DataFrame, id_col: str, text_col: str, max_token: int
 
 
 def word_grams(words: DataFrame, min_n: int, max_n: int, buckets: int = H.DEFAULT_BUCKETS) -> DataFrame:
-    """Per distinct word: ``(word, gram_pos, ngram, bucket)``, hash 0 dropped."""
+    """Per distinct word: ``(word, gram_pos, ngram, bucket)``, hash 0 dropped.
+
+    The hash and its zero filter live inside one array expression per word:
+    the FNV state is computed once per gram and no filter pushdown can
+    re-evaluate it.
+    """
     dw = words.select("word").distinct()
-    g = dw.select("word", F.posexplode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("gram_pos", "ngram"))
-    g = H.with_bucket(g, "ngram", "bucket", buckets)
-    return g.where(F.col("bucket") != 0)
+    grams = H.word_ngrams(F.col("word"), min_n, max_n)
+    with_state = F.transform(grams, lambda g, i: F.struct(i.alias("pos"), g.alias("g"),
+                                                          H.fnv1a64_state(g).alias("st")))
+    with_bucket = F.transform(with_state, lambda x: F.struct(
+        x["pos"].alias("gram_pos"), x["g"].alias("ngram"), H.bucket_from_state(x["st"], buckets).alias("bucket")))
+    kept = F.filter(with_bucket, lambda x: x["bucket"] != 0)
+    return dw.select("word", F.inline(kept))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
@@ -86,8 +95,10 @@ def subword_mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cap; above it, a reproducible md5 choice). Words are counted first, so a
     hot word is one partial aggregate per task, not one row per occurrence.
     """
-    toks = capped_tokens(split_tokens(F.col(text_col), preprocess), F.col(id_col), max_tok)
-    wc = docs.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # tokens as their own column: the cap reads them up to three times
+    staged = docs.select(id_col, split_tokens(F.col(text_col), preprocess).alias("_toks"))
+    toks = capped_tokens(F.col("_toks"), F.col(id_col), max_tok)
+    wc = staged.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     gc = wc.select(F.explode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("ngram"), "n") \
         .groupBy("ngram").agg(F.sum("n").alias("count"))
     kept = gc.where(F.col("count") >= min_freq)
