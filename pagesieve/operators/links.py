@@ -143,15 +143,19 @@ def top_article_links(pages: DataFrame, n: int = 15, id_col: str = "page_id",
                       url_col: str = "url", html_col: str = "html") -> DataFrame:
     """L4: the ``n`` best links per page by score, ties in page order, in-row."""
     arr = dedup_by_href(anchors(F.col(html_col)))
-    ranked = F.transform(arr, lambda a: F.struct(
-        (-article_score(a["href"], a["title"], resolve_url(F.col(url_col), a["href"]))).alias("neg"),
-        a["pos"].alias("pos"), a["title"].alias("title"),
+    resolved = F.transform(arr, lambda a: F.struct(
+        a["pos"].alias("pos"), a["href"].alias("href"), a["title"].alias("title"),
         resolve_url(F.col(url_col), a["href"]).alias("link")))
+    # the resolved links are a column of their own, so each url is resolved once
+    staged = pages.select(id_col, resolved.alias("_links"))
+    ranked = F.transform(F.col("_links"), lambda a: F.struct(
+        (-article_score(a["href"], a["title"], a["link"])).alias("neg"),
+        a["pos"].alias("pos"), a["title"].alias("title"), a["link"].alias("link")))
     top = F.slice(F.array_sort(ranked), 1, n)
     out = F.transform(top, lambda a, i: F.struct(
         (i + 1).alias("rank"), a["title"].alias("title"), a["link"].alias("link"),
         (-a["neg"]).alias("score")))
-    return pages.select(id_col, F.inline(out))
+    return staged.select(id_col, F.inline(out))
 
 
 # --- legacy link rule (L5, L6) ----------------------------------------------

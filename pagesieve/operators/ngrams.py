@@ -79,6 +79,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     return occ.join(wg, "word").select(id_col, "word_pos", "gram_pos", "ngram", "bucket")
 
 
+def encode_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
+                   max_n: int = 3, buckets: int = H.DEFAULT_BUCKETS, max_token: int | None = 200,
+                   mask: DataFrame | None = None, preprocess=None) -> DataFrame:
+    """Per text: kept id count, bucket sum and words holding ids.
+
+    Same numbers as aggregating ``encode``, but the ids are summarized per
+    distinct word first, so one row per word occurrence (not per id) is joined
+    and shuffled.
+    """
+    occ = word_occurrences(docs, id_col, text_col, max_token, preprocess)
+    wg = word_grams(occ, min_n, max_n, buckets)
+    if mask is not None:
+        wg = wg.join(F.broadcast(mask.select("bucket").distinct()), "bucket", "left_semi")
+    per_word = wg.groupBy("word").agg(F.count("*").alias("n_ids_w"), F.sum("bucket").alias("bucket_sum_w"))
+    return occ.join(per_word, "word").groupBy(id_col).agg(
+        F.sum("n_ids_w").alias("n_ids"), F.sum("bucket_sum_w").cast("long").alias("bucket_sum"),
+        F.count("*").alias("n_words_with_ids"))
+
+
 def raw_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
                max_n: int = 3, max_token: int | None = 200, preprocess=None) -> DataFrame:
     """``(id, word_pos, word, ngrams)`` without hashing (per-row expression)."""

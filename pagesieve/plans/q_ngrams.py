@@ -97,9 +97,7 @@ enc AS (SELECT occ.{id_col}, occ.word_pos, wk.gram_pos, wk.ngram, wk.bucket FROM
 SELECT doc_id, count(*) AS n_ids, sum(bucket)::BIGINT AS bucket_sum, count(DISTINCT word_pos) AS n_words_with_ids
 FROM enc GROUP BY doc_id""")
 def t04_encode(spark, sf_dir):
-    e = NG.encode(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4, B, 200)
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_ids"), F.sum("bucket").cast("long").alias("bucket_sum"),
-                                   F.countDistinct("word_pos").alias("n_words_with_ids"))
+    return NG.encode_summary(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4, B, 200)
 
 
 @query("t05_batch_encode_masked", f"""WITH {TRAIN_CTE}, {_mask_sql('tr', 'text', 4, 5, 10)},
@@ -109,8 +107,8 @@ def t05_batch_encode_masked(spark, sf_dir):
     """Mask built on the labelled texts (n-grams 4-5, min freq 10), then every text encoded."""
     tr = tables.train_table(spark, sf_dir)
     mask = NG.subword_mask(tr, "doc_id", "text", 4, 5, 10, B)
-    e = NG.encode(tr, "doc_id", "text", 4, 5, B, 200, mask=mask)
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_ids"), F.sum("bucket").cast("long").alias("bucket_sum"))
+    e = NG.encode_summary(tr, "doc_id", "text", 4, 5, B, 200, mask=mask)
+    return e.select("doc_id", "n_ids", "bucket_sum")
 
 
 @query("t07_raw_ngrams", f"""WITH occ AS (SELECT doc_id, unnest(tk) AS word, unnest(range(len(tk))) AS word_pos
