@@ -126,12 +126,41 @@ def first_model_preprocess(s, min_len: int = 4, max_len: int = 10) -> Column:
 # Legacy tokenizers.
 def legacy_paragraphs(s) -> Column:
     """Paragraph pieces ``(?:.*?)(?:\\n+|$)``: newline tail kept, a final empty piece."""
-    return T.extract_all(_c(s), r"(?:.*?)(?:\n+|$)")
+    return T.extract_all(_c(s), r"(?d)(?:.*?)(?:\n+|$)")
+
+
+SENTENCE_RULE = rf"(?d)(.*?[.!?])(?:{S}+|$)"
+
+
+def legacy_sentences_regex(s) -> Column:
+    """Sentences by the rule as one regex (quadratic on lines without a valid end)."""
+    return T.extract_all(_c(s), SENTENCE_RULE, 1)
 
 
 def legacy_sentences(s) -> Column:
-    """Sentences need a closing mark followed by whitespace or the end."""
-    return T.extract_all(_c(s), rf"(.*?[.!?])(?:{S}+|$)", 1)
+    """Sentences need a closing mark followed by whitespace or the end.
+
+    Same result as ``legacy_sentences_regex`` in linear time. A sentence never
+    crosses a newline, so each line is cut after its last valid end (one
+    anchored greedy match) before the rule runs, leaving no tail where every
+    start position would scan to the line end. The rule's trailing whitespace
+    run can cross lines: a line's first sentence loses its leading whitespace
+    exactly when the last non-blank character before the line is a mark.
+    """
+    lines = F.split(F.coalesce(_c(s), F.lit("")), "\n", -1)
+    last = F.transform(lines, lambda l: F.regexp_extract(l, rf"(?d)({NS}){S}*$", 1))
+    # carry[i]: last non-blank character before line i (lambdas only see their own element)
+    carry = F.aggregate(
+        last, F.struct(F.array().cast("array<string>").alias("c"), F.lit("").alias("p")),
+        lambda acc, x: F.struct(F.array_append(acc["c"], acc["p"]).alias("c"),
+                                F.when(x != "", x).otherwise(acc["p"]).alias("p")))["c"]
+    zipped = F.arrays_zip(lines.alias("l"), carry.alias("c"))
+    cut = F.transform(zipped, lambda z: F.struct(
+        F.regexp_extract(z["l"], rf"(?d)^(.*[.!?])(?={S}|$)", 1).alias("pre"),
+        z["c"].isin(".", "!", "?").alias("strip")))
+    per_line = F.transform(cut, lambda y: T.extract_all(
+        F.when(y["strip"], F.regexp_replace(y["pre"], rf"^{S}+", "")).otherwise(y["pre"]), SENTENCE_RULE, 1))
+    return F.flatten(per_line)
 
 
 def legacy_words(s) -> Column:
