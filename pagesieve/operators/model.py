@@ -296,6 +296,49 @@ def gram_diffs(enc: DataFrame, vocab: DataFrame, dense: Dense, occ: DataFrame, i
     return d.join(occ.select(id_col, "word_pos", "word"), [id_col, "word_pos"])
 
 
+def word_gram_diffs(occ: DataFrame, wg: DataFrame, vocab: DataFrame, dense: Dense) -> DataFrame:
+    """Per (distinct word, distinct gram): diff and the word's occurrence count.
+
+    A gram's diff depends only on its bucket, so every occurrence of a word
+    carries the same diffs: the impact studies need one row per distinct
+    (word, gram) weighted by the word count, not one row per occurrence.
+    """
+    E = dense.emb_size
+    wd = dense.W[:E, 1] - dense.W[:E, 0]
+    wc = occ.groupBy("word").agg(F.count("*").alias("n_occ"))
+    g = wg.select("word", "ngram", "bucket").dropDuplicates(["word", "ngram"])
+    d = g.join(vocab, "bucket").select("word", "ngram", sum(
+        (F.col(f"e{k}") * F.lit(float(wd[k])) for k in range(E)), F.lit(0.0)).alias("diff"))
+    return d.join(wc, "word")
+
+
+def gram_word_impact_weighted(wdiffs: DataFrame) -> DataFrame:
+    """E1 from per-word rows: the mean over occurrences is the gram's diff."""
+    return wdiffs.select("ngram", "word", F.col("diff").alias("impact"), F.col("n_occ").alias("n"))
+
+
+def gram_table_weighted(wdiffs: DataFrame, k: int = 50) -> DataFrame:
+    """E4 from per-word rows: weighted count, mean and sample std (0 for one value)."""
+    g = wdiffs.groupBy("ngram").agg(F.sum("n_occ").alias("count"),
+                                    F.sum(F.col("n_occ") * F.col("diff")).alias("s1"),
+                                    F.sum(F.col("n_occ") * F.col("diff") * F.col("diff")).alias("s2"))
+    mean = F.col("s1") / F.col("count")
+    var = (F.col("s2") - F.col("count") * mean * mean) / (F.col("count") - 1)
+    g = g.select("ngram", mean.alias("mean"),
+                 F.when(F.col("count") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0).alias("std"),
+                 "count")
+    return g.withColumn("abs_mean", F.abs("mean")).orderBy(F.desc(F.round("abs_mean", 12)), "ngram").limit(k)
+
+
+def word_strength_weighted(wdiffs: DataFrame, occ: DataFrame, k: int = 50) -> DataFrame:
+    """E5 from per-word rows: every occurrence of a word has the same summed diff."""
+    per_word = wdiffs.groupBy("word").agg(F.sum("diff").alias("avg_strength"))
+    wc = occ.groupBy("word").agg(F.count("*").alias("count"))
+    w = wc.join(per_word, "word", "left").na.fill(0.0, ["avg_strength"])
+    return w.withColumn("abs_strength", F.abs("avg_strength")).orderBy(
+        F.desc(F.round("abs_strength", 12)), "word").limit(k).select("word", "avg_strength", "count", "abs_strength")
+
+
 def gram_word_impact(diffs: DataFrame) -> DataFrame:
     """Mean diff and count per (gram, word)."""
     return diffs.groupBy("ngram", "word").agg(F.avg("diff").alias("impact"), F.count("*").alias("n"))

@@ -190,11 +190,13 @@ def m13_collapse(spark, sf_dir):
 # --- impact studies with the initial model ----------------------------------------------
 
 def _diffs(spark, sf_dir):
+    """Per distinct (word, gram) diffs with word counts (see ``word_gram_diffs``)."""
     docs = _train_docs(spark, sf_dir)
-    occ, enc = _encoding(spark, sf_dir, docs)
-    vocab = MD.init_vocab(enc, EMB, SEED)
+    occ = NG.word_occurrences(docs, "doc_id", "text", 200)
+    wg = NG.word_grams(occ, 3, 4, NG.H.DEFAULT_BUCKETS)
+    vocab = MD.init_vocab(wg, EMB, SEED)
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))
-    return MD.gram_diffs(enc, vocab, dense, occ), occ
+    return MD.word_gram_diffs(occ, wg, vocab, dense), occ
 
 
 def _wd_sql() -> str:
@@ -213,7 +215,7 @@ DIFF_CTE = (f"{TRAIN_CTE}, {_encode_sql('tr', 'doc_id', 'text', 3, 4, False)}, "
 SELECT ngram, word, round(avg(diff), 6) AS impact, count(*) AS n FROM diffs GROUP BY ngram, word""")
 def e01_gram_word_impact(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
-    return round_doubles(MD.gram_word_impact(d))
+    return round_doubles(MD.gram_word_impact_weighted(d))
 
 
 _BEST_SQL = (f"{DIFF_CTE}, imp AS (SELECT ngram, word, avg(diff) AS impact FROM diffs GROUP BY ngram, word), "
@@ -225,14 +227,14 @@ _BEST_SQL = (f"{DIFF_CTE}, imp AS (SELECT ngram, word, avg(diff) AS impact FROM
 SELECT ngram, word, round(impact, 6) AS impact FROM best""")
 def e02_best_word_per_gram(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
-    return round_doubles(MD.best_word_per_gram(MD.gram_word_impact(d)))
+    return round_doubles(MD.best_word_per_gram(MD.gram_word_impact_weighted(d)))
 
 
 @query("e03_top_impacts", f"""WITH {_BEST_SQL}
 SELECT ngram, word, round(impact, 6) AS impact FROM best ORDER BY round(abs(impact), 12) DESC, ngram LIMIT 100""")
 def e03_top_impacts(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
-    return round_doubles(MD.top_impacts(MD.best_word_per_gram(MD.gram_word_impact(d)), 100))
+    return round_doubles(MD.top_impacts(MD.best_word_per_gram(MD.gram_word_impact_weighted(d)), 100))
 
 
 @query("e04_gram_table", f"""WITH {DIFF_CTE},
@@ -242,7 +244,7 @@ SELECT ngram, round(mean, 6) AS mean, round(std, 6) AS std, count, round(abs(mea
 FROM g ORDER BY round(abs(mean), 12) DESC, ngram LIMIT 50""")
 def e04_gram_table(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
-    return round_doubles(MD.gram_table(d, 50))
+    return round_doubles(MD.gram_table_weighted(d, 50))
 
 
 @query("e05_word_strength", f"""WITH {DIFF_CTE},
@@ -253,7 +255,7 @@ SELECT word, round(avg_strength, 6) AS avg_strength, count, round(abs(avg_streng
 FROM w ORDER BY round(abs(avg_strength), 12) DESC, word LIMIT 50""")
 def e05_word_strength(spark, sf_dir):
     d, occ = _diffs(spark, sf_dir)
-    return round_doubles(MD.word_strength(d, occ, 50))
+    return round_doubles(MD.word_strength_weighted(d, occ, 50))
 
 
 # --- training runs (rows-only checks; unit tests compare one step with numpy) ------------
