@@ -15,5 +15,5 @@ def llm_query(name: str, sql: str | None = None):
 
 
 def load_queries() -> dict:
-    from . import kneser_ney, language, minhash, packing, secrets, sharding  # noqa: F401
+    from . import fingerprints, kneser_ney, language, minhash, packing, secrets, sharding  # noqa: F401
     return LLM_QUERIES
