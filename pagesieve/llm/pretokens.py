@@ -20,7 +20,7 @@ from . import vec
 
 LATIN = 0x250
 LETTER, NUMBER, SPACE, SIGN, EDGE = range(5)
-CACHE = 1 << 20   # distinct pre-tokens kept by a worker before it starts anew
+CACHE = 3 << 20   # distinct strings kept by a worker before it starts anew
 _U = np.uint64
 
 
@@ -83,11 +83,10 @@ def cuts(cp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class Encoder:
-    """Ids of blocks of texts; keeps the ids of pre-tokens met so far."""
+class IdPool:
+    """Id lists of strings by the strings' hash; starts anew beyond ``CACHE`` strings."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self):
         self._clear()
 
     def _clear(self):
@@ -96,6 +95,46 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def ids(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings one after another, and each one's number of ids.
+
+        ``encode`` gets the positions of strings not met before and returns their
+        ids one after another and the number of ids of each.
+        """
+        if len(self.known) > CACHE:
+            self._clear()
+        order = np.argsort(h)
+        s = h[order]
+        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+        each, first = s[new], order[new]
+        slot = np.empty(len(h), np.int64)
+        slot[order] = np.cumsum(new) - 1
+        at = np.searchsorted(self.known, each)
+        missing = np.ones(len(each), bool)
+        if len(self.known):
+            missing = self.known[np.minimum(at, len(self.known) - 1)] != each
+        if missing.any():
+            flat, size = encode(first[missing])
+            where = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.r_[self.pool, flat.astype(np.uint32)]
+            known = np.r_[self.known, each[missing]]
+            order = np.argsort(known, kind="stable")     # two ascending runs
+            self.known = known[order]
+            self.at, self.size = np.r_[self.at, where][order], np.r_[self.size, size][order]
+            at = np.searchsorted(self.known, each)
+        at = at[slot]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.at[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+class Encoder:
+    """Ids of blocks of texts; keeps the ids of pre-tokens met so far."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.known = IdPool()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         counts = np.zeros(len(texts), np.int64)
@@ -143,30 +182,13 @@ class Encoder:
         h = vec.mix(np.add.reduceat(_CODE[cp] * p[pos], start))
         real = cp[start] != LATIN
         start, seg, h = start[real], seg[real], h[real]
-        if len(self.known) > CACHE:
-            self._clear()
-        each, first, slot = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, each)
-        new = np.ones(len(each), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != each
-        if new.any():
-            f = first[new]
-            words = [text[a:b] for a, b in zip(start[f].tolist(), (start[f] + seg[f]).tolist(), strict=True)]
+
+        def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [text[a:b] for a, b in zip(start[at].tolist(), (start[at] + seg[at]).tolist(), strict=True)]
             got = [e.ids for e in tokenizer(self.path).encode_batch(words, add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
-            where = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.r_[self.pool, flat]
-            known = np.r_[self.known, each[new]]
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.at, self.size = np.r_[self.at, where][order], np.r_[self.size, size][order]
-            at = np.searchsorted(self.known, each)
-        at = at[slot]
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            return np.fromiter((x for g in got for x in g), np.uint32, int(size.sum())), size
+        ids, size = self.known.ids(h, fresh)
         bounds = np.searchsorted(start, edges)
-        total = np.r_[0, ends]
+        total = np.r_[0, np.cumsum(size)]
         return ids, np.diff(np.r_[0, total[bounds]])

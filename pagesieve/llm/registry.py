@@ -15,5 +15,5 @@ def llm_query(name: str, sql: str | None = None):
 
 
 def load_queries() -> dict:
-    from . import ann, fingerprints, kneser_ney, language, minhash, packing, secrets, sharding  # noqa: F401
+    from . import ann, fingerprints, kneser_ney, language, minhash, packing, pieces, secrets, sharding, urls  # noqa: F401
     return LLM_QUERIES
