@@ -329,7 +329,7 @@ MIN_SCORE = 0.25
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows stay if their text has a language that covers at least a quarter of its letters."""
-    model = train(docs.where(~held_out()))
+    model = train(docs)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -63,40 +63,40 @@ class DoubleArray:
                     value.append(-1)
                 node = nxt
             value[node] = v
-        size = max((max(x) for x in children if x), default=0) + 2 * len(children) + 2
-        base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
-        out = np.full(size, -1, np.int32)
+        top = max((max(x) for x in children if x), default=0)
+        size = 2 * (top + len(children)) + 2
+        base, check, out = (np.full(size, f, np.int32) for f in (0, -1, -1))
         check[0] = 0                         # the root's place
-        place, free = {0: 0}, 1
+        place, low = {0: 0}, 1
         todo = [0]
         for node in todo:                    # parents before children
             codes = sorted(children[node])
             if not codes:
                 continue
-            while check[free] >= 0:
-                free += 1
-            b = max(1, free - codes[0])
+            while check[low] >= 0:
+                low += 1
             arr = np.array(codes)
-            while True:
-                top = b + codes[-1]
-                if top >= len(check):
-                    grow = top + len(check)
-                    base, out = (np.r_[x, np.full(grow, f, np.int32)] for x, f in ((base, 0), (out, -1)))
-                    check = np.r_[check, np.full(grow, -1, np.int32)]
-                if (check[b + arr] < 0).all():
+            at, span = max(low, codes[0] + 1), 1024
+            while True:                      # the first free slot at which all children find room
+                if at + span + top >= len(check):
+                    base, check, out = (np.r_[x, np.full(span + len(x), f, np.int32)]
+                                        for x, f in ((base, 0), (check, -1), (out, -1)))
+                slots = at + np.flatnonzero(check[at:at + span] < 0)
+                fits = slots[(check[slots[:, None] + (arr - codes[0])] < 0).all(1)]
+                if len(fits):
+                    b = int(fits[0]) - codes[0]
                     break
-                b += 1
-            at = place[node]
-            base[at] = b
+                at, span = at + span, span * 2
+            here = place[node]
+            base[here] = b
             for c in codes:
                 child = children[node][c]
-                check[b + c] = at
+                check[b + c] = here
                 out[b + c] = value[child]
                 place[child] = b + c
                 todo.append(child)
         last = int(np.flatnonzero(check >= 0)[-1]) + 1
-        pad = max((max(x) for x in children if x), default=0) + 1
-        fit = lambda x, f: np.r_[x[:last], np.full(pad, f, np.int32)]
+        fit = lambda x, f: np.r_[x[:last], np.full(top + 1, f, np.int32)]
         self.base, self.check, self.value = fit(base, 0), fit(check, -1), fit(out, -1)
 
 
@@ -281,14 +281,14 @@ def decode(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(read_vocabulary(path))
+_ENCODERS: dict[str, PieceEncoder] = {}      # a worker's, by the vocabulary's place
 
 
-def _encode(path: str):
+def _encode(path: str, shared):
     def run(batches):
-        e = _encoder(path)
+        e = _ENCODERS.get(path)
+        if e is None:
+            e = _ENCODERS[path] = PieceEncoder(shared.value)
         for b in vec.blocks(batches):
             texts = vec.strings(b.column("text")).to_pylist()
             ids, counts = e.encode(texts)
@@ -315,15 +315,17 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    path = path or vocabulary()
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))   # as large as the vocabulary
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(_encode(path or vocabulary()), f"id {kind}, n_ids long, ids array<int>, ids_crc32 long, "
+            .mapInArrow(_encode(path, shared), f"id {kind}, n_ids long, ids array<int>, ids_crc32 long, "
                                                        "n_bytes long, decodes boolean")
             .withColumnRenamed("id", id_col))
 
 
-def _decode(path: str):
+def _decode(shared):
     def run(batches):
-        v = read_vocabulary(path)
+        v = shared.value
         for b in batches:
             lists = b.column("ids")
             counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
@@ -335,8 +337,9 @@ def _decode(path: str):
 def decode_pieces(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id, text`` of lists of ids; a null list gives an empty text."""
     kind = rows.schema[id_col].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path or vocabulary()))
     return (rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-            .mapInArrow(_decode(path or vocabulary()), f"id {kind}, text string").withColumnRenamed("id", id_col))
+            .mapInArrow(_decode(shared), f"id {kind}, text string").withColumnRenamed("id", id_col))
 
 
 @llm_query("op5_sentencepiece")

@@ -135,7 +135,8 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     if sample.select("label").distinct().count() < 2:
         return UrlModel(stats, prior, None)
     trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2,
-                          maxBins=32, seed=17).fit(sample)
+                          maxBins=32,
+                          minInstancesPerNode=50, seed=17).fit(sample)
     return UrlModel(stats, prior, trees)
 
 
