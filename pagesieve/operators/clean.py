@@ -3,8 +3,9 @@
 Skew: a duplicate key (a text copied many times, one site holding a third of
 the rows) must not land in one task. Counts per key are partial aggregations
 (map-side combine); "first row per key" is ``min(id)`` per key joined back on
-the unique id, never a window over the hot key. Exact splits rank rows by a
-hash inside a globally range-partitioned sort, so no class is one task.
+the unique id, never a window over the hot key; text keys are grouped by a
+256-bit digest. Exact splits rank rows by a hash inside small cells of it, so no
+class is one task.
 """
 
 from __future__ import annotations
@@ -39,9 +40,14 @@ def fill_title(df: DataFrame, title: str = "title", fallback: str = "website") -
     return df.withColumn(title, F.coalesce(F.col(title), F.col(fallback)))
 
 
+def digest(df: DataFrame, key: str) -> Column:
+    """What equal keys are grouped by: the SHA-256 of a text (null stays null), else the key."""
+    return F.sha2(F.col(key), 256) if isinstance(df.schema[key].dataType, T.StringType) else F.col(key)
+
+
 def key_counts(df: DataFrame, key: str) -> DataFrame:
-    """Rows per key (nulls form one group, as pandas compares NaN equal here)."""
-    return df.groupBy(key).agg(F.count("*").alias("n"))
+    """``(key digest, n)``: rows per key (nulls form one group, as pandas compares NaN equal here)."""
+    return df.groupBy(digest(df, key).alias("_key")).agg(F.count("*").alias("n"))
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
@@ -55,13 +61,13 @@ def repeated_rows(df: DataFrame, key: str, id_col: str) -> DataFrame:
     Keys are counted with a partial aggregation; the repeated keys are joined
     back (AQE splits a hot key on the large side).
     """
-    rep = key_counts(df, key).where(F.col("n") > 1).select(key)
-    return df.join(rep, df[key].eqNullSafe(rep[key]), "left_semi")
+    rep = key_counts(df, key).where(F.col("n") > 1).select("_key")
+    return df.join(rep, digest(df, key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def first_per_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """Keep the first row (lowest id, i.e. file order) per key."""
-    firsts = df.groupBy(key).agg(F.min(id_col).alias(id_col)).select(id_col)
+    firsts = df.groupBy(digest(df, key)).agg(F.min(id_col).alias(id_col)).select(id_col)
     return df.join(firsts, id_col, "left_semi")
 
 
@@ -167,30 +173,32 @@ def hash_order_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def exact_rank(df: DataFrame, group: str | None, order: list[Column]) -> DataFrame:
-    """1-based rank of every row inside its group by ``order``, exactly, at scale.
+CELL_DIGITS = 4
+
+
+def exact_rank(df: DataFrame, group: str | None, key: Column, *ids: str) -> DataFrame:
+    """1-based rank of every row inside its group by (md5 ``key``, ids), exactly, at scale.
 
-    The rows are sorted globally (range partitioning, no single-task group),
-    tagged with ``monotonically_increasing_id`` and checkpointed so the ids are
-    stable; partition sizes give global positions, group starts give ranks.
+    Rows are counted per (group, first digits of the key); the running sum over a
+    group's cells (65,536 at most) gives each cell's offset, and rows are ranked
+    only inside their cell, so no group is one task. A null group is a group.
     """
-    g = F.col(group) if group else F.lit(0)
-    s = df.withColumn("_g", g).orderBy(F.col("_g"), *order).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
-    s = s.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
-        "_local", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = s.groupBy("_part").agg(F.count("*").alias("_n"))
-    offs = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
-    pos = s.join(F.broadcast(offs), "_part").withColumn("_pos", F.col("_off") + F.col("_local"))
-    starts = pos.groupBy("_g").agg(F.min("_pos").alias("_start"), F.count("*").alias("group_size"))
-    out = pos.join(F.broadcast(starts), "_g").withColumn("rank_in_group", F.col("_pos") - F.col("_start") + 1)
-    return out.drop("_g", "_mid", "_part", "_local", "_off", "_pos", "_start")
+    s = df.withColumns({"_g": F.col(group) if group else F.lit(0), "_k": key}).withColumn(
+        "_cell", F.substring("_k", 1, CELL_DIGITS))
+    cells = s.groupBy("_g", "_cell").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_g")
+    cells = cells.withColumns({"_off": F.sum("_n").over(by.orderBy("_cell")) - F.col("_n"),
+                               "group_size": F.sum("_n").over(by)}).select(
+        F.col("_g").alias("_cg"), F.col("_cell").alias("_cc"), "_off", "group_size")
+    out = s.join(cells, F.col("_g").eqNullSafe(F.col("_cg")) & (F.col("_cell") == F.col("_cc")))
+    local = F.row_number().over(Window.partitionBy("_g", "_cell").orderBy("_k", *ids))
+    return out.withColumn("rank_in_group", F.col("_off") + local).drop("_g", "_k", "_cell", "_cg", "_cc", "_off")
 
 
 def split_train_test(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "doc_id",
                      stratify: str | None = "label") -> DataFrame:
     """Exact reproducible split; ``ceil(test_size * n)`` rows per class go to test."""
-    r = exact_rank(df, stratify, [hash_order_key(seed, id_col), F.col(id_col)])
+    r = exact_rank(df, stratify, hash_order_key(seed, id_col), id_col)
     is_test = F.col("rank_in_group") <= F.ceil(F.col("group_size") * F.lit(test_size))
     return r.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))) \
         .drop("rank_in_group", "group_size")
@@ -198,6 +206,6 @@ def split_train_test(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_c
 
 def epoch_batches(df: DataFrame, epoch: int, batch_size: int = 32, id_col: str = "doc_id") -> DataFrame:
     """The epoch's shuffle order cut into consecutive batches."""
-    r = exact_rank(df, None, [hash_order_key(f"{epoch}-", id_col), F.col(id_col)])
+    r = exact_rank(df, None, hash_order_key(f"{epoch}-", id_col), id_col)
     return r.withColumn("batch_id", F.floor((F.col("rank_in_group") - 1) / batch_size).cast("long")) \
         .drop("rank_in_group", "group_size")

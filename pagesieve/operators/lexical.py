@@ -10,6 +10,8 @@ windows and the final aggregation all reuse.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,22 +85,46 @@ def vocab_compare(docs: DataFrame, text: str = "text", cls: str = "cls") -> Data
 
 # --- X3, X4 ------------------------------------------------------------------
 
-def word_list_from(texts: DataFrame, text: str = "text", top: int = 50) -> DataFrame:
-    """The ``top`` most frequent case-kept words of a text table (ties by word)."""
-    w = texts.select(F.explode(T.extract_all(F.col(text), P.WORD)).alias("word"))
-    c = w.groupBy("word").agg(F.count("*").alias("n"))
-    return c.orderBy(F.desc("n"), "word").limit(top).select("word")
+PIECE = f"{P.W}+|{P.NOT_W}+"
+
+
+def word_list_from(texts: DataFrame, text: str = "text") -> DataFrame:
+    """A word list out of a text table: all its case-kept words, and its two-word terms (one blank between)."""
+    words = T.extract_all(F.col(text), P.WORD)
+    terms = T.extract_all(F.col(text), f"{P.W}+ {P.W}+")
+    return texts.select(F.explode(F.concat(words, terms)).alias("word")).distinct()
 
 
-def word_list_hits(docs: DataFrame, wordlist: DataFrame, text: str = "text", cls: str = "cls") -> DataFrame:
-    """Whole-word, case-sensitive hits of each listed word per class (> 0).
+def word_list_hits(docs: DataFrame, wordlist: DataFrame, text: str = "text", cls: str = "cls",
+                   id_col: str = "doc_id") -> DataFrame:
+    """Whole-word, case-sensitive hits of each listed term per class (> 0).
 
-    One-word terms equal whole ``\\w+`` tokens, so this is a token join with
-    the (top-k bounded) word list.
+    A text is its maximal runs of word and other characters; a term that begins
+    and ends with a word character is found where its own runs equal as many runs
+    of the text. Hits of one term in one text do not overlap (the leftmost counts).
     """
-    toks = docs.select(cls, F.explode(T.extract_all(F.col(text), P.WORD)).alias("word"))
-    hits = toks.join(F.broadcast(wordlist.select("word").distinct()), "word")
-    return hits.groupBy("word", cls).agg(F.count("*").alias("n"))
+    sizes = sorted(r[0] for r in wordlist.select(F.size(T.extract_all(F.col("word"), PIECE))).distinct().collect())
+    if not sizes:
+        return docs.select(F.col(text).alias("word"), cls, F.lit(0).cast("long").alias("n")).limit(0)
+    runs = docs.select(id_col, cls, T.extract_all(F.col(text), PIECE).alias("_p"))
+    n = F.size("_p")
+    windows = [F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), _window(m)))
+               .otherwise(F.array().cast("array<struct<pos:int,size:int,word:string>>")) for m in sizes]
+    hits = (runs.select(id_col, cls, F.inline(F.flatten(F.array(*windows))))
+            .join(wordlist.select("word").distinct(), "word"))
+    one = hits.where("size = 1").groupBy("word", cls).agg(F.count("*").alias("n"))
+    many = hits.where("size > 1").groupBy("word", cls, id_col).agg(
+        F.sort_array(F.collect_list("pos")).alias("at"), F.first("size").alias("size"))
+    count = F.aggregate("at", F.struct(F.lit(0).alias("next"), F.lit(0).cast("long").alias("n")),
+                        lambda acc, x: F.when(x >= acc["next"], F.struct((x + F.col("size")).alias("next"),
+                                                                         (acc["n"] + 1).alias("n"))).otherwise(acc))
+    many = many.select("word", cls, count["n"].alias("n")).groupBy("word", cls).agg(F.sum("n").alias("n"))
+    return one.unionByName(many)
+
+
+def _window(m: int):
+    return lambda i: F.struct(i.alias("pos"), F.lit(m).alias("size"),
+                              F.array_join(F.slice("_p", i, m), "").alias("word"))
 
 
 def word_list_diff(hits: DataFrame, cls: str = "cls") -> DataFrame:
@@ -111,16 +137,27 @@ def word_list_diff(hits: DataFrame, cls: str = "cls") -> DataFrame:
 # --- X5, X6 ------------------------------------------------------------------
 
 def paragraph_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                        keep: list[str] | None = None) -> DataFrame:
-    """Legacy paragraphs with their sentences: ``(id, para_pos, paragraph, sentences)``."""
-    keep = keep or []
-    return docs.select(id_col, *keep, F.posexplode(PP.legacy_paragraphs(F.col(text))).alias("para_pos", "paragraph")) \
-        .withColumn("sentences", PP.legacy_sentences(F.col("paragraph")))
+                        cls: str = "cls") -> DataFrame:
+    """``(cls, paragraph, sentences)`` of each class's texts joined by newlines in id order.
+
+    The class text is never built: newlines before a text end the paragraph before
+    it, so a text gives its own paragraphs without leading newlines. The joined
+    text's end gives one empty paragraph per class, and so does its beginning if
+    the first text begins with a newline (or is empty and others follow).
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    pieces = PP.legacy_paragraphs(F.regexp_replace(t, "^\\n+", ""))
+    own = docs.select(cls, F.explode(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("paragraph"))
+    first = docs.groupBy(cls).agg(F.min_by(t, F.col(id_col)).alias("t"), F.count("*").alias("n"))
+    opens = F.col("t").startswith("\n") | ((F.col("t") == "") & (F.col("n") > 1))
+    empty = first.select(cls, F.explode(F.array_repeat(F.lit(""), F.when(opens, 2).otherwise(1))).alias("paragraph"))
+    return (own.select(cls, F.regexp_replace("paragraph", "\\n+$", "").alias("paragraph")).unionByName(empty)
+            .withColumn("sentences", PP.legacy_sentences(F.col("paragraph"))))
 
 
 def distributions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cls: str = "cls") -> DataFrame:
     """The three legacy series as long rows ``(cls, series, value)``."""
-    ps = paragraph_sentences(docs, id_col, text, [cls])
+    ps = paragraph_sentences(docs, id_col, text, cls)
     spp = ps.select(cls, F.lit("sentences_per_paragraph").alias("series"), F.size("sentences").alias("value"))
     sents = ps.select(cls, F.explode("sentences").alias("s"))
     words = sents.select(cls, PP.legacy_words(F.col("s")).alias("w"))
@@ -130,12 +167,12 @@ def distributions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", c
     return spp.unionByName(wps).unionByName(spw)
 
 
-def outlier_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+def outlier_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cls: str = "cls",
                        lo: int = 20, hi: int = 160) -> DataFrame:
-    """Paragraphs whose sentence count is below ``lo`` or above ``hi``."""
-    ps = paragraph_sentences(docs, id_col, text)
+    """Paragraphs (without their newlines) whose sentence count is below ``lo`` or above ``hi``."""
     n = F.size("sentences")
-    return ps.where((n < lo) | (n > hi)).select(id_col, "para_pos", n.alias("n_sentences"))
+    return paragraph_sentences(docs, id_col, text, cls).where((n < lo) | (n > hi)).select(
+        cls, "paragraph", n.alias("n_sentences"))
 
 
 # --- X7, X8 ------------------------------------------------------------------
@@ -246,20 +283,28 @@ PHRASES = {
 SEGMENT_LITERALS = {"i_will": "I will ", "is_not_about": " is not about "}
 
 
-def phrase_count(text: Column, key: str) -> Column:
-    if key in SEGMENT_LITERALS:
-        lit = SEGMENT_LITERALS[key]
-        import re as _re
-        rx = "(?s)." + _re.escape(lit) + "."
-        segs = F.split(text, ",", -1)
-        return F.when(text.contains(lit), F.size(F.filter(segs, lambda g: g.rlike(rx)))) \
-            .otherwise(F.lit(0)).cast("long")
-    return T.count_matches(text, PHRASES[key])
+def phrase_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, phrase, match_no, before, after)`` of the three phrase finders; the plain one has no groups."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    plain = F.transform(T.extract_all(t, PHRASES["that_is_not"]), lambda x: F.struct(
+        F.lit("that_is_not").alias("phrase"), F.lit("").alias("before"), F.lit("").alias("after")))
+    found = [F.transform(plain, lambda x, i: F.struct(i.alias("match_no"), x.alias("m")))]
+    for key, lit in SEGMENT_LITERALS.items():
+        rx = f"(?s)^(.+){re.escape(lit)}(.+)$"
+        segments = F.filter(F.split(t, ",", -1), _holds(rx))
+        found.append(F.transform(segments, _groups(key, rx)))
+    return docs.select(id_col, F.explode(F.flatten(F.array(*found))).alias("f")).select(
+        id_col, "f.m.phrase", "f.match_no", "f.m.before", "f.m.after")
+
+
+def _holds(rx: str):
+    return lambda g: g.rlike(rx)
 
 
-def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Matches of the three phrase finders per text."""
-    return docs.select(id_col, *[phrase_count(F.col(text), k).alias(k) for k in PHRASES])
+def _groups(key: str, rx: str):
+    return lambda g, i: F.struct(i.alias("match_no"), F.struct(
+        F.lit(key).alias("phrase"), F.regexp_extract(g, rx, 1).alias("before"),
+        F.regexp_extract(g, rx, 2).alias("after")).alias("m"))
 
 
 # --- M16, M18 ----------------------------------------------------------------
@@ -293,3 +338,16 @@ def legacy_score(feats: dict[str, Column]) -> Column:
     for w, k in zip(LEGACY_WEIGHTS, LEGACY_FEATURES):
         acc = acc + feats[k].cast("double") * F.lit(w)
     return acc
+
+
+def metrics(df, y: str, pred: str):
+    """Confusion counts, MSE and F1 in one aggregation."""
+    yc, pc = F.col(y), F.col(pred)
+    m = df.agg(F.count_if((yc == 1) & (pc == 1)).alias("tp"), F.count_if((yc == 0) & (pc == 1)).alias("fp"),
+               F.count_if((yc == 1) & (pc == 0)).alias("fn"), F.count_if((yc == 0) & (pc == 0)).alias("tn"),
+               F.avg((yc - pc) * (yc - pc)).alias("mse"))
+    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    return m.select(F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
+                    F.col("fn").cast("long").alias("fn"), F.col("tn").cast("long").alias("tn"),
+                    F.round("mse", 6).alias("mse"),
+                    F.round(F.when(den == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / den), 6).alias("f1"))

@@ -4,9 +4,8 @@ url policy lists and the scoring cascade.
 Per-page work (L1..L6) is done inside each page row: anchors are extracted,
 deduplicated by href with an in-row sort, scored and cut to the top N with
 array functions. A page is one row, so the whole chain is map-only and no
-link ever crosses an executor. Policy matching (L7..L10) is a semi join of
-urls against a pattern table: broadcast when the pattern count is below a
-checked limit, otherwise an exact equi-join on url substrings.
+link ever crosses an executor. Policy matching (L7..L10) is an equi-join of
+url substrings with a pattern table of any size.
 """
 
 from __future__ import annotations
@@ -23,11 +22,9 @@ ANCHOR_HREF = r"""(?is)^<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 ANCHOR_INNER = r"""(?is)^<a\s[^>]*>(.*)</a>$"""
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
-# Patterns above this count are not broadcast; they join on url substrings.
-MAX_BROADCAST_PATTERNS = 100_000
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -62,41 +59,36 @@ def dedup_by_href(arr: Column) -> Column:
     return F.array_sort(merged)
 
 
+def fold_path(path: Column, relative: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; empty segments inside go if it came from a relative href."""
+    parts = F.split(path, "/", -1)
+    n = F.size(parts)
+    parts = F.filter(parts, lambda x, i: ~relative | (x != "") | (i == 0) | (i == n - 1))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(
+        F.array_append(acc, x)))
+    last = F.element_at(parts, -1)
+    out = F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def resolve_url(base, href) -> Column:
-    """L2: ``urljoin`` for absolute, ``//x``, ``/x``, ``#x``, ``?x``, empty and relative
-    hrefs (no dot-segment folding; ``resolve_url_exact`` does that)."""
+    """L2: ``urljoin`` for absolute, ``//x``, ``/x``, ``#x``, ``?x``, empty and relative hrefs."""
     b, h = _c(base), _c(href)
     origin = F.regexp_extract(b, ORIGIN, 1)
     path = F.regexp_extract(b, PATH, 1)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     dir_ = F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise(F.lit("/"))
+    own = F.regexp_extract(h, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_replace(F.regexp_extract(h, r"(?s)^[^?#]*(.*)", 1), r"^\?(?=#|$)|#$", "")
+    rooted = h.startswith("/")
+    folded = fold_path(F.when(rooted, own).otherwise(F.concat(dir_, own)), ~rooted)
     return (F.when(h.rlike(SCHEME), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
             .when(h == "", b)
-            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "(?s)#.*$", ""), h))
-            .when(h.startswith("?"), F.concat(origin, path, h))
-            .otherwise(F.concat(origin, dir_, h)))
-
-
-_URLJOIN = None
-
-
-def resolve_url_exact(base, href) -> Column:
-    """L2 exact: stdlib ``urljoin`` as an Arrow-batched pandas UDF."""
-    global _URLJOIN
-    if _URLJOIN is None:
-        from urllib.parse import urljoin
-
-        import pandas as pd
-
-        def _join(b, h):
-            return pd.Series([None if x is None or y is None else urljoin(x, y) for x, y in zip(b, h)])
-
-        _join.__annotations__ = {"b": pd.Series, "h": pd.Series, "return": pd.Series}
-        _join = F.pandas_udf(_join, "string")
-        _URLJOIN = _join
-    return _URLJOIN(_c(base), _c(href))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "(?s)#.*$", ""), rest))
+            .when(h.startswith("?"), F.concat(origin, path, rest))
+            .otherwise(F.concat(origin, folded, rest)))
 
 
 def _any(col: Column, words, op) -> Column:
@@ -160,6 +152,7 @@ def top_article_links(pages: DataFrame, n: int = 15, id_col: str = "page_id",
 
 # --- legacy link rule (L5, L6) ----------------------------------------------
 
+# FIXED VALUES: the legacy link rule's titles and skipped parts.
 LEGACY_GENERIC_TITLES = ["Home", "About Us", "Contact Us", "Privacy Policy",
                          "Terms and Conditions", "Leave a comment", "Read more"]
 LEGACY_SKIP = ["/category", "/tag", "/about", "/contact", "/home", "/privacy", "/terms",
@@ -200,8 +193,8 @@ def dedup_first(arr: Column) -> Column:
 # --- policy lists, cascade (L7..L10, L12, L13) --------------------------------
 
 def host_of(url) -> Column:
-    """Lower-cased host; null when the url does not parse."""
-    return F.lower(F.try_parse_url(_c(url), F.lit("HOST")))
+    """Lower-cased host by pattern; null when there is none (browsers accept urls that strict parsers reject)."""
+    return F.nullif(F.lower(F.regexp_extract(_c(url), HOST, 1)), F.lit(""))
 
 
 def clean_list(lines: Column) -> Column:
@@ -218,40 +211,29 @@ def pattern_table(patterns: DataFrame, col: str = "pattern") -> DataFrame:
                       F.concat(F.lit("(?s)"), F.regexp_replace(esc, "%", ".*")).alias("rx"))
 
 
-def like_match_cond(value: Column, pat: DataFrame) -> Column:
-    """L7 per pattern row: wildcard -> regex search, else substring (both lower-cased)."""
-    v = F.lower(value)
-    return F.when(pat["wild"], F.rlike(v, pat["rx"])).otherwise(F.instr(v, pat["p"]) > 0)
-
-
-def matching_keys(spark: SparkSession, values: DataFrame, key: str, value_col: str,
-                  patterns: DataFrame, limit: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+def matching_keys(values: DataFrame, key: str, value_col: str, patterns: DataFrame) -> DataFrame:
     """L7 as a relation: distinct ``key`` whose ``value_col`` matches any pattern.
 
-    Small pattern tables (count checked) are broadcast into a nested-loop semi
-    join. Larger ones join exactly on substrings: a literal pattern must equal
-    one url substring of its own length; a wildcard pattern's longest literal
-    piece must, and the candidate pairs are then checked with the regex.
+    A literal pattern must equal one url substring of its own length; a wildcard
+    pattern's longest literal piece must, and the pairs found are then checked
+    with the regex. So no url meets every pattern, however many there are.
     """
     pat = pattern_table(patterns)
-    n = pat.count()
-    if n <= limit:
-        b = F.broadcast(pat)
-        return values.alias("v").join(b, like_match_cond(F.col(f"v.{value_col}"), b), "left_semi") \
-            .select(key).distinct()
-    piece = F.element_at(F.array_sort(F.transform(F.filter(F.split(F.col("p"), "%", -1), lambda s: s != ""),
-                                                  lambda s: F.struct((-F.length(s)).alias("k"), s.alias("s")))), 1)
+    piece = F.get(F.array_sort(F.transform(F.filter(F.split(F.col("p"), "%", -1), lambda s: s != ""),
+                                           lambda s: F.struct((-F.length(s)).alias("k"), s.alias("s")))), F.lit(0))
     keyed = pat.select("p", "wild", "rx", F.coalesce(piece.getField("s"), F.lit("")).alias("piece"))
     always = keyed.where(F.col("piece") == "")  # pattern of only '%': matches everything
     keyed = keyed.where(F.col("piece") != "")
     lens = [r[0] for r in keyed.select(F.length("piece")).distinct().collect()]
     v = values.select(key, F.lower(F.col(value_col)).alias("lv"))
+    if not lens:
+        return values.select(key).where(F.lit(not always.isEmpty())).distinct()
     subs = v.select(key, "lv", F.explode(F.flatten(F.array(*[
         F.when(F.length("lv") >= L, F.transform(F.sequence(F.lit(1), F.length("lv") - L + 1),
                                                 _sub(F.col("lv"), L))).otherwise(F.array().cast("array<string>"))
         for L in lens]))).alias("piece")).distinct()
     hit = subs.join(keyed, "piece").where(~F.col("wild") | F.rlike(F.col("lv"), F.col("rx"))).select(key)
-    if always.limit(1).count() > 0:
+    if not always.isEmpty():
         hit = hit.unionByName(values.select(key))
     return hit.distinct()
 
@@ -275,13 +257,12 @@ def policy_cascade(links: DataFrame, allow: DataFrame, deny: DataFrame, id_col:
     Allow and deny hits are computed once per distinct key by semi joins; the
     model score is only evaluated on rows that no earlier rule decided.
     """
-    spark = links.sparkSession
     base = links.select(id_col, url_col, html_col,
                         host_of(url_col).alias("_host"), F.lower(F.col(url_col)).alias("_href"))
     both = base.select(id_col, F.col("_href").alias("_v")).unionByName(
         base.where(F.col("_host").isNotNull()).select(id_col, F.col("_host").alias("_v")))
-    a_hit = matching_keys(spark, both, id_col, "_v", allow).select(id_col, F.lit(True).alias("_allow"))
-    d_hit = matching_keys(spark, both, id_col, "_v", deny).select(id_col, F.lit(True).alias("_deny"))
+    a_hit = matching_keys(both, id_col, "_v", allow).select(id_col, F.lit(True).alias("_allow"))
+    d_hit = matching_keys(both, id_col, "_v", deny).select(id_col, F.lit(True).alias("_deny"))
     j = base.join(a_hit, id_col, "left").join(d_hit, id_col, "left")
     rule = (F.when(F.col("_host").isNull(), F.lit("bad_url"))
             .when(F.col("_allow").isNotNull(), F.lit("allow"))

@@ -5,7 +5,7 @@ the word occurrences: a corpus has far fewer distinct words than tokens, and
 the occurrence side never needs grams materialized. Counting (T6) aggregates
 words first (partial aggregation absorbs hot words), then grams weighted by
 word counts. The bucket mask is bounded by the bucket count, so it may be
-broadcast; the distinct-word table is broadcast only below a checked size.
+broadcast; every other join is left to the optimizer's size estimates.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from ..functions import hashing as H
 from ..functions import patterns as P
 from ..functions import text as T
 
-MAX_BROADCAST_WORDS = 2_000_000
-
 
 def split_tokens(text: Column, preprocess: Callable[[Column], Column] | None = None) -> Column:
     """Model tokens of ``preprocess(lower(text))`` (word runs or symbol runs)."""
@@ -37,9 +35,9 @@ def capped_tokens(tokens: Column, key: Column, cap: int) -> Column:
     return F.when(F.size(tokens) <= cap, tokens).otherwise(picked)
 
 
-def word_occurrences(docs: DataFrame, id_col: str, text_col: str, max_token: int | None = 200,
+def word_occurrences(docs: DataFrame, id_col: str, text_col: str, max_token: int | None = None,
                      preprocess=None) -> DataFrame:
-    """``(id, word_pos, word)`` for the first ``max_token`` words of every text."""
+    """``(id, word_pos, word)`` of every text, or of its first ``max_token`` words if that is set."""
     toks = split_tokens(F.col(text_col), preprocess)
     if max_token is not None:
         toks = F.slice(toks, 1, max_token)
@@ -49,22 +47,17 @@ def word_occurrences(docs: DataFrame, id_col: str, text_col: str, max_token: int
 def word_grams(words: DataFrame, min_n: int, max_n: int, buckets: int = H.DEFAULT_BUCKETS) -> DataFrame:
     """Per distinct word: ``(word, gram_pos, ngram, bucket)``, hash 0 dropped.
 
-    The hash and its zero filter live inside one array expression per word:
-    the FNV state is computed once per gram and no filter pushdown can
-    re-evaluate it.
+    Words share n-grams, so the distinct n-grams are hashed once each and the
+    buckets joined back.
     """
     dw = words.select("word").distinct()
-    grams = H.word_ngrams(F.col("word"), min_n, max_n)
-    with_state = F.transform(grams, lambda g, i: F.struct(i.alias("pos"), g.alias("g"),
-                                                          H.fnv1a64_state(g).alias("st")))
-    with_bucket = F.transform(with_state, lambda x: F.struct(
-        x["pos"].alias("gram_pos"), x["g"].alias("ngram"), H.bucket_from_state(x["st"], buckets).alias("bucket")))
-    kept = F.filter(with_bucket, lambda x: x["bucket"] != 0)
-    return dw.select("word", F.inline(kept))
+    grams = dw.select("word", F.posexplode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("gram_pos", "ngram"))
+    hashed = H.with_bucket(grams.select("ngram").distinct(), "ngram", "bucket", buckets).where("bucket <> 0")
+    return grams.join(hashed, "ngram").select("word", "gram_pos", "ngram", "bucket")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
-           max_n: int = 3, buckets: int = H.DEFAULT_BUCKETS, max_token: int | None = 200,
+           max_n: int = 3, buckets: int = H.DEFAULT_BUCKETS, max_token: int | None = None,
            mask: DataFrame | None = None, preprocess=None) -> DataFrame:
     """T4/T5: long form ``(id, word_pos, gram_pos, ngram, bucket)`` of every kept id.
 
@@ -80,7 +73,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
 
 def encode_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
-                   max_n: int = 3, buckets: int = H.DEFAULT_BUCKETS, max_token: int | None = 200,
+                   max_n: int = 3, buckets: int = H.DEFAULT_BUCKETS, max_token: int | None = None,
                    mask: DataFrame | None = None, preprocess=None) -> DataFrame:
     """Per text: kept id count, bucket sum and words holding ids.
 
@@ -99,7 +92,7 @@ def encode_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def raw_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
-               max_n: int = 3, max_token: int | None = 200, preprocess=None) -> DataFrame:
+               max_n: int = 3, max_token: int | None = None, preprocess=None) -> DataFrame:
     """``(id, word_pos, word, ngrams)`` without hashing (per-row expression)."""
     occ = word_occurrences(docs, id_col, text_col, max_token, preprocess)
     return occ.withColumn("ngrams", H.word_ngrams(F.col("word"), min_n, max_n))
@@ -107,16 +100,16 @@ def raw_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def subword_mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_n: int = 3,
                  max_n: int = 3, min_freq: int = 2, buckets: int = H.DEFAULT_BUCKETS,
-                 max_tok: int = 200_000, preprocess=None) -> DataFrame:
+                 max_tok: int | None = None, preprocess=None) -> DataFrame:
     """Buckets holding an n-gram seen at least ``min_freq`` times over the corpus.
 
-    Per text at most ``max_tok`` tokens are counted (all of them below the
-    cap; above it, a reproducible md5 choice). Words are counted first, so a
-    hot word is one partial aggregate per task, not one row per occurrence.
+    All tokens count; with ``max_tok`` at most that many of each text, by a
+    reproducible md5 choice. Words are counted first, so a hot word is one
+    partial aggregate per task, not one row per occurrence.
     """
-    # tokens as their own column: the cap reads them up to three times
+    # tokens as their own column: a cap reads them up to three times
     staged = docs.select(id_col, split_tokens(F.col(text_col), preprocess).alias("_toks"))
-    toks = capped_tokens(F.col("_toks"), F.col(id_col), max_tok)
+    toks = F.col("_toks") if max_tok is None else capped_tokens(F.col("_toks"), F.col(id_col), max_tok)
     wc = staged.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     gc = wc.select(F.explode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("ngram"), "n") \
         .groupBy("ngram").agg(F.sum("n").alias("count"))
@@ -129,7 +122,7 @@ def allow_list_grams(docs: DataFrame, grams: DataFrame, id_col: str = "page_id",
     """Every substring of an allowed length that is in the allow list; repeats kept.
 
     ``(id, word_pos, ngram)``. The allow list is joined by equality on the
-    substring (broadcast: the list is a model vocabulary of checked size).
+    substring.
     """
     if lengths is None:
         lengths = [r[0] for r in grams.select(F.length("ngram")).distinct().collect()]
@@ -139,14 +132,9 @@ def allow_list_grams(docs: DataFrame, grams: DataFrame, id_col: str = "page_id",
         F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1),
                                                   H._sub_of(F.col("word"), n)))
         .otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]))).alias("ngram"))
-    n = grams.count()
-    g = grams.select("ngram").distinct()
-    g = F.broadcast(g) if n <= MAX_BROADCAST_WORDS else g
-    return subs.join(g, "ngram").select(id_col, "word_pos", "ngram")
+    return subs.join(grams.select("ngram").distinct(), "ngram").select(id_col, "word_pos", "ngram")
 
 
 def prune_vocabulary(encoded: DataFrame, chosen: DataFrame, key: str = "ngram") -> DataFrame:
-    """Keep only the chosen n-grams (semi join; the chosen set is small and checked)."""
-    n = chosen.count()
-    c = chosen.select(key).distinct()
-    return encoded.join(F.broadcast(c) if n <= MAX_BROADCAST_WORDS else c, key, "left_semi")
+    """Keep only the chosen n-grams."""
+    return encoded.join(chosen.select(key).distinct(), key, "left_semi")

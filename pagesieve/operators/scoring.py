@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import patterns as P
 from ..functions import text as T
-from ..sources.model_io import MAX_INLINE_GRAMS, CollapsedModel
+from ..sources.model_io import CollapsedModel
 from .features import feature_columns, with_visible_text
 
 ALL_TOKENS = "all_tokens"      # divide the text score by every token (Python scorer)
@@ -26,9 +26,6 @@ MATCHED_ONLY = "matched_only"  # divide by words holding a kept gram (browser sc
 
 
 def _gram_map(model: CollapsedModel) -> Column:
-    if len(model.u) > MAX_INLINE_GRAMS:
-        raise ValueError(f"{len(model.u)} grams exceed the inline limit {MAX_INLINE_GRAMS}; "
-                         "use score_text_by_join")
     kv = []
     for g, v in sorted(model.u.items()):
         kv += [F.lit(g), F.array(F.lit(float(v[0])), F.lit(float(v[1])))]
@@ -147,12 +144,11 @@ def score_pages(pages: DataFrame, model: CollapsedModel, id_col: str = "page_id"
 
 def score_text_by_join(pages: DataFrame, grams: DataFrame, id_col: str = "page_id",
                        html_col: str = "html", gram_lengths: list[int] | None = None,
-                       denominator: str = ALL_TOKENS, broadcast_limit: int = 1_000_000) -> DataFrame:
-    """M14 text half for any vocabulary size: explode tokens, join grams, aggregate.
+                       denominator: str = ALL_TOKENS) -> DataFrame:
+    """M14 text half with the grams as a table: explode tokens, join grams, aggregate.
 
-    The gram table is broadcast only when its row count is below
-    ``broadcast_limit``; otherwise the join shuffles on the gram text (AQE
-    splits skewed grams).
+    For vocabularies too large for a literal map; the optimizer picks the join
+    (AQE splits skewed grams).
     """
     lengths = gram_lengths or K.ALLOWED_GRAM_LENGTHS
     toks = pages.select(id_col, F.posexplode_outer(T.model_tokens(F.coalesce(F.col(html_col), F.lit(""))))
@@ -164,9 +160,7 @@ def score_text_by_join(pages: DataFrame, grams: DataFrame, id_col: str = "page_i
                    F.transform(F.sequence(F.lit(1), F.length("word") - n + 1),
                                _substr_of(F.col("word"), n)))
             .otherwise(F.array().cast("array<string>")) for n in lengths]))).alias("ngram"))
-    n_grams = grams.count()
-    g = F.broadcast(grams) if n_grams <= broadcast_limit else grams
-    per_word = subs.join(g, "ngram").groupBy(id_col, "pos").agg(
+    per_word = subs.join(grams, "ngram").groupBy(id_col, "pos").agg(
         F.avg("u0").alias("w0"), F.avg("u1").alias("w1"))
     per_page = per_word.groupBy(id_col).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1"),
                                             F.count("*").alias("n_hit_words"))
@@ -183,3 +177,8 @@ def band(score: Column) -> Column:
     for upper, label in K.SCORE_BANDS:
         out = F.when(score < upper, F.lit(label)) if out is None else out.when(score < upper, F.lit(label))
     return F.when(score.isNull(), F.lit(None).cast("string")).otherwise(out.otherwise(F.lit(K.TOP_BAND)))
+
+
+def with_band(scored: DataFrame, score: str) -> DataFrame:
+    """Rows with a score, and its band; rows without a score are dropped."""
+    return scored.where(F.col(score).isNotNull()).withColumn("band", band(F.col(score)))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions import preprocess as PP
 from ..operators import clean as CL
 from ..operators import lexical as LX
-from ..operators import reports as RP
 from ..sources import tables
 from . import sqlparts as Q
 from .common import round_doubles
@@ -51,14 +49,21 @@ def x02_vocab_compare(spark, sf_dir):
     return LX.vocab_compare(_cdocs(spark, sf_dir))
 
 
-_WORDLIST_SQL = f"""bwc AS (SELECT unnest({_words('text')}) AS word FROM benchmark),
-wl AS (SELECT word FROM (SELECT word, count(*) AS n FROM bwc GROUP BY word) ORDER BY n DESC, word LIMIT 50),
-hits AS (SELECT t.word, t.cls, count(*) AS n FROM (SELECT cls, unnest({_words('text')}) AS word FROM cdocs) t
-         JOIN wl USING (word) GROUP BY t.word, t.cls)"""
+_PIECES = f"regexp_extract_all(text, {Q.lit(LX.PIECE)})"
+_WORDLIST_SQL = f"""wl AS (SELECT DISTINCT unnest(list_concat({_words('text')}, regexp_extract_all(text, {Q.lit(f'{P.W}+ {P.W}+')}))) AS word
+  FROM benchmark),
+pc AS (SELECT cls, doc_id, unnest(p) AS x, unnest(range(len(p))) AS pos FROM (SELECT cls, doc_id, {_PIECES} AS p FROM cdocs)),
+win AS (SELECT cls, doc_id, pos, x AS word, 1 AS size FROM pc UNION ALL
+  SELECT cls, doc_id, pos, x || lead(x, 1) OVER w || lead(x, 2) OVER w, 3 FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+oc AS (SELECT word, cls, doc_id, any_value(size) AS size, list(pos ORDER BY pos) AS poss FROM win JOIN wl USING (word)
+  GROUP BY word, cls, doc_id),
+hits AS (SELECT word, cls, CAST(sum(list_reduce(poss, lambda acc, x: CASE WHEN x >= acc.next
+    THEN {{'next': x + size, 'n': acc.n + 1}} ELSE acc END, {{'next': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}}).n) AS BIGINT) AS n
+  FROM oc GROUP BY word, cls)"""
 
 
 def _hits(spark, sf_dir):
-    wl = LX.word_list_from(tables.load(spark, sf_dir, "benchmark"), "text", 50)
+    wl = LX.word_list_from(tables.load(spark, sf_dir, "benchmark"), "text")
     return LX.word_list_hits(_cdocs(spark, sf_dir), wl)
 
 
@@ -75,8 +80,9 @@ def x04_word_list_diff(spark, sf_dir):
     return LX.word_list_diff(_hits(spark, sf_dir)).select("word", F.col("diff").cast("long").alias("diff"))
 
 
-_PARA_SQL = f"""pp AS (SELECT doc_id, cls, unnest(pl) AS paragraph, unnest(range(len(pl))) AS para_pos
-  FROM (SELECT doc_id, cls, regexp_extract_all(text, {Q.lit('(?:.*?)(?:' + chr(10) + '+|$)')}) AS pl FROM cdocs))"""
+# The classes' texts joined by newlines, cut as one text each.
+_PARA_SQL = f"""joined AS (SELECT cls, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM cdocs GROUP BY cls),
+pp AS (SELECT cls, unnest(regexp_extract_all(t, {Q.lit('(?:.*?)(?:' + chr(10) + '+|$)')})) AS paragraph FROM joined)"""
 
 
 @query("x05_distributions", f"""WITH {CDOCS}, {_PARA_SQL},
@@ -107,12 +113,12 @@ def x05_distribution_stats(spark, sf_dir):
 
 
 @query("x06_outlier_paragraphs", f"""WITH {CDOCS}, {_PARA_SQL}
-SELECT doc_id, para_pos, len({_sents('paragraph')}) AS n_sentences FROM pp
-WHERE len({_sents('paragraph')}) < 20 OR len({_sents('paragraph')}) > 160""")
+SELECT cls, regexp_replace(paragraph, '\\n+$', '') AS paragraph, len({_sents('paragraph')}) AS n_sentences, count(*) AS n FROM pp
+WHERE len({_sents('paragraph')}) < 20 OR len({_sents('paragraph')}) > 160 GROUP BY ALL""")
 def x06_outlier_paragraphs(spark, sf_dir):
     out = LX.outlier_paragraphs(_cdocs(spark, sf_dir))
-    return out.select("doc_id", F.col("para_pos").cast("long").alias("para_pos"),
-                      F.col("n_sentences").cast("long").alias("n_sentences"))
+    return out.groupBy("cls", "paragraph", F.col("n_sentences").cast("long").alias("n_sentences")).agg(
+        F.count("*").alias("n"))
 
 
 def _tag_case(w: str) -> str:
@@ -204,10 +210,19 @@ def x11_ascending_tricolons(spark, sf_dir):
     return out.select("doc_id", F.col("sent_pos").cast("long").alias("sent_pos"), "x", "y", "z")
 
 
+_SEG_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, '{k}' AS phrase, unnest(range(len(l))) AS match_no, unnest(list_transform(l, lambda x: regexp_extract(x, {rx}, 1))) AS before,
+  unnest(list_transform(l, lambda x: regexp_extract(x, {rx}, 2))) AS after
+FROM (SELECT doc_id, list_filter(string_split(text, ','), lambda x: regexp_matches(x, {rx})) AS l FROM cdocs)"""
+    for k, rx in ((k, Q.lit(f"(?s)^(.+){x}(.+)$")) for k, x in LX.SEGMENT_LITERALS.items()))
+
+
 @query("x12_phrase_finders", f"""WITH {CDOCS}
-SELECT doc_id, {', '.join(f"{Q.count_re('text', p)} AS {k}" for k, p in LX.PHRASES.items())} FROM cdocs""")
+SELECT doc_id, 'that_is_not' AS phrase, unnest(range(len(regexp_extract_all(text, 'that is not')))) AS match_no,
+  '' AS before, '' AS after FROM cdocs
+UNION ALL {_SEG_SQL}""")
 def x12_phrase_finders(spark, sf_dir):
-    return LX.phrase_counts(_cdocs(spark, sf_dir))
+    return LX.phrase_matches(_cdocs(spark, sf_dir)).withColumn("match_no", F.col("match_no").cast("long"))
 
 
 # --- legacy model over 5 equal chunks of every labelled article ------------------
@@ -281,22 +296,6 @@ def m19_legacy_metrics(spark, sf_dir):
     sc = c.select("doc_id", "chunk_no", F.when(F.col("cls") == "slop", 0).otherwise(1).alias("y"),
                   F.when(s >= LX.LEGACY_THRESHOLD, 1).otherwise(0).alias("pred"),
                   F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string")).alias("key"))
-    r = CL.exact_rank(sc, None, [CL.hash_order_key(42, "key"), F.col("doc_id"), F.col("chunk_no")])
+    r = CL.exact_rank(sc, None, CL.hash_order_key(42, "key"), "doc_id", "chunk_no")
     te = r.where(F.col("rank_in_group") <= F.ceil(F.col("group_size") * F.lit(0.2)))
-    return metrics(te, "y", "pred")
-
-
-def metrics(df, y: str, pred: str):
-    """Confusion counts, MSE and F1 in one aggregation."""
-    yc, pc = F.col(y), F.col(pred)
-    m = df.agg(F.count_if((yc == 1) & (pc == 1)).alias("tp"), F.count_if((yc == 0) & (pc == 1)).alias("fp"),
-               F.count_if((yc == 1) & (pc == 0)).alias("fn"), F.count_if((yc == 0) & (pc == 0)).alias("tn"),
-               F.avg((yc - pc) * (yc - pc)).alias("mse"))
-    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return m.select(F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
-                    F.col("fn").cast("long").alias("fn"), F.col("tn").cast("long").alias("tn"),
-                    F.round("mse", 6).alias("mse"),
-                    F.round(F.when(den == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / den), 6).alias("f1"))
-
-
-_ = (PP, RP)
+    return LX.metrics(te, "y", "pred")

@@ -18,18 +18,31 @@ from .registry import query
 _STRIP = Q.lit(f"^{P.S}+|{P.S}+$")
 
 
+def sql_fold(path: str, relative: str) -> str:
+    parts = (f"list_filter(string_split({path}, '/'), lambda x, i: NOT {relative} OR x <> '' OR i = 1 "
+             f"OR i = len(string_split({path}, '/')))")
+    kept = (f"list_reduce({parts}, lambda acc, x: CASE WHEN x = '..' THEN acc[1:len(acc) - 1] "
+            "WHEN x = '.' THEN acc ELSE list_append(acc, x) END, []::VARCHAR[])")
+    tail = f"CASE WHEN ({parts})[-1] IN ('.', '..') THEN ['']::VARCHAR[] ELSE []::VARCHAR[] END"
+    return f"'/' || regexp_replace(array_to_string(list_concat({kept}, {tail}), '/'), '^/', '')"
+
+
 def sql_resolve(base: str, href: str) -> str:
     origin = f"regexp_extract({base}, {Q.lit(LK.ORIGIN)}, 1)"
     path = f"regexp_extract({base}, {Q.lit(LK.PATH)}, 1)"
     scheme = f"regexp_extract({base}, {Q.lit('^([A-Za-z][A-Za-z0-9+.-]*):')}, 1)"
     dir_ = f"(CASE WHEN contains({path}, '/') THEN regexp_extract({path}, '^(.*/)', 1) ELSE '/' END)"
+    own = f"regexp_extract({href}, '(?s)^([^?#]*)', 1)"
+    rest = (f"regexp_replace(regexp_replace(regexp_extract({href}, '(?s)^[^?#]*(.*)', 1), '^\\?(#|$)', '\\1'), "
+            "'#$', '')")
+    rooted = f"starts_with({href}, '/')"
+    folded = sql_fold(f"(CASE WHEN {rooted} THEN {own} ELSE {dir_} || {own} END)", f"(NOT {rooted})")
     return (f"(CASE WHEN regexp_matches({href}, {Q.lit(LK.SCHEME)}) THEN {href} "
             f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
-            f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
             f"WHEN {href} = '' THEN {base} "
-            f"WHEN starts_with({href}, '#') THEN regexp_replace({base}, '(?s)#.*$', '') || {href} "
-            f"WHEN starts_with({href}, '?') THEN {origin} || {path} || {href} "
-            f"ELSE {origin} || {dir_} || {href} END)")
+            f"WHEN starts_with({href}, '#') THEN regexp_replace({base}, '(?s)#.*$', '') || {rest} "
+            f"WHEN starts_with({href}, '?') THEN {origin} || {path} || {rest} "
+            f"ELSE {origin} || {folded} || {rest} END)")
 
 
 def anchors_cte() -> str:
@@ -65,7 +78,7 @@ def sql_article_score(href: str, title: str, link: str) -> str:
 
 def host_sql(url: str) -> str:
     return (f"nullif(lower(regexp_extract({url}, "
-            f"{Q.lit('^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)')}, 1)), '')")
+            f"{Q.lit(LK.HOST)}, 1)), '')")
 
 
 # --- L1..L6 -------------------------------------------------------------------
@@ -172,16 +185,17 @@ cas AS (SELECT lk.page_id, lk.url, CASE WHEN host IS NULL THEN 'bad_url'
 
 
 @query("l07_like_match", f"""WITH {_POLICY_SQL}
-SELECT page_id, list, count(*) AS n FROM hits GROUP BY page_id, list""")
+SELECT host, list, count(*) AS n FROM hits JOIN lk USING (page_id) GROUP BY host, list""")
 def l07_like_match(spark, sf_dir):
     allow, deny = policy_lists(spark, sf_dir)
     allow = LK.effective_allow_list(spark, allow)
     p = tables.pages(spark, sf_dir)
     vals = p.select("page_id", F.lower("url").alias("v")).unionByName(
         p.select("page_id", LK.host_of("url").alias("v")).where(F.col("v").isNotNull()))
-    a = LK.matching_keys(spark, vals, "page_id", "v", allow).select("page_id", F.lit("allow").alias("list"))
-    d = LK.matching_keys(spark, vals, "page_id", "v", deny).select("page_id", F.lit("deny").alias("list"))
-    return a.unionByName(d).groupBy("page_id", "list").agg(F.count("*").alias("n"))
+    a = LK.matching_keys(vals, "page_id", "v", allow).select("page_id", F.lit("allow").alias("list"))
+    d = LK.matching_keys(vals, "page_id", "v", deny).select("page_id", F.lit("deny").alias("list"))
+    hosts = p.select("page_id", LK.host_of("url").alias("host"))
+    return a.unionByName(d).join(hosts, "page_id").groupBy("host", "list").agg(F.count("*").alias("n"))
 
 
 @query("l08_url_host", f"""SELECT page_id, {host_sql('url')} AS host FROM pages""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import patterns as P
 from ..operators import explain as EX
+from ..operators import links as LK
 from ..operators import scoring as SC
 from ..sources import model_io, tables
 from . import sqlparts as Q
@@ -128,8 +129,7 @@ def m04_softmax(spark, sf_dir):
 
 
 def _host_sql(url: str) -> str:
-    return (f"lower(regexp_extract({url}, "
-            f"{Q.lit('^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)')}, 1))")
+    return f"nullif(lower(regexp_extract({url}, {Q.lit(LK.HOST)}, 1)), '')"
 
 
 @query("flagship_host_scores", f"""WITH {scored_sql_ctes(_M).replace(
@@ -145,7 +145,7 @@ def flagship_host_scores(spark, sf_dir):
 
 def host_scores(scored):
     """Per-host average slop probability and logit difference (map side partial agg)."""
-    host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
+    host = LK.host_of("url")
     return scored.groupBy(host.alias("host")).agg(
         F.count("*").alias("n_pages"),
         F.round(F.avg("p_slop"), 6).alias("avg_p_slop"),
@@ -270,7 +270,7 @@ def e12_page_report(spark, sf_dir):
 @query("l11_score_band", f"""WITH {scored_sql_ctes(_M)}
 SELECT page_id, round(1.0 - p_slop, 6) AS ok_score,
   CASE WHEN 1.0 - p_slop < 0.15 THEN 'Slop!' WHEN 1.0 - p_slop < 0.3 THEN 'Risk'
-       WHEN 1.0 - p_slop < 0.6 THEN 'Hmm' ELSE 'No Slop' END AS band FROM sv""")
+       WHEN 1.0 - p_slop < 0.6 THEN 'Hmm' ELSE 'No Slop' END AS band FROM sv WHERE p_slop IS NOT NULL""")
 def l11_score_band(spark, sf_dir):
-    s = _scored(spark, sf_dir).withColumn("ok_score", F.lit(1.0) - F.col("p_slop"))
-    return s.select("page_id", F.round("ok_score", 6).alias("ok_score"), SC.band(F.col("ok_score")).alias("band"))
+    s = SC.with_band(_scored(spark, sf_dir).withColumn("ok_score", F.lit(1.0) - F.col("p_slop")), "ok_score")
+    return s.select("page_id", F.round("ok_score", 6).alias("ok_score"), "band")

@@ -40,7 +40,7 @@ def sql_word_ngrams(w: str, min_n: int, max_n: int) -> str:
     return f"(CASE WHEN regexp_matches({w}, {Q.lit(H.FULL_TOKEN)}) THEN [{w}] ELSE {dist} END)"
 
 
-def _tokens_sql(text: str, cap: int | None = 200) -> str:
+def _tokens_sql(text: str, cap: int | None = None) -> str:
     t = f"regexp_extract_all(lower(coalesce({text}, '')), {Q.lit(P.MODEL_TOKEN)})"
     return f"({t})[1:{cap}]" if cap else t
 
@@ -84,7 +84,7 @@ def t06_subword_mask(spark, sf_dir):
 def _encode_sql(src: str, id_col: str, text: str, min_n: int, max_n: int, masked: bool) -> str:
     mask_join = "JOIN mask USING (bucket)" if masked else ""
     return f"""occ AS (SELECT {id_col}, unnest(tk) AS word, unnest(range(len(tk))) AS word_pos
-   FROM (SELECT {id_col}, {_tokens_sql(text, 200)} AS tk FROM {src})),
+   FROM (SELECT {id_col}, {_tokens_sql(text)} AS tk FROM {src})),
 dw AS (SELECT DISTINCT word FROM occ),
 wg AS (SELECT word, unnest(gl) AS ngram, unnest(range(len(gl))) AS gram_pos
    FROM (SELECT word, {sql_word_ngrams('word', min_n, max_n)} AS gl FROM dw)),
@@ -97,7 +97,7 @@ enc AS (SELECT occ.{id_col}, occ.word_pos, wk.gram_pos, wk.ngram, wk.bucket FROM
 SELECT doc_id, count(*) AS n_ids, sum(bucket)::BIGINT AS bucket_sum, count(DISTINCT word_pos) AS n_words_with_ids
 FROM enc GROUP BY doc_id""")
 def t04_encode(spark, sf_dir):
-    return NG.encode_summary(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4, B, 200)
+    return NG.encode_summary(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4, B)
 
 
 @query("t05_batch_encode_masked", f"""WITH {TRAIN_CTE}, {_mask_sql('tr', 'text', 4, 5, 10)},
@@ -107,16 +107,16 @@ def t05_batch_encode_masked(spark, sf_dir):
     """Mask built on the labelled texts (n-grams 4-5, min freq 10), then every text encoded."""
     tr = tables.train_table(spark, sf_dir)
     mask = NG.subword_mask(tr, "doc_id", "text", 4, 5, 10, B)
-    e = NG.encode_summary(tr, "doc_id", "text", 4, 5, B, 200, mask=mask)
+    e = NG.encode_summary(tr, "doc_id", "text", 4, 5, B, mask=mask)
     return e.select("doc_id", "n_ids", "bucket_sum")
 
 
 @query("t07_raw_ngrams", f"""WITH occ AS (SELECT doc_id, unnest(tk) AS word, unnest(range(len(tk))) AS word_pos
-   FROM (SELECT doc_id, {_tokens_sql('text', 200)} AS tk FROM documents)),
+   FROM (SELECT doc_id, {_tokens_sql('text')} AS tk FROM documents)),
 g AS (SELECT doc_id, {sql_word_ngrams('word', 3, 4)} AS gl FROM occ)
 SELECT doc_id, sum(len(gl))::BIGINT AS n_grams, count(*) AS n_words FROM g GROUP BY doc_id""")
 def t07_raw_ngrams(spark, sf_dir):
-    r = NG.raw_ngrams(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4, 200)
+    r = NG.raw_ngrams(tables.documents(spark, sf_dir), "doc_id", "text", 3, 4)
     return r.groupBy("doc_id").agg(F.sum(F.size("ngrams")).cast("long").alias("n_grams"),
                                    F.count("*").alias("n_words"))
 
@@ -130,11 +130,11 @@ def t08_allow_list_grams(spark, sf_dir):
 
 
 @query("t09_prune_vocabulary", f"""WITH u(ngram) AS (VALUES {', '.join(f'({Q.lit(g)})' for g in sorted(_M.u))}),
-occ AS (SELECT unnest({_tokens_sql('text', 200)}) AS word FROM documents),
+occ AS (SELECT unnest({_tokens_sql('text')}) AS word FROM documents),
 g AS (SELECT unnest({sql_word_ngrams('word', 4, 10)}) AS ngram FROM occ)
 SELECT ngram, count(*) AS n FROM g WHERE ngram IN (SELECT ngram FROM u) GROUP BY ngram""")
 def t09_prune_vocabulary(spark, sf_dir):
     grams = model_io.gram_table(spark, model_io.load_model(spark))
-    r = NG.raw_ngrams(tables.documents(spark, sf_dir), "doc_id", "text", 4, 10, 200)
+    r = NG.raw_ngrams(tables.documents(spark, sf_dir), "doc_id", "text", 4, 10)
     e = r.select(F.explode("ngrams").alias("ngram"))
     return NG.prune_vocabulary(e, grams).groupBy("ngram").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from ..operators import links as LK
 from ..session import shared_dir
 from ..sources import model_io, tables
 from ..streaming import stream as ST
-from .q_links import _POLICY_SQL, host_sql, policy_lists
+from .q_links import _POLICY_SQL, anchors_cte, policy_lists, sql_resolve
 from .q_model import _M, scored_sql_ctes
 from .registry import query
 
@@ -21,15 +21,21 @@ def _lists(spark, sf_dir):
     """Re-read the policy lists (W4): the user allow list, or the default when empty."""
     def read():
         allow, deny = policy_lists(spark, sf_dir)
-        allow = LK.effective_allow_list(spark, allow)
-        n = allow.count() + deny.count()
-        if n > ST.MAX_INLINE_PATTERNS:
-            raise ValueError("policy lists too large to inline")
-        return [r[0] for r in allow.collect()], [r[0] for r in deny.collect()]
+        return LK.effective_allow_list(spark, allow), deny
     return read
 
 
-@query("w01_stream_link_scores")
+_SCORES_SQL = f"""WITH {_POLICY_SQL},
+{scored_sql_ctes(_M)}
+SELECT cas.page_id, cas.url, cas.rule, round(CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END, 6) AS ok_score,
+  CASE WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.15 THEN 'Slop!'
+       WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.3 THEN 'Risk'
+       WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.6 THEN 'Hmm'
+       ELSE 'No Slop' END AS band
+FROM cas LEFT JOIN sv USING (page_id)"""
+
+
+@query("w01_stream_link_scores", _SCORES_SQL)
 def w01_stream_link_scores(spark, sf_dir):
     """Pages arrive as a file stream; cascade, score and band every link, one file batch at a time."""
     base = shared_dir(spark, f"w01-{uuid.uuid4().hex}")
@@ -42,14 +48,7 @@ def w01_stream_link_scores(spark, sf_dir):
                                                     "band")
 
 
-@query("w01_batch_twin", f"""WITH {_POLICY_SQL},
-{scored_sql_ctes(_M)}
-SELECT cas.page_id, cas.url, cas.rule, round(CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END, 6) AS ok_score,
-  CASE WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.15 THEN 'Slop!'
-       WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.3 THEN 'Risk'
-       WHEN (CASE rule WHEN 'deny' THEN 0.0 WHEN 'model' THEN 1.0 - sv.p_slop ELSE 1.0 END) < 0.6 THEN 'Hmm'
-       ELSE 'No Slop' END AS band
-FROM cas LEFT JOIN sv USING (page_id)""")
+@query("w01_batch_twin", _SCORES_SQL)
 def w01_batch_twin(spark, sf_dir):
     """The same cascade on the batch table (the stream's result must equal it)."""
     allow, deny = _lists(spark, sf_dir)()
@@ -57,13 +56,16 @@ def w01_batch_twin(spark, sf_dir):
     return out.select("page_id", "url", "rule", F.round("ok_score", 6).alias("ok_score"), "band")
 
 
-@query("w02_stream_dedup_links", f"SELECT DISTINCT {host_sql('url')} AS url FROM pages")
+@query("w02_stream_dedup_links", f"""WITH {anchors_cte()}
+SELECT DISTINCT {sql_resolve('url', 'href')} AS url FROM an""")
 def w02_stream_dedup_links(spark, sf_dir):
-    """Each host once: a stream of page hosts deduplicated (state keyed by host)."""
+    """Each link once: a stream of the pages' links, deduplicated within the watermark of their arrival time."""
     base = shared_dir(spark, f"w02-{uuid.uuid4().hex}")
     schema = tables.pages(spark, sf_dir).schema
-    s = ST.read_stream(spark, sf_dir, "pages", schema).select(LK.host_of("url").alias("url"), "page_id")
-    ST.run_to_parquet(ST.dedup_links(s, "url"), f"{base}/out", f"{base}/ckpt", "append")
+    s = ST.read_stream(spark, sf_dir, "pages", schema)
+    links = s.select("url", F.explode(LK.anchors(F.col("html"))).alias("a"), F.current_timestamp().alias("seen")).select(
+        LK.resolve_url(F.col("url"), F.col("a.href")).alias("url"), "seen")
+    ST.run_to_parquet(ST.dedup_links(links, "url", "seen"), f"{base}/out", f"{base}/ckpt", "append")
     return spark.read.parquet(f"{base}/out").select("url")
 
 

@@ -46,8 +46,8 @@ def _train_docs(spark, sf_dir):
 
 def _encoding(spark, sf_dir, docs=None):
     docs = docs if docs is not None else _train_docs(spark, sf_dir)
-    occ = NG.word_occurrences(docs, "doc_id", "text", 200)
-    enc = NG.encode(docs, "doc_id", "text", 3, 4, NG.H.DEFAULT_BUCKETS, 200)
+    occ = NG.word_occurrences(docs, "doc_id", "text")
+    enc = NG.encode(docs, "doc_id", "text", 3, 4, NG.H.DEFAULT_BUCKETS)
     return occ, enc
 
 
@@ -192,7 +192,7 @@ def m13_collapse(spark, sf_dir):
 def _diffs(spark, sf_dir):
     """Per distinct (word, gram) diffs with word counts (see ``word_gram_diffs``)."""
     docs = _train_docs(spark, sf_dir)
-    occ = NG.word_occurrences(docs, "doc_id", "text", 200)
+    occ = NG.word_occurrences(docs, "doc_id", "text")
     wg = NG.word_grams(occ, 3, 4, NG.H.DEFAULT_BUCKETS)
     vocab = MD.init_vocab(wg, EMB, SEED)
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))

@@ -49,13 +49,15 @@ def get_spark(master: str | None = None, app: str = "pagesieve",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...). Only a local
-    session without that setting (tests, bench) gets a fresh scratch folder.
+    On a cluster the setting names a shared folder (HDFS/S3/...) and is required.
+    Only a local session without it (tests, bench) gets a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         d = tempfile.mkdtemp(prefix="pagesieve-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

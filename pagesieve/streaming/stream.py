@@ -20,14 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import links as LK
 from ..operators import scoring as SC
 from ..sources.model_io import CollapsedModel
 
-# Policy lists inlined into one expression per micro-batch up to this many patterns.
-MAX_INLINE_PATTERNS = 10_000
-
 
 def read_stream(spark: SparkSession, directory: str, table: str, schema, max_files: int | None = None):
     """A file stream over ``<directory>/<table>.parquet`` (a single-file path fails)."""
@@ -37,56 +33,24 @@ def read_stream(spark: SparkSession, directory: str, table: str, schema, max_fil
     return r.parquet(directory)
 
 
-def like_any(value: Column, patterns: list[str]) -> Column:
-    """L7 as one expression: any pattern matches (blank never, % wildcard, else substring)."""
-    import re
-    v = F.lower(value)
-    conds = []
-    for raw in patterns:
-        p = raw.strip().lower()
-        if not p:
-            continue
-        if "%" in p:
-            rx = "(?s)" + ".*".join(re.escape(x) for x in p.split("%"))
-            conds.append(v.rlike(rx))
-        else:
-            conds.append(F.instr(v, F.lit(p)) > 0)
-    if not conds:
-        return F.lit(False)
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return F.coalesce(out, F.lit(False))
-
-
-def cascade_scores(batch: DataFrame, allow: list[str], deny: list[str], model: CollapsedModel,
+def cascade_scores(batch: DataFrame, allow: DataFrame, deny: DataFrame, model: CollapsedModel,
                    id_col: str = "page_id") -> DataFrame:
-    """L9 + M14 + L11 on one micro-batch: ``(id, url, rule, ok_score, band)``."""
-    host = LK.host_of("url")
-    href = F.lower(F.col("url"))
-    rule = (F.when(host.isNull(), F.lit("bad_url"))
-            .when(like_any(href, allow) | like_any(F.coalesce(host, F.lit("")), allow), F.lit("allow"))
-            .when(like_any(href, deny) | like_any(F.coalesce(host, F.lit("")), deny), F.lit("deny"))
-            .when(href.contains("google.com"), F.lit("google"))
-            .when(F.col("html").isNull() | (F.col("html") == ""), F.lit("no_html"))
-            .otherwise(F.lit("model")))
-    r = batch.select(id_col, "url", "html", rule.alias("rule"))
+    """L9 + M14 + L11 on one micro-batch: ``(id, url, rule, ok_score, band)``; the lists are tables of any size."""
+    r = LK.policy_cascade(batch, allow, deny, id_col=id_col)
     decided = r.where(F.col("rule") != "model").select(
         id_col, "url", "rule", F.when(F.col("rule") == "deny", 0.0).otherwise(1.0).alias("ok_score"))
     scored = SC.score_pages(r.where(F.col("rule") == "model"), model, id_col=id_col, keep=["url"]).select(
         id_col, "url", F.lit("model").alias("rule"), (F.lit(1.0) - F.col("p_slop")).alias("ok_score"))
     out = decided.unionByName(scored)
-    return out.withColumn("band", SC.band(F.col("ok_score")))
+    return SC.with_band(out, "ok_score")
 
 
 def start_link_scoring(stream: DataFrame, out_dir: str, checkpoint: str,
-                       lists: Callable[[], tuple[list[str], list[str]]], model: CollapsedModel,
+                       lists: Callable[[], tuple[DataFrame, DataFrame]], model: CollapsedModel,
                        available_now: bool = True, id_col: str = "page_id"):
     """W1 + W3 + W4: start the scoring stream; lists are re-read per micro-batch."""
     def write_batch(df: DataFrame, batch_id: int) -> None:
         allow, deny = lists()
-        if len(allow) + len(deny) > MAX_INLINE_PATTERNS:
-            raise ValueError("policy lists exceed the inline limit")
         res = cascade_scores(df, allow, deny, model, id_col)
         res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
@@ -120,5 +84,3 @@ def run_to_parquet(df: DataFrame, out_dir: str, checkpoint: str, mode: str = "ap
     q.awaitTermination()
     return q
 
-
-_ = T

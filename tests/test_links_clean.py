@@ -1,3 +1,4 @@
+import itertools
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
@@ -22,17 +23,34 @@ def test_resolve_url_matches_urljoin(spark):
     df = spark.createDataFrame([(base, h) for h in hrefs], "b string, h string")
     got = [r.u for r in df.select(LK.resolve_url(F.col("b"), F.col("h")).alias("u")).collect()]
     assert got == [urljoin(base, h) for h in hrefs]
-    exact = [r.u for r in df.select(LK.resolve_url_exact(F.col("b"), F.col("h")).alias("u")).collect()]
-    assert exact == [urljoin(base, h) for h in hrefs]
+
+
+def test_resolve_url_folds_dot_segments(spark):
+    parts = ["a", "b", ".", "..", "", "c.html"]
+    bases = ["http://h.org", "http://h.org/", "http://h.org/x", "http://h.org/x/y/", "http://h.org/x/y/z?q#f"]
+    hrefs = ["/".join(p) + tail for n in (1, 2, 3, 4) for p in itertools.product(parts, repeat=n)
+             for tail in (["", "?k=v#w"] if n < 3 else [""])]
+    pairs = [(b, h) for b in bases for h in hrefs if h and not h.startswith("//")]
+    df = spark.createDataFrame(pairs, "b string, h string")
+    for r in df.select("b", "h", LK.resolve_url(F.col("b"), F.col("h")).alias("u")).collect():
+        assert r.u == urljoin(r.b, r.h), (r.b, r.h)
+
+
+def test_host_of_urls_that_strict_parsers_reject(spark):
+    urls = {"http://a_b.Example.com/x": "a_b.example.com", "http://h.org/a b": "h.org", "http://h.org/?q={x}": "h.org",
+            "http://u:p@h.org:80/|": "h.org", "mailto:a@b.c": None, "": None, None: None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.h for r in df.select("u", LK.host_of("u").alias("h")).collect()} == urls
 
 
 def test_like_match_rules(spark):
     vals = spark.createDataFrame([(1, "https://Docs.Example.com/a"), (2, "http://spam-farm.example.org/x"),
                                   (3, "http://other.org/50%off")], "k long, v string")
     pats = spark.createDataFrame([("  EXAMPLE.COM ",), ("",), ("%spam%farm%",), ("50%off",)], "pattern string")
-    small = {r.k for r in LK.matching_keys(spark, vals, "k", "v", pats).collect()}
-    big = {r.k for r in LK.matching_keys(spark, vals, "k", "v", pats, limit=0).collect()}
-    assert small == big == {1, 2, 3}
+    assert {r.k for r in LK.matching_keys(vals, "k", "v", pats).collect()} == {1, 2, 3}
+    assert LK.matching_keys(vals, "k", "v", pats.where("pattern = ''")).collect() == []
+    everything = spark.createDataFrame([("%",)], "pattern string")
+    assert {r.k for r in LK.matching_keys(vals, "k", "v", everything).collect()} == {1, 2, 3}
 
 
 def test_default_allow_list_when_user_list_empty(spark):
@@ -75,3 +93,10 @@ def test_shared_prefix_against_brute_force(spark):
         others = [o for j, ww, o in rows if ww == w and j != i]
         best = max([len(os.path.commonprefix([t, o])) for o in others] or [0])
         assert got[i] == best, (i, got[i], best)
+
+
+def test_split_keeps_rows_without_a_class(spark):
+    df = spark.range(0, 20).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("label"))
+    rows = CL.split_train_test(df, 0.2, 42, "doc_id", "label").collect()
+    assert len(rows) == 20
+    assert sorted((str(r.label), r.split) for r in rows).count(("None", "test")) == 1
