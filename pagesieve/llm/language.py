@@ -122,9 +122,6 @@ class LetterWords:
             if n > 2:
                 broken = broken[:m] | edge[n - 2:n - 2 + m]
             ok = ~broken[:m] if n > 1 else ~edge[:m]
-            if n > 1:
-                ok &= ~(edge[:m] & edge[n - 1:])
-                ok |= False
             i = np.flatnonzero(ok)
             x = vec.mix(h[i] ^ _U(n))
             # a gram that begins with a separator belongs to the word after it

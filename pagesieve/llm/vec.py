@@ -111,7 +111,7 @@ class Words:
         heads = heads[heads < n]
         begins[heads] = solid[heads]          # a text begins a word of its own
         ends = solid.copy()
-        ends[:-1] &= ~solid[1:] | False
+        ends[:-1] &= ~solid[1:]
         tails = self.offs[1:]
         tails = tails[tails > 0] - 1
         ends[tails] = solid[tails]
