@@ -16,9 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     changes. Labels are written each round, never collected.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = write_table(both, "cc-links")
+    both = write_table(both, "cc-links", slim=True)
     labels = write_table(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("cid")).alias("comp")),
-                         "cc-labels")
+                         "cc-labels", slim=True)
     while True:
         near = (both.join(labels.withColumnRenamed("cid", "b"), "b")
                 .groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near")))
@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
                                                F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("cid").alias("comp"), F.col("comp").alias("far"))
         step = step.join(jump, "comp", "left").select("cid", "old", F.coalesce("far", "comp").alias("comp"))
-        step = write_table(step, "cc-labels")
+        step = write_table(step, "cc-labels", slim=True)
         changed = not step.where("comp <> old").isEmpty()
         labels = step.select("cid", "comp")
         if not changed:

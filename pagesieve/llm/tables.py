@@ -15,12 +15,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage.
 
+    With ``slim`` the last stage runs as no more tasks than the cluster has cores
+    (for tables of a few numbers per row, which loops write again and again).
+
     A lost executor makes Spark run its tasks again; the committed table has
     every row once.
     """
     path = shared_path(df.sparkSession, name)
+    if slim:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
