@@ -99,11 +99,15 @@ def bucket_from_state(st: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
 
 
 def with_bucket(df, gram_col: str, out: str = "bucket", buckets: int = DEFAULT_BUCKETS):
-    """Add ``out`` = bucket of ``gram_col``; the hash state is its own projection,
-    so it is computed once per row (not once per half, nor again in filters)."""
-    st = f"_{out}_fnv"
-    return df.withColumn(st, fnv1a64_state(F.col(gram_col))) \
-        .withColumn(out, bucket_from_state(F.col(st), buckets)).drop(st)
+    """Add ``out`` = bucket of ``gram_col``.
+
+    The hash state is a one-element array that a generator opens: it is computed
+    once per row, and no later filter or expression is moved before it (a plain
+    column would be repeated wherever the bucket is used).
+    """
+    one = F.transform(F.array(fnv1a64_state(F.col(gram_col))),
+                      lambda st: F.struct(bucket_from_state(st, buckets).alias(out)))
+    return df.select("*", F.inline(one))
 
 
 FULL_TOKEN = rf"^__{P.W}+__$"

@@ -26,6 +26,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import with_bucket
+from .clean import epoch_batches
+
 TWO32 = 4294967296.0
 
 
@@ -57,10 +60,13 @@ def np_std_normal(keys: list[str]) -> np.ndarray:
 def init_vocab(buckets: DataFrame, emb_size: int, seed: int = 0, scale: float = 0.1) -> DataFrame:
     """M9: ``(bucket, e0..)`` with ``scale * N(0,1)`` per (seed, bucket, dim)."""
     b = buckets.select("bucket").distinct()
-    return b.select("bucket", *[
-        (F.lit(scale) * std_normal(F.concat_ws(":", F.lit(str(seed)), F.lit("v"), F.col("bucket").cast("string"),
-                                               F.lit(str(j))))).alias(f"e{j}")
-        for j in range(emb_size)])
+    return b.select("bucket", *[init_value(F.col("bucket"), j, seed, scale).alias(f"e{j}") for j in range(emb_size)])
+
+
+def init_value(bucket: Column, j: int, seed: int = 0, scale: float = 0.1) -> Column:
+    """M9: initial component ``j`` of a bucket's vector."""
+    return F.lit(scale) * std_normal(F.concat_ws(":", F.lit(str(seed)), F.lit("v"), bucket.cast("string"),
+                                                 F.lit(str(j))))
 
 
 def init_dense(n_in: int, n_class: int = 2, seed: int = 0, xavier: bool = True) -> np.ndarray:
@@ -180,22 +186,23 @@ class TrainConfig:
     max_grad_norm: float = 1.0
     dropout: float = 0.0
     epochs: int = 3
-    n_batches: int = 1
+    batch_size: int | None = 32     # None: one batch per epoch
     seed: int = 0
     with_features: bool = True      # M7 (L1, clip, mean grad) vs M8 (L2, sum grad)
     per_distinct: bool = True       # D15: one update per distinct bucket vs per occurrence
-    checkpoint_every: int = 2
 
 
 def train(weights: DataFrame, x_num: DataFrame, labels: DataFrame, cfg: TrainConfig,
-          num_cols: list[str], id_col: str = "doc_id", val: tuple[DataFrame, DataFrame, DataFrame] | None = None):
+          num_cols: list[str], id_col: str = "doc_id", val: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+          buckets: DataFrame | None = None):
     """Epochs of mini-batch gradient steps. Returns (vocab, dense, history).
 
     ``weights`` is ``doc_bucket_weights``; ``x_num`` standardized numeric rows
-    ``(id, z_*)``; ``labels`` ``(id, label, batch_key)`` where ``batch_key``
-    orders the epoch shuffle. Each step: one job for the forward pass and the
-    dense gradient (an aggregation of (E+F)*2 sums), one grouped update of the
-    embedding table. The table is checkpointed every few steps.
+    ``(id, z_*)``; ``labels`` ``(id, label)``, shuffled anew each epoch and cut
+    into exact batches (C19). ``buckets`` holds the table's rows (the mask), by
+    default those of ``weights``. Each step: one forward pass, kept until the new
+    table is written; one aggregation of the (E+F)*2 gradient sums and the row
+    count; one grouped update of the embedding table, then checkpointed.
     """
     spark = weights.sparkSession
     E = cfg.emb_size
@@ -203,43 +210,38 @@ def train(weights: DataFrame, x_num: DataFrame, labels: DataFrame, cfg: TrainCon
     weights = weights.persist()
     x_num = x_num.persist()
     nf = len(num_cols) if cfg.with_features else 0
-    vocab = init_vocab(weights, E, cfg.seed)
+    vocab = init_vocab(weights if buckets is None else buckets, E, cfg.seed).checkpoint(eager=True)
     W = init_dense(E + nf, 2, cfg.seed, xavier=cfg.with_features)
     b = np.zeros(2)
     dense = Dense(W, b, E, num_cols if cfg.with_features else [])
     history = []
-    lab = labels.select(id_col, "label", "batch_key")
+    lab = labels.select(id_col, "label")
+    n_rows = lab.count()
+    size = cfg.batch_size or max(n_rows, 1)
     xin = x_num.select(id_col, *[f"z_{c}" for c in dense.num_cols])
-    step = 0
     for epoch in range(cfg.epochs):
-        order = lab.withColumn("_r", F.md5(F.concat(F.lit(f"{cfg.seed}:{epoch}:"), F.col("batch_key").cast("string"))))
-        order = order.withColumn("_batch", F.pmod(F.conv(F.substring("_r", 1, 8), 16, 10).cast("long"),
-                                                  F.lit(cfg.n_batches)))
-        for bi in range(cfg.n_batches):
-            batch = order.where(F.col("_batch") == bi).select(id_col, "label")
+        order = epoch_batches(lab, epoch, size, id_col).persist()
+        for bi in range(-(-n_rows // size)):
+            batch = order.where(F.col("batch_id") == bi).select(id_col, "label")
             emb = embed_docs(weights.join(batch.select(id_col), id_col), vocab, E, id_col)
             x = batch.join(emb, id_col, "left").na.fill(0.0).join(xin, id_col, "left").na.fill(0.0)
             if cfg.dropout > 0:
                 x = x.select(id_col, "label", *[(F.col(c) * dropout_keep(
                     F.concat_ws(":", F.lit(f"{cfg.seed}:{epoch}:{bi}"), F.col(id_col).cast("string"), F.lit(c)),
                     cfg.dropout)).alias(c) for c in dense.inputs()])
-            pr = predict(x, dense)
-            n = pr.count()
-            if n == 0:
-                continue
-            scale = 1.0 / n if cfg.with_features else 1.0
-            g0 = (F.col("p0") - F.when(F.col("label") == 0, 1.0).otherwise(0.0)) * F.lit(scale)
-            g1 = (F.col("p1") - F.when(F.col("label") == 1, 1.0).otherwise(0.0)) * F.lit(scale)
-            pr = pr.withColumn("g0", g0).withColumn("g1", g1).cache()
+            pr = predict(x, dense).withColumns({
+                f"g{k}": F.col(f"p{k}") - F.when(F.col("label") == k, 1.0).otherwise(0.0) for k in (0, 1)}).persist()
             eps = 1e-15
             p = F.least(F.greatest(F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0")), F.lit(eps)),
                         F.lit(1 - eps))
             cols = dense.inputs()
             aggs = [F.sum(F.col(c) * F.col(f"g{k}")).alias(f"d_{j}_{k}") for j, c in enumerate(cols) for k in (0, 1)]
-            r = pr.agg(*aggs, F.sum("g0").alias("db0"), F.sum("g1").alias("db1"), F.avg(-F.log(p)).alias("ce")).first()
+            r = pr.agg(*aggs, F.sum("g0").alias("db0"), F.sum("g1").alias("db1"), F.avg(-F.log(p)).alias("ce"),
+                       F.count("*").alias("n")).first()
+            scale = 1.0 / r["n"] if cfg.with_features else 1.0
             reg = cfg.reg_lambda * (np.abs(dense.W).sum() if cfg.with_features else 0.5 * (dense.W ** 2).sum())
             history.append((epoch, bi, "train", float(r["ce"]) + float(reg)))
-            dW = np.array([[r[f"d_{j}_{k}"] for k in (0, 1)] for j in range(len(cols))], dtype=float)
+            dW = scale * np.array([[r[f"d_{j}_{k}"] for k in (0, 1)] for j in range(len(cols))], dtype=float)
             if cfg.with_features:
                 dW = dW + cfg.reg_lambda * np.sign(dense.W)
                 gn = float(np.linalg.norm(dW))
@@ -248,9 +250,9 @@ def train(weights: DataFrame, x_num: DataFrame, labels: DataFrame, cfg: TrainCon
             else:
                 dW = dW + cfg.reg_lambda * dense.W
             dense.W = dense.W - cfg.lr * dW
-            dense.b = dense.b - cfg.lr * np.array([r["db0"], r["db1"]])
+            dense.b = dense.b - cfg.lr * scale * np.array([r["db0"], r["db1"]])
             # embedding step with the updated weights: dx = g @ W_new^T (embedding rows)
-            dx = [F.col("g0") * F.lit(float(dense.W[k, 0])) + F.col("g1") * F.lit(float(dense.W[k, 1]))
+            dx = [F.col("g0") * F.lit(scale * float(dense.W[k, 0])) + F.col("g1") * F.lit(scale * float(dense.W[k, 1]))
                   for k in range(E)]
             gd = pr.select(id_col, *[d.alias(f"dx{k}") for k, d in enumerate(dx)])
             wb = weights.join(gd, id_col)
@@ -259,10 +261,9 @@ def train(weights: DataFrame, x_num: DataFrame, labels: DataFrame, cfg: TrainCon
             delta = wb.groupBy("bucket").agg(*[F.sum(F.col(f"dx{k}") * mult).alias(f"u{k}") for k in range(E)])
             vocab = vocab.join(delta, "bucket", "left").select(
                 "bucket", *[(F.col(f"e{k}") - F.coalesce(F.col(f"u{k}"), F.lit(0.0))).alias(f"e{k}") for k in range(E)])
+            vocab = vocab.checkpoint(eager=True)
             pr.unpersist()
-            step += 1
-            if step % cfg.checkpoint_every == 0:
-                vocab = vocab.checkpoint(eager=True)
+        order.unpersist()
         if val is not None:
             vw, vx, vl = val
             emb = embed_docs(vw, vocab, E, id_col)
@@ -286,30 +287,23 @@ def collapse(vocab: DataFrame, dense: Dense, grams: DataFrame) -> DataFrame:
     return j.select("ngram", u[0].alias("u0"), u[1].alias("u1"))
 
 
-def gram_diffs(enc: DataFrame, vocab: DataFrame, dense: Dense, occ: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """E1 input: one row per (word occurrence, distinct gram) with diff = vocab[id] . (w1 - w0)[:E]."""
-    E = dense.emb_size
-    wd = dense.W[:E, 1] - dense.W[:E, 0]
-    d = enc.select(id_col, "word_pos", "ngram", "bucket").dropDuplicates([id_col, "word_pos", "ngram"])
-    d = d.join(vocab, "bucket").select(id_col, "word_pos", "ngram", sum(
-        (F.col(f"e{k}") * F.lit(float(wd[k])) for k in range(E)), F.lit(0.0)).alias("diff"))
-    return d.join(occ.select(id_col, "word_pos", "word"), [id_col, "word_pos"])
+def word_gram_diffs(words: DataFrame, grams: Column, diff: Column, buckets: int) -> DataFrame:
+    """``(word, ngram, diff, n_occ)`` of distinct words and their distinct n-grams.
 
+    ``words`` is ``(word, n_occ)``; ``diff`` is an expression over ``bucket``. A
+    gram's diff depends only on its bucket, so every occurrence of a word carries
+    the same diffs, and each distinct n-gram is hashed and valued once.
+    """
+    wg = words.select("word", "n_occ", F.explode(F.array_distinct(grams)).alias("ngram"))
+    valued = with_bucket(wg.select("ngram").distinct(), "ngram", "bucket", buckets).where("bucket <> 0").select(
+        "ngram", diff.alias("diff"))
+    return wg.join(valued, "ngram")
 
-def word_gram_diffs(occ: DataFrame, wg: DataFrame, vocab: DataFrame, dense: Dense) -> DataFrame:
-    """Per (distinct word, distinct gram): diff and the word's occurrence count.
 
-    A gram's diff depends only on its bucket, so every occurrence of a word
-    carries the same diffs: the impact studies need one row per distinct
-    (word, gram) weighted by the word count, not one row per occurrence.
-    """
-    E = dense.emb_size
-    wd = dense.W[:E, 1] - dense.W[:E, 0]
-    wc = occ.groupBy("word").agg(F.count("*").alias("n_occ"))
-    g = wg.select("word", "ngram", "bucket").dropDuplicates(["word", "ngram"])
-    d = g.join(vocab, "bucket").select("word", "ngram", sum(
-        (F.col(f"e{k}") * F.lit(float(wd[k])) for k in range(E)), F.lit(0.0)).alias("diff"))
-    return d.join(wc, "word")
+def initial_diff(dense: Dense, seed: int = 0) -> Column:
+    """vocab[bucket] . (w1 - w0)[:E] for the initial table, as an expression over ``bucket``."""
+    wd = dense.W[:dense.emb_size, 1] - dense.W[:dense.emb_size, 0]
+    return sum((init_value(F.col("bucket"), k, seed) * F.lit(float(wd[k])) for k in range(dense.emb_size)), F.lit(0.0))
 
 
 def gram_word_impact_weighted(wdiffs: DataFrame) -> DataFrame:
@@ -330,20 +324,14 @@ def gram_table_weighted(wdiffs: DataFrame, k: int = 50) -> DataFrame:
     return g.withColumn("abs_mean", F.abs("mean")).orderBy(F.desc(F.round("abs_mean", 12)), "ngram").limit(k)
 
 
-def word_strength_weighted(wdiffs: DataFrame, occ: DataFrame, k: int = 50) -> DataFrame:
+def word_strength_weighted(wdiffs: DataFrame, words: DataFrame, k: int = 50) -> DataFrame:
     """E5 from per-word rows: every occurrence of a word has the same summed diff."""
     per_word = wdiffs.groupBy("word").agg(F.sum("diff").alias("avg_strength"))
-    wc = occ.groupBy("word").agg(F.count("*").alias("count"))
-    w = wc.join(per_word, "word", "left").na.fill(0.0, ["avg_strength"])
+    w = words.select("word", F.col("n_occ").alias("count")).join(per_word, "word", "left").na.fill(0.0, ["avg_strength"])
     return w.withColumn("abs_strength", F.abs("avg_strength")).orderBy(
         F.desc(F.round("abs_strength", 12)), "word").limit(k).select("word", "avg_strength", "count", "abs_strength")
 
 
-def gram_word_impact(diffs: DataFrame) -> DataFrame:
-    """Mean diff and count per (gram, word)."""
-    return diffs.groupBy("ngram", "word").agg(F.avg("diff").alias("impact"), F.count("*").alias("n"))
-
-
 def best_word_per_gram(impact: DataFrame) -> DataFrame:
     """The word with the largest |mean| per gram (ties, to 12 places: smaller word)."""
     key = F.struct((-F.round(F.abs(F.col("impact")), 12)).alias("k"), F.col("word"))
@@ -356,19 +344,3 @@ def top_impacts(best: DataFrame, k: int = 100) -> DataFrame:
     return best.orderBy(F.desc(F.round(F.abs("impact"), 12)), "ngram").limit(k)
 
 
-def gram_table(diffs: DataFrame, k: int = 50) -> DataFrame:
-    """Per gram mean, sample std (0 for one value), count, |mean|; top ``k``."""
-    g = diffs.groupBy("ngram").agg(F.avg("diff").alias("mean"),
-                                   F.coalesce(F.stddev_samp("diff"), F.lit(0.0)).alias("std"),
-                                   F.count("*").alias("count"))
-    g = g.withColumn("std", F.when(F.col("count") > 1, F.col("std")).otherwise(0.0))
-    return g.withColumn("abs_mean", F.abs("mean")).orderBy(F.desc(F.round("abs_mean", 12)), "ngram").limit(k)
-
-
-def word_strength(diffs: DataFrame, occ: DataFrame, k: int = 50, id_col: str = "doc_id") -> DataFrame:
-    """E5: mean over a word's occurrences of the summed diffs of its grams; top ``k``."""
-    per_occ = diffs.groupBy(id_col, "word_pos").agg(F.sum("diff").alias("s"))
-    allw = occ.select(id_col, "word_pos", "word").join(per_occ, [id_col, "word_pos"], "left").na.fill(0.0, ["s"])
-    w = allw.groupBy("word").agg(F.avg("s").alias("avg_strength"), F.count("*").alias("count"))
-    return w.withColumn("abs_strength", F.abs("avg_strength")).orderBy(
-        F.desc(F.round("abs_strength", 12)), "word").limit(k)

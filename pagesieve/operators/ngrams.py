@@ -110,11 +110,22 @@ def subword_mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # tokens as their own column: a cap reads them up to three times
     staged = docs.select(id_col, split_tokens(F.col(text_col), preprocess).alias("_toks"))
     toks = F.col("_toks") if max_tok is None else capped_tokens(F.col("_toks"), F.col(id_col), max_tok)
-    wc = staged.select(F.explode(toks).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    kept = _frequent(staged.select(F.explode(toks).alias("word")), min_n, max_n, min_freq)
+    return H.with_bucket(kept, "ngram", "bucket", buckets).select("bucket").distinct()
+
+
+def _frequent(words: DataFrame, min_n: int, max_n: int, min_freq: int) -> DataFrame:
+    wc = words.groupBy("word").agg(F.count("*").alias("n"))
     gc = wc.select(F.explode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("ngram"), "n") \
         .groupBy("ngram").agg(F.sum("n").alias("count"))
-    kept = gc.where(F.col("count") >= min_freq)
-    return H.with_bucket(kept.select("ngram"), "ngram", "bucket", buckets).select("bucket").distinct()
+    return gc.where(F.col("count") >= min_freq).select("ngram")
+
+
+def frequent_grams(docs: DataFrame, text_col: str = "text", min_n: int = 3, max_n: int = 3, min_freq: int = 2,
+                   preprocess=None) -> DataFrame:
+    """The n-grams seen at least ``min_freq`` times over the corpus (one column, ``ngram``)."""
+    words = docs.select(F.explode(split_tokens(F.col(text_col), preprocess)).alias("word"))
+    return _frequent(words, min_n, max_n, min_freq)
 
 
 def allow_list_grams(docs: DataFrame, grams: DataFrame, id_col: str = "page_id",

@@ -1,13 +1,13 @@
 """Collapsed-model page scoring (M2, M4, M14, M15) and score bands.
 
-Plan shape: map-only. The kept n-grams of the collapsed model are few and their
-count is checked (``MAX_INLINE_GRAMS``), so they are inlined as one literal map;
+Plan shape: map-only. The kept n-grams of the collapsed model are few (a fixed
+part of the model, not of the data), so they are inlined as one literal map;
 every page is scored inside its own row with higher-order functions: tokenize,
 keep the tokens that contain any kept gram (one cached literal regex), expand
 those tokens to substrings of the kept lengths, look them up, average per word
 and then over the page. No shuffle, no join, no Python in the row path.
-Larger vocabularies go through ``score_text_by_join`` (explode + broadcast
-join of a size-checked gram table + two aggregations).
+Vocabularies too large for that go through ``score_text_by_join`` (explode,
+join of the gram table, two aggregations).
 """
 
 from __future__ import annotations

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..operators import ngrams as NG
 from ..sources import files as FS
 from ..sources import model_io, tables
 from . import sqlparts as Q
 from .q_clean import ART_CTE
+from .common import round_doubles
+from .q_model import _M
 from .registry import query
 
 SITES_CTE = """per_dom AS (SELECT source AS website, lang AS domain, count(*) AS n FROM documents GROUP BY 1, 2),
@@ -46,7 +49,8 @@ def s03_labelled_dataset(spark, sf_dir):
     return t.select("doc_id", "label", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("s04_partitioned_save")
+@query("s04_partitioned_save", f"""WITH {ART_CTE}
+SELECT domain, count(*) AS n FROM art GROUP BY domain""")
 def s04_partitioned_save(spark, sf_dir):
     """Append articles partitioned by domain to the shared folder, then count per partition."""
     path = shared_dir(spark, f"s04-{uuid.uuid4().hex}")
@@ -83,26 +87,22 @@ def s07_export_table(spark, sf_dir):
                     F.length("text").cast("long").alias("text_len"))
 
 
-@query("s08_model_relations")
+_GRAM_VALUES = ", ".join(f"({Q.lit(g)}, CAST('{v[0]!r}' AS DOUBLE), CAST('{v[1]!r}' AS DOUBLE))"
+                         for g, v in sorted(_M.u.items()))
+
+
+@query("s08_model_relations", f"""WITH u(ngram, u0, u1) AS (VALUES {_GRAM_VALUES})
+SELECT ngram, round(u0, 6) AS u0, round(u1, 6) AS u1, count(*) AS n_pages
+FROM pages JOIN u ON contains(lower(html), ngram) GROUP BY ALL""")
 def s08_model_relations(spark, sf_dir):
-    """The model file as relations (n-gram table), joined to the pages that hold each gram."""
-    rel = model_io.model_relations(spark)
-    grams = rel["grams"]
-    p = tables.pages(spark, sf_dir).select(F.lower("html").alias("h"))
-    n = grams.count()
-    g = F.broadcast(grams) if n <= model_io.MAX_INLINE_GRAMS else grams
-    return p.join(g, F.instr(F.col("h"), F.col("ngram")) > 0).groupBy("ngram", "u0", "u1") \
-        .agg(F.count("*").alias("n_pages"))
-
-
-@query("s09_model_export")
-def s09_model_export(spark, sf_dir):
-    """Export the model to the shared folder as one JSON object and read it back (S8 + S9)."""
-    m = model_io.load_model(spark)
-    path = shared_dir(spark, f"s09-{uuid.uuid4().hex}")
-    model_io.write_model(m, spark, path)
-    back = model_io.model_relations(spark, path)["numeric"]
-    return back.select("pos", "feature", "w0", "w1", "mu", "sigma")
+    """The model file as relations (n-gram table), joined to the pages that hold each gram.
+
+    A gram is a part of one token, so the join is by equality on the tokens' substrings.
+    """
+    grams = model_io.model_relations(spark)["grams"]
+    found = NG.allow_list_grams(tables.pages(spark, sf_dir), grams, "page_id", "html").select("page_id", "ngram").distinct()
+    counts = found.groupBy("ngram").agg(F.count("*").alias("n_pages"))
+    return round_doubles(grams.join(counts, "ngram").select("ngram", "u0", "u1", "n_pages"))
 
 
 @query("s10_parse_site_lines", f"""WITH {ART_CTE}, {SITES_CTE},

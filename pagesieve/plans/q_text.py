@@ -87,9 +87,15 @@ def n08_html_unescape(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.length(T.html_unescape(F.col("html"))).cast("long").alias("n_chars"))
 
 
-@query("n09_block_placeholders")
+# The block rule without a back-reference: one alternative per name.
+_BLOCK_RE2 = "(?is)" + "|".join(rf"<({n})[{P.WS_BODY}>][^>]*>.*?</{n}{P.S}*>"
+                                for n in ("script", "style", "template", "noscript"))
+
+
+@query("n09_block_placeholders", f"""SELECT page_id,
+  md5(regexp_replace(lower(html), {Q.lit(_BLOCK_RE2)}, ' __tag_\\1\\2\\3\\4__ ', 'g')) AS html_md5 FROM pages""")
 def n09_block_placeholders(spark, sf_dir):
-    """Script/style/template/noscript blocks -> placeholders (back-reference: Java only)."""
+    """Script/style/template/noscript blocks -> placeholders."""
     return _pages(spark, sf_dir).select("page_id", F.md5(PP.blocks_to_placeholders(F.lower("html"))).alias("html_md5"))
 
 
@@ -112,17 +118,30 @@ def n11_placeholders(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(PP.placeholders(F.lower("text"))).alias("text_md5"))
 
 
-@query("n12_drop_short_long_words")
+def _whole_words(text: str, rule: str, by: str) -> str:
+    """Replace the words (maximal runs of word characters) that a rule matches as a whole."""
+    return (f"array_to_string(list_transform(regexp_extract_all({text}, {Q.lit(f'{P.W}+|{P.NOT_W}+')}), "
+            f"lambda x: CASE WHEN regexp_full_match(x, {Q.lit(rule)}) THEN {Q.lit(by)} ELSE x END), '')")
+
+
+@query("n12_drop_short_long_words", f"""SELECT doc_id, md5({_whole_words('lower(text)', '(?i)[a-z]{1,3}|[a-z]{11,}', ' ')}) AS text_md5
+FROM documents""")
 def n12_drop_short_long_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(PP.drop_short_long_words(F.lower("text"))).alias("text_md5"))
 
 
-@query("n13_drop_suffix_words")
+@query("n13_drop_suffix_words", f"""SELECT doc_id, md5({_whole_words('lower(text)', '(?i)[a-z]*(?:ing|ers?)', '')}) AS text_md5
+FROM documents""")
 def n13_drop_suffix_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(PP.drop_suffix_words(F.lower("text"))).alias("text_md5"))
 
 
-@query("n14_drop_comments_attrs_trigrams")
+_ALT_RE2 = rf'(?i)(^|{P.NOT_W})(?:alt|title){P.S}*={P.S}*"[^"]*"'
+
+
+@query("n14_drop_comments_attrs_trigrams", f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(lower(html),
+  '(?s)<!--.*?-->', ' ', 'g'), {Q.lit(_ALT_RE2)}, '\\1 ', 'g') AS t FROM pages)
+SELECT page_id, md5({_whole_words('t', '(?i)[a-z]*(?:hat|tha|nth|tth|sth)[a-z]*', ' ')}) AS html_md5 FROM c""")
 def n14_drop_comments_attrs_trigrams(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.md5(PP.drop_comments_attrs_trigrams(F.lower("html"))).alias("html_md5"))
 
@@ -168,7 +187,8 @@ def n18_legacy_tokenizers(spark, sf_dir):
                     PP.syllable_count(F.col("text")).alias("n_syllable_runs"))
 
 
-@query("n18_legacy_paragraphs")
+@query("n18_legacy_paragraphs", f"""SELECT doc_id,
+  len(regexp_extract_all(text, {Q.lit('(?:.*?)(?:' + chr(10) + '+|$)')})) AS n_paragraphs FROM documents""")
 def n18_legacy_paragraphs(spark, sf_dir):
     """Legacy paragraph pieces (empty matches included, Java find() semantics)."""
     return _docs(spark, sf_dir).select("doc_id", F.size(PP.legacy_paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from ..operators import features as FE
 from ..operators import lexical as LX
 from ..operators import model as MD
 from ..operators import ngrams as NG
-from ..sources import tables
+from ..operators import scoring as SC
+from ..session import shared_dir
+from ..sources import model_io, tables
 from . import sqlparts as Q
 from .common import round_doubles
 from .q_clean import TRAIN_CTE
-from .q_model import _M
-from .q_ngrams import _encode_sql, sql_bucket
+from .q_ngrams import _encode_sql, _tokens_sql, sql_bucket, sql_word_ngrams
 from .registry import query
 
 EMB = 4          # embedding width of the checked (oracle) model
@@ -168,35 +170,33 @@ def m11_validation_loss(spark, sf_dir):
     return round_doubles(MD.loss_frame(pr.join(te, "doc_id", "left_semi"), dense, REG))
 
 
-@query("m13_collapse", f"""WITH g(ngram) AS (VALUES {', '.join(f'({Q.lit(g)})' for g in sorted(_M.u))}),
+MIN_FREQ = 3
+
+
+@query("m13_collapse", f"""WITH {TRAIN_CTE}, tok AS (SELECT unnest({_tokens_sql('text')}) AS w FROM tr),
+wc AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
+gc AS (SELECT unnest({sql_word_ngrams('w', 3, 4)}) AS ngram, n FROM wc),
+g AS (SELECT ngram FROM gc GROUP BY ngram HAVING sum(n) >= {MIN_FREQ}),
 gb AS (SELECT ngram, {sql_bucket('ngram')} AS bucket FROM g),
 gv AS (SELECT ngram, {', '.join(f'{_sql_init('bucket', j)} AS e{j}' for j in range(EMB))} FROM gb)
-SELECT ngram, {', '.join("round(" + ' + '.join(f'e{j} * {dbl(init_W()[j, c])}' for j in range(EMB)) + f", 6) AS u{c}" for c in (0, 1))} FROM gv""")
+SELECT ngram, {', '.join("round(" + ' + '.join(f'e{j} * {dbl(init_W()[j, c])}' for j in range(EMB)) + f", 6) + 0.0 AS u{c}" for c in (0, 1))} FROM gv""")
 def m13_collapse(spark, sf_dir):
-    """Collapse the embedding through the dense layer for the model's kept grams.
-
-    The kept grams come from the n-grams of the corpus that the shipped model keeps.
-    """
-    docs = tables.documents(spark, sf_dir)
-    raw = NG.raw_ngrams(docs, "doc_id", "text", 4, 10, None).select(F.explode("ngrams").alias("ngram"))
-    kept = spark.createDataFrame([(g,) for g in sorted(_M.u)], "ngram string")
-    grams = kept.join(raw.distinct(), "ngram", "left_semi").unionByName(kept).distinct()
-    grams = NG.H.with_bucket(grams.select("ngram"), "ngram", "bucket")
-    vocab = MD.init_vocab(grams, EMB, SEED)
+    """Collapse the embedding through the dense layer for the n-grams that the training texts hold often enough."""
+    grams = NG.frequent_grams(_train_docs(spark, sf_dir), "text", 3, 4, MIN_FREQ)
+    grams = NG.H.with_bucket(grams, "ngram", "bucket")
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))
-    return round_doubles(MD.collapse(vocab, dense, grams))
+    return round_doubles(MD.collapse(MD.init_vocab(grams, EMB, SEED), dense, grams))
 
 
 # --- impact studies with the initial model ----------------------------------------------
 
 def _diffs(spark, sf_dir):
-    """Per distinct (word, gram) diffs with word counts (see ``word_gram_diffs``)."""
-    docs = _train_docs(spark, sf_dir)
-    occ = NG.word_occurrences(docs, "doc_id", "text")
-    wg = NG.word_grams(occ, 3, 4, NG.H.DEFAULT_BUCKETS)
-    vocab = MD.init_vocab(wg, EMB, SEED)
+    """Per distinct (word, gram) diffs, and the word counts: one scan of the texts."""
+    words = _train_docs(spark, sf_dir).select(F.explode(NG.split_tokens(F.col("text"))).alias("word")).groupBy("word").agg(
+        F.count("*").alias("n_occ"))
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))
-    return MD.word_gram_diffs(occ, wg, vocab, dense), occ
+    return MD.word_gram_diffs(words, NG.H.word_ngrams(F.col("word"), 3, 4), MD.initial_diff(dense, SEED),
+                              NG.H.DEFAULT_BUCKETS), words
 
 
 def _wd_sql() -> str:
@@ -212,7 +212,7 @@ DIFF_CTE = (f"{TRAIN_CTE}, {_encode_sql('tr', 'doc_id', 'text', 3, 4, False)}, "
 
 
 @query("e01_gram_word_impact", f"""WITH {DIFF_CTE}
-SELECT ngram, word, round(avg(diff), 6) AS impact, count(*) AS n FROM diffs GROUP BY ngram, word""")
+SELECT ngram, word, round(avg(diff), 6) + 0.0 AS impact, count(*) AS n FROM diffs GROUP BY ngram, word""")
 def e01_gram_word_impact(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
     return round_doubles(MD.gram_word_impact_weighted(d))
@@ -224,14 +224,14 @@ _BEST_SQL = (f"{DIFF_CTE}, imp AS (SELECT ngram, word, avg(diff) AS impact FROM
 
 
 @query("e02_best_word_per_gram", f"""WITH {_BEST_SQL}
-SELECT ngram, word, round(impact, 6) AS impact FROM best""")
+SELECT ngram, word, round(impact, 6) + 0.0 AS impact FROM best""")
 def e02_best_word_per_gram(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
     return round_doubles(MD.best_word_per_gram(MD.gram_word_impact_weighted(d)))
 
 
 @query("e03_top_impacts", f"""WITH {_BEST_SQL}
-SELECT ngram, word, round(impact, 6) AS impact FROM best ORDER BY round(abs(impact), 12) DESC, ngram LIMIT 100""")
+SELECT ngram, word, round(impact, 6) + 0.0 AS impact FROM best ORDER BY round(abs(impact), 12) DESC, ngram LIMIT 100""")
 def e03_top_impacts(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
     return round_doubles(MD.top_impacts(MD.best_word_per_gram(MD.gram_word_impact_weighted(d)), 100))
@@ -240,7 +240,7 @@ def e03_top_impacts(spark, sf_dir):
 @query("e04_gram_table", f"""WITH {DIFF_CTE},
 g AS (SELECT ngram, avg(diff) AS mean, CASE WHEN count(*) > 1 THEN stddev_samp(diff) ELSE 0.0 END AS std,
       count(*) AS count FROM diffs GROUP BY ngram)
-SELECT ngram, round(mean, 6) AS mean, round(std, 6) AS std, count, round(abs(mean), 6) AS abs_mean
+SELECT ngram, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std, count, round(abs(mean), 6) AS abs_mean
 FROM g ORDER BY round(abs(mean), 12) DESC, ngram LIMIT 50""")
 def e04_gram_table(spark, sf_dir):
     d, _ = _diffs(spark, sf_dir)
@@ -251,60 +251,91 @@ def e04_gram_table(spark, sf_dir):
 po AS (SELECT doc_id, word_pos, sum(diff) AS s FROM diffs GROUP BY doc_id, word_pos),
 aw AS (SELECT occ.word, coalesce(po.s, 0.0) AS s FROM occ LEFT JOIN po USING (doc_id, word_pos)),
 w AS (SELECT word, avg(s) AS avg_strength, count(*) AS count FROM aw GROUP BY word)
-SELECT word, round(avg_strength, 6) AS avg_strength, count, round(abs(avg_strength), 6) AS abs_strength
+SELECT word, round(avg_strength, 6) + 0.0 AS avg_strength, count, round(abs(avg_strength), 6) AS abs_strength
 FROM w ORDER BY round(abs(avg_strength), 12) DESC, word LIMIT 50""")
 def e05_word_strength(spark, sf_dir):
-    d, occ = _diffs(spark, sf_dir)
-    return round_doubles(MD.word_strength_weighted(d, occ, 50))
+    d, words = _diffs(spark, sf_dir)
+    return round_doubles(MD.word_strength_weighted(d, words, 50))
 
 
 # --- training runs (rows-only checks; unit tests compare one step with numpy) ------------
 
+TRAIN = dict(emb_size=50, lr=0.05, batch_size=128, seed=SEED)
+
+
 def _train_inputs(spark, sf_dir):
+    """Split, mask built on the training split, both splits encoded through it, scaler of the training split."""
     docs = _train_docs(spark, sf_dir)
-    split = CL.split_train_test(docs.select("doc_id", "label"), 0.2, 42, "doc_id", "label")
-    tr_ids = split.where(F.col("split") == "train").select("doc_id")
-    te_ids = split.where(F.col("split") == "test").select("doc_id")
-    occ, enc = _encoding(spark, sf_dir, docs)
-    wts = MD.doc_bucket_weights(occ, enc)
+    split = CL.split_train_test(docs.select("doc_id", "label"), 0.2, 42, "doc_id", "label").select("doc_id", "split")
+    docs = docs.join(split, "doc_id")
+    train = docs.where(F.col("split") == "train")
+    mask = NG.subword_mask(train, "doc_id", "text", 3, 4, MIN_FREQ)
     feats = _doc_feats(spark, sf_dir, docs)
-    sc = MD.fit_scaler(feats.join(tr_ids, "doc_id", "left_semi"), NUM)
-    z = MD.standardize(feats, sc, NUM)
-    lab = docs.select("doc_id", "label", F.col("doc_id").alias("batch_key"))
-    pick = lambda df, ids: df.join(ids, "doc_id", "left_semi")
-    return (pick(wts, tr_ids), pick(z, tr_ids), pick(lab, tr_ids)), (pick(wts, te_ids), pick(z, te_ids), pick(lab, te_ids)), sc
+    sc = MD.fit_scaler(feats.join(train.select("doc_id"), "doc_id", "left_semi"), NUM)
+    out = []
+    for part in (train, docs.where(F.col("split") == "test")):
+        occ = NG.word_occurrences(part, "doc_id", "text")
+        enc = NG.encode(part, "doc_id", "text", 3, 4, mask=mask)
+        z = MD.standardize(feats.join(part.select("doc_id"), "doc_id", "left_semi"), sc, NUM)
+        out.append((MD.doc_bucket_weights(occ, enc), z, part.select("doc_id", "label")))
+    return out[0], out[1], sc, mask, train
 
 
 @query("m10_training_history")
 def m10_training_history(spark, sf_dir):
-    """M7 + M10: 2 epochs x 2 batches with features, L1, clipping; train and validation loss."""
-    (w, z, lab), val, _ = _train_inputs(spark, sf_dir)
-    cfg = MD.TrainConfig(emb_size=8, lr=0.05, epochs=2, n_batches=2, seed=SEED, with_features=True)
-    _, _, hist = MD.train(w, z, lab, cfg, list(NUM), val=val)
+    """M7 + M10: 2 epochs of exact shuffled batches with features, L1, clipping; train and validation loss."""
+    tr, val, _, mask, _ = _train_inputs(spark, sf_dir)
+    _, _, hist = MD.train(*tr, MD.TrainConfig(epochs=2, **TRAIN), list(NUM), val=val, buckets=mask)
     return hist
 
 
 @query("m08_training_no_features")
 def m08_training_no_features(spark, sf_dir):
     """M8: text-only model, summed gradient, L2, one update per occurrence, dropout 0.1."""
-    (w, z, lab), val, _ = _train_inputs(spark, sf_dir)
-    cfg = MD.TrainConfig(emb_size=8, lr=0.01, epochs=2, n_batches=1, seed=SEED, with_features=False,
-                         per_distinct=False, dropout=0.1)
-    _, _, hist = MD.train(w, z, lab, cfg, list(NUM), val=val)
+    tr, val, _, mask, _ = _train_inputs(spark, sf_dir)
+    cfg = MD.TrainConfig(epochs=1, with_features=False, per_distinct=False, dropout=0.1, **(TRAIN | {"lr": 0.01}))
+    _, _, hist = MD.train(*tr, cfg, list(NUM), val=val, buckets=mask)
     return hist
 
 
+def _trained(spark, sf_dir):
+    """One epoch on the training split: ``(vocab, dense, scaler, training texts)``."""
+    tr, _, sc, mask, train = _train_inputs(spark, sf_dir)
+    vocab, dense, _ = MD.train(*tr, MD.TrainConfig(epochs=1, **TRAIN), list(NUM), buckets=mask)
+    return vocab, dense, sc, train
+
+
 @query("e06_numeric_weight_ranking")
 def e06_numeric_weight_ranking(spark, sf_dir):
     """E6 on a trained model: numeric rows ranked by |w1 - w0|."""
-    (w, z, lab), _, _ = _train_inputs(spark, sf_dir)
-    cfg = MD.TrainConfig(emb_size=8, lr=0.05, epochs=1, n_batches=1, seed=SEED)
-    _, dense, _ = MD.train(w, z, lab, cfg, list(NUM))
-    rows = [(c, float(dense.W[cfg.emb_size + i, 1] - dense.W[cfg.emb_size + i, 0])) for i, c in enumerate(NUM)]
+    _, dense, _, _ = _trained(spark, sf_dir)
+    rows = [(c, float(dense.W[dense.emb_size + i, 1] - dense.W[dense.emb_size + i, 0])) for i, c in enumerate(NUM)]
     df = spark.createDataFrame(rows, "feature string, w_diff double")
     return df.orderBy(F.desc(F.abs("w_diff")), "feature")
 
 
+KEPT_GRAMS = 42
+
+
+@query("s09_model_export")
+def s09_model_export(spark, sf_dir):
+    """The whole chain: train, keep the n-grams of most weight, collapse, export, read back, score the pages."""
+    vocab, dense, sc, train = _trained(spark, sf_dir)
+    grams = NG.H.with_bucket(NG.frequent_grams(train, "text", 3, 4, MIN_FREQ), "ngram", "bucket")
+    table = MD.collapse(vocab, dense, grams)
+    kept = table.orderBy(F.desc(F.round(F.abs(F.col("u1") - F.col("u0")), 12)), "ngram").limit(KEPT_GRAMS).collect()
+    e = dense.emb_size
+    model = model_io.CollapsedModel(
+        w_num=[[float(x) for x in row] for row in dense.W[e:]], bias=[float(x) for x in dense.b],
+        u={r["ngram"]: [r["u0"], r["u1"]] for r in kept}, mu=[sc[c][0] for c in NUM], sigma=[sc[c][1] for c in NUM])
+    if not model.u:
+        return spark.createDataFrame([], "page_id long, p_slop double, n_grams int")
+    path = shared_dir(spark, f"s09-{uuid.uuid4().hex}")
+    model_io.write_model(model, spark, path)
+    scored = SC.score_pages(tables.pages(spark, sf_dir), model_io.load_model(spark, path))
+    return scored.select("page_id", F.round("p_slop", 6).alias("p_slop"), F.size("grams").alias("n_grams"))
+
+
 @query("m06_dropout_mask")
 def m06_dropout_mask(spark, sf_dir):
     """M6: share of kept inputs per document under rate 0.1 (reproducible md5 mask)."""

@@ -1,4 +1,4 @@
-"""Query registry: one entry per inventory ID.
+"""Query registry: entries named after their inventory ID (some IDs share an entry or have two).
 
 Each entry is a Spark callable ``(spark, sf_dir) -> DataFrame`` and, where the
 operator is expressible in SQL, the DuckDB oracle text over the driver views.
@@ -36,6 +36,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every plan module so that all queries register themselves."""
-    from . import (q_clean, q_explain, q_features, q_lexical, q_links,  # noqa: F401
+    from . import (q_clean, q_features, q_lexical, q_links,  # noqa: F401
                    q_model, q_ngrams, q_reports, q_sources, q_stream, q_text, q_train)
     return REGISTRY

@@ -3,8 +3,7 @@
 The exported model is one JSON object: ``W_num`` (12 x 2), ``bias`` (2),
 ``U`` (n-gram -> 2 floats), ``mu`` and ``sigma`` (1 x 12). It is read with an
 explicit schema (``U`` is a map; inference would make it a struct) and exposed
-as small DataFrames. The scorer turns the few kept n-grams into literals, so
-the size of ``U`` is checked before that happens.
+as small DataFrames.
 """
 
 from __future__ import annotations
@@ -22,10 +21,6 @@ from .. import constants as K
 SHIPPED_MODEL = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources",
                              "shipped_model.json")
 
-# A collapsed model is inlined into the scoring expression only up to this many
-# kept n-grams; a larger vocabulary is scored through a broadcast-checked join.
-MAX_INLINE_GRAMS = 4096
-
 MODEL_SCHEMA = T.StructType([
     T.StructField("W_num", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("bias", T.ArrayType(T.DoubleType())),

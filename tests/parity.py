@@ -73,8 +73,9 @@ def compare(spark, con, q, sf_dir):
         return res
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     if a != b:
-        diff_a = [r for r in a if r not in set(b)][:3]
-        diff_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        diff_a = [r for r in a if r not in in_b][:3]
+        diff_b = [r for r in b if r not in in_a][:3]
         res["error"] = f"values differ: spark_only={diff_a} duck_only={diff_b}"
     return res
 

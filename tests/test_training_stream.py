@@ -13,13 +13,13 @@ def test_one_training_step_equals_numpy(spark):
     labels = [0, 1, 0, 1, 1, 0]
     docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))],
                                  "doc_id long, text string, label int")
-    occ = NG.word_occurrences(docs, "doc_id", "text", 200)
-    enc = NG.encode(docs, "doc_id", "text", 3, 4, 1000, 200)
+    occ = NG.word_occurrences(docs, "doc_id", "text")
+    enc = NG.encode(docs, "doc_id", "text", 3, 4, 1000)
     wts = MD.doc_bucket_weights(occ, enc)
     z = docs.select("doc_id", (F.length("text") / 10.0 - 2.0).alias("z_f"))
-    lab = docs.select("doc_id", "label", F.col("doc_id").alias("batch_key"))
+    lab = docs.select("doc_id", "label")
     E = 3
-    cfg = MD.TrainConfig(emb_size=E, lr=0.1, reg_lambda=1e-3, max_grad_norm=0.05, epochs=1, n_batches=1)
+    cfg = MD.TrainConfig(emb_size=E, lr=0.1, reg_lambda=1e-3, max_grad_norm=0.05, epochs=1, batch_size=None)
     vocab, dense, _ = MD.train(wts, z, lab, cfg, ["f"])
 
     # numpy reference of one step
