@@ -170,9 +170,11 @@ def fit(sample: np.ndarray, rows: int) -> Index:
         sim = q @ x.T
         sim[np.arange(len(q)), np.arange(0, len(x), step)] = -2
         near = np.argpartition(-sim, min(K, len(x) - 1) - 1, axis=1)[:, :K]
-        row, lst = replicas(index, x)
+        by_row = []
+        for a in range(0, len(x), 1024):
+            row, lst = replicas(index, x[a:a + 1024])
+            by_row += np.split(lst, np.flatnonzero(np.diff(row)) + 1)
         d = _distance(q @ c.T)
-        by_row = np.split(lst, np.flatnonzero(np.diff(row)) + 1)
         ratios = [min(d[i, by_row[j]]) / max(d[i].min(), 1e-9) for i in range(len(q)) for j in near[i]]
         index.ratio = float(np.quantile(ratios, TARGET))
     return index
