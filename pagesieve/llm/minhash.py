@@ -271,6 +271,7 @@ def _sketches(batches):
                 out[:, k] = (least * _U(0x9E3779B97F4A7C15) >> _U(56)).astype(np.uint8)
             yield pa.record_batch([b.column("cid"), pa.array([r.tobytes() for r in out], pa.binary())],
                                   ["cid", "sketch"])
+        vec.release()
 
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -334,22 +335,24 @@ WITH RECURSIVE d AS (
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
-  FROM d),
-n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
-p AS (SELECT doc_id, unnest(g) AS x FROM s),
-links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b
-  FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id
-  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
-  HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+f AS (SELECT doc_id, n, i, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3,
+        lead(x, 4) OVER o AS x4 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS MATERIALIZED (
+  SELECT DISTINCT doc_id, concat_ws(' ', x, x1, x2, x3, x4) AS x FROM f WHERE x4 IS NOT NULL OR (n < 5 AND i = 0)),
+n AS MATERIALIZED (
+  SELECT doc_id, count(p.x) AS n FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT s.a, s.b FROM (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id) s
+  JOIN n na ON na.doc_id = s.a JOIN n nb ON nb.doc_id = s.b
+  WHERE 100 * s.c >= 75 * (na.n + nb.n - s.c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 walk AS (
   SELECT doc_id AS a, doc_id AS b FROM n
   UNION
-  SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
+  SELECT walk.a, l.b FROM walk JOIN both_ways l ON walk.b = l.a)
 SELECT n.doc_id, n.n AS n_shingles, min(walk.b) AS component_id, n.doc_id = min(walk.b) AS kept
 FROM n JOIN walk ON walk.a = n.doc_id GROUP BY n.doc_id, n.n
 """
