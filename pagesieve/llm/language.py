@@ -33,7 +33,7 @@ BUCKET_BITS = 16
 SWITCH = 8.0          # nats a change of language costs
 SCRIPT_SHARE = 0.005  # a language is a candidate for a script with at least this share of its letters
 UND = "und"
-TEXT_BLOCK = 6 << 20
+TEXT_BLOCK = 2 << 20
 _U = np.uint64
 
 # First code points of script ranges; a range ends where the next begins. Fixed values (Unicode blocks).
@@ -82,7 +82,7 @@ class LetterWords:
         begins[1:] &= ~letter[:-1]
         heads = self.heads[width > 0]
         begins[heads] = letter[heads]
-        at = np.flatnonzero(letter)
+        at = np.flatnonzero(letter).astype(np.int32)
         self.start = np.flatnonzero(begins)
         where = np.flatnonzero(begins[at])          # each word's first place among the letters
         self.size = np.diff(where, append=len(at))
@@ -92,7 +92,7 @@ class LetterWords:
         self.first = np.searchsorted(self.start, np.r_[self.heads, len(cp)])
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
         if len(where):
-            pos = np.arange(len(at)) - np.repeat(where, self.size)
+            pos = np.arange(len(at), dtype=np.int32) - np.repeat(where.astype(np.int32), self.size)
             p = vec.powers(int(self.size.max()) + 1)
             self.hash = vec.mix(np.add.reduceat(code[self.letters] * p[pos], where))
         else:

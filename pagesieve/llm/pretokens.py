@@ -20,7 +20,7 @@ from . import vec
 
 LATIN = 0x250
 LETTER, NUMBER, SPACE, SIGN, EDGE = range(5)
-CACHE = 3 << 20   # distinct strings kept by a worker before it starts anew
+CACHE = 1 << 19   # distinct strings kept by a worker before it starts anew
 _U = np.uint64
 
 

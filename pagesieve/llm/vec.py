@@ -7,6 +7,7 @@ how many rows it reads.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _U = np.uint64
 
 
@@ -55,6 +56,15 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[o[0]:o[-1]], o - o[0]
 
 
+def release() -> None:
+    """Give freed memory back: a worker lives through many tasks, and its peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):      # another C library: nothing to trim
+        pass
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most ``limit`` bytes of text (or one row)."""
     for b in batches:
@@ -67,6 +77,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             j = min(n, max(i + 1, int(np.searchsorted(o, o[i] + limit, "right")) - 1))
             yield b.slice(i, j - i)
             i = j
+        release()
 
 
 # ---------------------------------------------------------------- words of UTF-8 bytes
