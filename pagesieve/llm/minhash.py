@@ -137,14 +137,18 @@ def _sets(bits: np.ndarray):
 MARKS = 1 << 22   # bits of the bitmap of ids whose sets are needed: half a megabyte, whatever the input
 
 
+_HIGH = 0x9E3779B1   # of a row key the high bits name its partition
+
+
 def _slot(ids: pa.Array, size: int) -> np.ndarray:
-    return np.asarray(ids.fill_null(0)).astype(np.int64) & (size - 1)
+    x = np.asarray(ids.fill_null(0)).astype(np.int64)
+    return (x ^ ((x >> 33) * _HIGH)) & (size - 1)
 
 
 def _marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the ids' low bits, put together from at most MARKS/32 words."""
-    slot = F.col("id").bitwiseAND(MARKS - 1)
-    words = (ids.select(F.shiftright(slot, 5).alias("w"), F.expr("shiftleft(1L, cast(id & 31 as int))").alias("b"))
+    """A bitmap of fixed size of the ids' slots, put together from at most MARKS/32 words."""
+    slots = ids.select(F.expr(f"(id ^ (shiftright(id, 33) * {_HIGH}L)) & {MARKS - 1}").alias("s"))
+    words = (slots.select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
     bits = np.zeros(MARKS // 32, np.uint32)
     for w, b in words:
@@ -206,7 +210,8 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     bits = _marked(info.select(F.coalesce("rep", F.lit(0)).alias("id")))
     sets = write_table(
         texts.mapInArrow(_sets(bits), "id long, d1 long, set array<long>")
-        .join(info.select(F.col("rep").alias("id"), "d1", "cid"), ["id", "d1"])
+        .join(info.select("rep", F.col("d1").alias("d"), "cid"),
+              F.col("id").eqNullSafe(F.col("rep")) & (F.col("d1") == F.col("d")))
         .select("cid", "set").dropDuplicates(["cid"]), "minhash-sets")
 
     hubs = posts.groupBy("tok").agg(F.max(F.struct("pop", F.expr("-cid").alias("c"), "n")).alias("m")).select(
@@ -365,13 +370,15 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the document with the smallest id stays.
+    """Pipeline stage: of each near-duplicate group the row with the smallest id stays, null ids last.
 
-    Of repeated rows with that id the first stays. Texts are shuffled once, after
-    the groups are known.
+    Rows are grouped under a row key of their own, written before it is used: a
+    ``doc_id`` only orders the rows of a group, so unlike texts with null or equal
+    ids all stay, and of rows with one id and alike texts the first stays.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = (numbered.select("doc_id", "_row").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .groupBy("_id").agg(F.min("_row").alias("_row")).select("_row"))
+    numbered = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_groups(numbered, "_row").select("_row", F.col("component_id").alias("_group"))
+    rows = (numbered.select("doc_id", "_row").join(groups, "_row")
+            .groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_least"))
+            .select(F.col("_least._row").alias("_row")))
     return numbered.join(rows, "_row", "left_semi").select(docs.columns)

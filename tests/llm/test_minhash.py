@@ -81,3 +81,27 @@ def test_stage_keeps_one_of_each_group(spark, make_docs, edge_rows):
     assert out.columns == docs.columns
     kept = sorted(d for d, _, c, k in brute(edge_rows) if k)
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(kept))
+
+
+def near(words, *changes):
+    """A text of ``words`` with the words at ``changes`` replaced."""
+    return " ".join("other" if i in changes else w for i, w in enumerate(words))
+
+
+def test_near_copies_among_null_ids_are_linked(make_docs):
+    words = [f"w{i}" for i in range(200)]
+    # the ends are alike only through the middle, whose id is null
+    left, right = near(words, *range(0, 25)), near(words, *range(175, 200))
+    got = minhash.near_groups(make_docs([(8, left, None), (None, near(words), None), (9, right, None)])).collect()
+    assert sorted((r.component_id, r.kept) for r in got) == [(8, False), (8, False), (8, True)]
+
+
+def test_stage_keeps_unlike_texts_of_one_id(spark, make_docs):
+    words = [[f"{g}{i}" for i in range(100)] for g in "abcdef"]
+    a, b, c, d, e, f = (near(w) for w in words)
+    rows = [(None, a, None), (None, b, None), (None, near(words[0], 5), None),   # null ids: one pair alike, one not
+            (7, c, None), (7, d, None), (7, near(words[2], 50), None),           # one id, reused
+            (3, near(words[4], 9), None), (None, e, None), (2, e, None),         # the smallest id of a group stays
+            (None, f, None), (None, None, None), (None, "", None)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in minhash.keep_one(spark, make_docs(rows), "").collect())
+    assert got == sorted([(0, a), (0, b), (7, c), (7, d), (2, e), (0, f), (0, ""), (0, "")])
