@@ -14,7 +14,8 @@ match. Further kinds are reported only if their content parses:
 
 Spans are code points, end exclusive. A null text counts as empty; an empty text
 has no span. Overlapping spans of different kinds are all reported. Work is
-linear in the text: candidates are maximal runs, each decoded once.
+linear in the text but for keys nested in each other: candidates are maximal runs
+of lines; a key starts with a line and ends with one, where its own lengths say.
 """
 
 from __future__ import annotations
@@ -43,9 +44,15 @@ KINDS = ["assign", "access", "hex", "pem_key", "der_key", "ssh_key", "coded_key"
 
 _PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _PEM_END = re.compile(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
-_HEXRUN = re.compile(r"(?:[0-9a-fA-F]{2})+\Z")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_.-])")
+# Lines of a wrapped run; the last one may have any length.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*"
+                  r"(?:\r?\n[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+_LINE = re.compile(r"[^\r\n=]+")
+FIRST_LINE = 40
+_HEXRUN = re.compile(r"(?:[0-9a-fA-F]{2})+")
+# Maximal parts, so a full stop may follow the last one, but no further part.
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)(?!\.[A-Za-z0-9_-])")
+_SIGNED_START = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.")
 SIGNATURE_BYTES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96),
                    "ES512": (132, 132), "ES256K": (64, 64), "EdDSA": (64, 114)}
 SIGNATURE_BYTES |= {f"{f}{n}": (128, 2048) for f in ("RS", "PS") for n in (256, 384, 512)}
@@ -76,6 +83,16 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with ``head``, by its own length; None if it is none."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F
+    if not head[1] & 0x80:
+        return 2 + n
+    return 2 + n + int.from_bytes(head[2:2 + n], "big") if 1 <= n <= 4 else None
+
+
 def is_der_key(data: bytes) -> bool:
     """Whether ``data`` is one of the DER private key forms."""
     top = der_items(data) if data[:1] == b"\x30" else None
@@ -99,12 +116,19 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+SSH_MAGIC = b"openssh-key-v1\0"
+
+
 def is_ssh_key(data: bytes) -> bool:
     """Whether ``data`` is the OpenSSH private key format, every length prefix fitting."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+    return ssh_size(data) == len(data) > 0
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that ``data`` begins with, by its length prefixes; None if it is none."""
+    if not data.startswith(SSH_MAGIC):
+        return None
+    at = len(SSH_MAGIC)
 
     def field() -> bytes | None:
         nonlocal at
@@ -115,17 +139,16 @@ def is_ssh_key(data: bytes) -> bool:
         at += 4 + size
         return got
     if any(field() is None for _ in range(3)):           # cipher, key derivation, its options
-        return False
+        return None
     keys = int.from_bytes(data[at:at + 4], "big")
     at += 4
     if not 1 <= keys <= 64:
-        return False
+        return None
     for _ in range(keys):
         public = field()
         if public is None or not 4 <= int.from_bytes(public[:4], "big") <= len(public) - 4:
-            return False
-    private = field()
-    return bool(private) and at == len(data)
+            return None
+    return at if field() else None
 
 
 def from_base64(run: str) -> bytes | None:
@@ -184,23 +207,75 @@ def pem_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def run_kind(run: str) -> str | None:
-    """What a bare base64 or hex run holds, if anything."""
-    data = bytes.fromhex(run) if _HEXRUN.match(run) else None
-    for d in (data, from_base64(run)):
-        if not d:
-            continue
-        if is_der_key(d):
-            return "der_key"
-        if is_ssh_key(d):
-            return "ssh_key"
-        if d[:11] == b"-----BEGIN " or d[:3] == b"eyJ":
-            inner = d.decode("latin-1")
-            if pem_spans(inner) or any(is_signed(*m.groups()) for m in _SIGNED.finditer(inner)):
-                return "coded_key"
+def _unhex(chars: str) -> bytes | None:
+    m = _HEXRUN.match(chars)
+    return bytes.fromhex(m[0]) if m else None
+
+
+def _unbase64(chars: str) -> bytes | None:
+    return from_base64(chars[:-1] if len(chars) % 4 == 1 else chars)
+
+
+def _coded_end(inner: str, ends: list[int], bits: int) -> int | None:
+    """Of ``ends``, numbers of characters of ``bits`` each, the one that ends the coded secret of ``inner``, if any."""
+    found = pem_spans(inner)
+    if found:
+        return ends[min(bisect_left(ends, -(-found[-1][1] * 8 // bits)), len(ends) - 1)]
+    m = _SIGNED_START.match(inner)
+    if m:
+        # the longest signature has 2,048 bytes, that is 2,731 characters
+        low, high = bisect_left(ends, m.end() * 8 // bits), bisect_left(ends, (m.end() + 2740) * 8 // bits)
+        for end in reversed(ends[low:high]):
+            last = _SIGNED.match(inner[:end * bits // 8])
+            if last and is_signed(*last.groups()):
+                return ends[bisect_left(ends, -(-last.end() * 8 // bits))]
+    return ends[-1] if any(is_signed(*x.groups()) for x in _SIGNED.finditer(inner)) else None
+
+
+def _key_at(flat: str, at: int, ends: list[int]) -> tuple[str, int] | None:
+    """What starts at ``at`` in a run without line breaks, and the line end (of ``ends``) where it ends."""
+    for decode, bits in ((_unhex, 4), (_unbase64, 6)):
+        head = decode(flat[at:at + 32]) or b""
+        size = der_size(head)
+        if size:
+            end = at - (-size * 8 // bits)
+            k = bisect_left(ends, end)
+            if k < len(ends) and ends[k] == end and is_der_key(decode(flat[at:end]) or b""):
+                return "der_key", end
+        elif head.startswith(SSH_MAGIC):
+            size = ssh_size(decode(flat[at:]))
+            end = at - (-size * 8 // bits) if size else -1
+            if end in ends:
+                return "ssh_key", end
+        elif head[:11] == b"-----BEGIN " or head[:3] == b"eyJ":
+            later = [e - at for e in ends[bisect_left(ends, at + 1):]]
+            end = _coded_end(decode(flat[at:]).decode("latin-1"), later, bits)
+            if end:
+                return "coded_key", at + end
     return None
 
 
+def run_keys(run: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of what the lines of a bare base64 or hex run hold."""
+    lines = [m.span() for m in _LINE.finditer(run)]
+    flat = "".join(run[a:b] for a, b in lines)
+    ends, n = [], 0
+    for a, b in lines:
+        n += b - a
+        ends.append(n)
+    out, done = [], 0
+    for i, (a, b) in enumerate(lines):
+        at = ends[i] - (b - a)
+        if at < done or b - a < FIRST_LINE or run[a] not in "MLbZ0123456789abcdefABCDEF":
+            continue
+        found = _key_at(flat, at, ends)
+        if found:
+            kind, done = found
+            k = bisect_left(ends, done)
+            out.append((a, kind, len(run) if k == len(lines) - 1 else lines[k][1]))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the three base patterns, in order."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -215,15 +290,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     armoured = pem_spans(text)
     found = [(a, KINDS.index("pem_key"), b) for a, b in armoured]
     for m in _RUN.finditer(text):
-        run = m[0].split("\n")[0] if "\n" in m[0] else m[0]
-        if run[:1] not in "MLbZ0123456789abcdefABCDEF":
-            continue
-        kind = run_kind(m[0])
-        end = m.end()
-        if kind is None and "\n" in m[0]:
-            kind, end = run_kind(run.rstrip("\r")), m.start() + len(run.rstrip("\r"))
-        if kind and not any(a <= m.start() < b for a, b in armoured):
-            found.append((m.start(), KINDS.index(kind), end))
+        if "\n" in m[0] or m[0][0] in "MLbZ0123456789abcdefABCDEF":
+            found += [(m.start() + a, KINDS.index(kind), m.start() + b) for a, kind, b in run_keys(m[0])
+                      if not any(x <= m.start() + a < y for x, y in armoured)]
     if "eyJ" in text:
         found += [(m.start(), KINDS.index("signed_token"), m.end()) for m in _SIGNED.finditer(text)
                   if is_signed(*m.groups())]

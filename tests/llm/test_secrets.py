@@ -114,3 +114,41 @@ def test_stage_masks(spark, make_docs):
     assert out.columns == docs.columns and out.schema == docs.schema
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got[1] == ("ä [SECRET] und [SECRET] Ende", 28) and got[2] == ("clean", 5) and got[3] == (None, None)
+
+
+P256 = der(0x30, number(1) + der(4, b"k" * 32) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107")))
+           + der(0xA1, der(3, b"\0\4" + b"x" * 64)))
+
+
+def wrapped(s, width, end="\n"):
+    return end.join(s[i:i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("after", [".", ". Next", ".\nNext", "...", ",", ""])
+def test_signed_token_before_a_full_stop(after):
+    assert secrets.confirmed_spans("use " + jwt() + after) == [(4, secrets.KINDS.index("signed_token"), 4 + len(jwt()))]
+
+
+def test_signed_token_has_three_parts():
+    assert kinds(jwt() + ".abc") == [] and kinds(jwt() + "x") == []
+
+
+@pytest.mark.parametrize("body,kind", [
+    (wrapped(b64(P256), 76), "der_key"), (wrapped(b64(P256), 64, "\r\n"), "der_key"),
+    (wrapped(b64(P8).rstrip("="), 76), "der_key"), (wrapped(P256.hex(), 64), "der_key"),
+    (wrapped(P8.hex().upper(), 76), "der_key"), (wrapped(b64(SSH), 70), "ssh_key"),
+    (wrapped(b64(SSH).rstrip("="), 70), "ssh_key"), (wrapped(b64(armour("PRIVATE KEY", P8).encode()).rstrip("="), 76), "coded_key"),
+    (wrapped(b64(jwt().encode()).rstrip("="), 76), "coded_key"), (wrapped(jwt().encode().hex(), 76), "coded_key"),
+    (b64(P256).rstrip("="), "der_key")])
+@pytest.mark.parametrize("after", ["", " end", "\nEnd of it", "\n" + "averylongword" * 3 + "\nand more",
+                                   "\n" + "averylongword" * 3 + "\nsecond0line0of0words\nx"])
+def test_wrapped_keys(body, kind, after):
+    assert secrets.confirmed_spans("key:\n" + body + after) == [(5, secrets.KINDS.index(kind), 5 + len(body))]
+
+
+def test_keys_line_after_line():
+    one, two = wrapped(b64(P256).rstrip("="), 76), wrapped(b64(SSH).rstrip("="), 70)
+    text = "0f" * 32 + "\n" + b64(P8).rstrip("=") + "\n" + two
+    assert kinds(text) == ["der_key", "ssh_key"]
+    assert len(one.split("\n")[-1]) == len(b64(P256).rstrip("=")) % 76
+    assert kinds(wrapped("M" * 5000, 64)) == [] and kinds(wrapped("30" * 5000, 64)) == []
