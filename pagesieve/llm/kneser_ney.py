@@ -13,8 +13,8 @@ order's n-grams with the number found here. So a frequent word, line or text is
 one entry per task or shard, never one group.
 
 Each shard is written, in the folder that the cluster shares, as arrays sorted by
-hash: a count of one byte per n-gram (larger counts in a side table), totals per
-context. Workers map these files into memory and look up sorted blocks of
+hash: a count of one byte per n-gram and four per context (those of larger totals
+in a side table). Workers map these files into memory and look up sorted blocks of
 hashes, so a model larger than memory is read page by page. A lost executor's
 tasks write the same files again under a temporary name and rename them.
 """
@@ -38,7 +38,7 @@ from . import vec
 from .registry import llm_query
 from .tables import load, shared_path
 
-ORDER = 2
+ORDER = 3
 SHARD_BYTES = 24 << 20    # text per shard
 RUN_BYTES = 16 << 20      # text that a task sorts at once
 _U = np.uint64
@@ -82,16 +82,33 @@ def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- counting
 
-def _blob(*arrays: np.ndarray) -> bytes:
+def _slim(a: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them; hashes as they are."""
+    return a if a.dtype == np.uint64 or not len(a) else a.astype(np.min_scalar_type(a.max()))
+
+
+def _blob(arrays: list[np.ndarray], words: int) -> bytes:
+    """Compressed arrays; of several leading columns of words the distinct words and planes of numbers, rows sorted."""
+    if words > 1:
+        values, at = np.unique(np.concatenate(arrays[:words]), return_inverse=True)
+        at = at.reshape(words, -1)
+        order = np.argsort(at[0] * len(values) + at[1])
+        at = np.ascontiguousarray(at[:, order], "<u4")
+        at[0] = np.diff(at[0], prepend=at[0][:1] * 0)
+        arrays = [values, at.view(np.uint8).reshape(words, -1, 4).transpose(0, 2, 1), *(a[order] for a in arrays[words:])]
     buf = io.BytesIO()
     for a in arrays:
-        np.save(buf, a, allow_pickle=False)
+        np.save(buf, np.ascontiguousarray(_slim(a)), allow_pickle=False)
     return pa.compress(buf.getvalue(), codec="zstd", asbytes=True) + len(buf.getvalue()).to_bytes(8, "little")
 
 
-def _unblob(data: bytes, n: int) -> list[np.ndarray]:
+def _unblob(data: bytes, n: int, words: int = 0) -> list[np.ndarray]:
     buf = io.BytesIO(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True))
-    return [np.load(buf, allow_pickle=False) for _ in range(n)]
+    out = [np.load(buf, allow_pickle=False) for _ in range(n - words + 2 if words > 1 else n)]
+    if words > 1:
+        at = np.ascontiguousarray(out[1].transpose(0, 2, 1)).view("<u4")[:, :, 0]
+        out = [out[0][np.cumsum(at[0], dtype=np.int64)], *(out[0][x] for x in at[1:]), *out[2:]]
+    return [a if a.dtype == np.uint64 and i < max(words, 1) else a.astype(np.int64) for i, a in enumerate(out)]
 
 
 def _deal(kind: str, n: int, key: np.ndarray, bits: int, arrays: list[np.ndarray]):
@@ -103,7 +120,7 @@ def _deal(kind: str, n: int, key: np.ndarray, bits: int, arrays: list[np.ndarray
     shard, arrays = shard[order], [a[order] for a in arrays]
     cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True):
-        yield kind, n, int(shard[a]), _blob(*(x[a:b] for x in arrays))
+        yield kind, n, int(shard[a]), _blob([x[a:b] for x in arrays], n if kind == "gram" else 1)
 
 
 def _counted(columns: list[np.ndarray], weight: np.ndarray | None = None):
@@ -151,12 +168,10 @@ def _runs(order: int, bits: int):
 def _merge(path: str, bits: int):
     """One shard of one kind: merge its runs, write its arrays, deal on what lower orders and contexts need."""
     def grams(n, shard, blobs):
-        parts = [_unblob(x, n + 1) for x in blobs]
+        parts = [_unblob(x, n + 1, n) for x in blobs]
         cols = [np.concatenate([p[i] for p in parts]) for i in range(n)]
         h, cols, c = _counted(cols, np.concatenate([p[n] for p in parts]))
-        big = c >= 255
-        _store(path, f"gram{n}-{shard}", hash=h, small=np.where(big, 255, c).astype(np.uint8),
-               big_hash=h[big], big=c[big])
+        _store_counts(path, f"gram{n}-{shard}", h, count=c)
         stat = [np.count_nonzero(c == i) for i in (1, 2, 3, 4)]
         yield "stat", n, shard, np.array([*stat, c.sum(), len(c)], np.int64).tobytes()
         if n == 1:
@@ -177,12 +192,12 @@ def _merge(path: str, bits: int):
         ctx = ctx[order]
         at = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
         total, one, two, more = (np.add.reduceat(x[order], at) for x in sums)
-        _store(path, f"context{n}-{shard}", hash=ctx[at], total=total, one=one, two=two, more=more)
+        _store_counts(path, f"context{n}-{shard}", ctx[at], total=total, one=one, two=two, more=more)
 
     def raw(shard, blobs):
         parts = [_unblob(x, 2) for x in blobs]
         h, _, c = _counted([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
-        _store(path, f"raw1-{shard}", hash=h, count=c)
+        _store_counts(path, f"raw1-{shard}", h, count=c)
         yield "stat", 0, shard, np.array([0, 0, 0, 0, c.sum(), len(c)], np.int64).tobytes()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -201,6 +216,13 @@ def _merge(path: str, bits: int):
     return run
 
 
+def _store_counts(path: str, name: str, h: np.ndarray, **counts: np.ndarray) -> None:
+    """Counts of one byte each, none above the first of its row; rows whose first is 255 or more in a side table."""
+    big = next(iter(counts.values())) >= 255
+    _store(path, name, hash=h, **{k: np.where(big, 255, c).astype(np.uint8) for k, c in counts.items()},
+           big_hash=h[big], **{f"big_{k}": c[big] for k, c in counts.items()})
+
+
 def _store(path: str, name: str, **arrays: np.ndarray) -> None:
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
     for part, a in arrays.items():
@@ -297,12 +319,12 @@ def _lookup(model: Model, kind: str, h: np.ndarray, parts: tuple[str, ...]) -> l
         hit = keys[at] == h[a:b]
         for o, part in zip(out, parts, strict=True):
             o[a:b][hit] = _mapped(model.path, f"{name}-{part}")[at[hit]]
-        if "small" in parts:
-            o, many = out[parts.index("small")], np.flatnonzero(hit) + a
-            many = many[o[many] == 255]
-            if len(many):
-                side = _mapped(model.path, f"{name}-big_hash")
-                o[many] = _mapped(model.path, f"{name}-big")[np.searchsorted(side, h[many])]
+        many = np.flatnonzero(hit) + a
+        many = many[out[0][many] == 255]
+        if len(many):
+            place = np.searchsorted(_mapped(model.path, f"{name}-big_hash"), h[many])
+            for o, part in zip(out, parts, strict=True):
+                o[many] = _mapped(model.path, f"{name}-big_{part}")[place]
     return out
 
 
@@ -322,7 +344,7 @@ def _probabilities(model: Model, cols: list[np.ndarray]) -> np.ndarray:
         d = np.array([0.0, *model.discount[n - 1]])
         own = cols[model.order - n:]
         each, slot = _distinct(fold(own))
-        c = _lookup(model, f"gram{n}", each, ("small",))[0]
+        c = _lookup(model, f"gram{n}", each, ("count",))[0]
         c = np.maximum(c - d[np.minimum(c, 3)], 0)[slot]
         if n == 1:
             total, one, two, more = model.lowest

@@ -104,3 +104,23 @@ def test_large_counts(make_docs):
     text = "a " * 1000 + "b"
     docs = make_docs([(1, text, None)])
     assert K.score(docs, K.train(docs)).collect()[0].score == pytest.approx(Brute([text], K.ORDER).score(text))
+
+
+def test_query_scores_with_two_words_of_context(make_docs, texts):
+    docs = make_docs([(i, t, None) for i, t in enumerate(texts)])
+    model = K.train(docs)
+    assert model.order == 3
+    brute = Brute(texts, 3)
+    for r in K.score(docs, model).collect():
+        assert r.score == pytest.approx(brute.score(texts[r.doc_id]), rel=1e-9)
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_blobs_hold_their_rows(words):
+    rng = random.Random(words)
+    pool = [rng.getrandbits(64) for _ in range(300)]
+    rows = {(*(rng.choice(pool) for _ in range(words)), rng.choice([1, 2, 300, 70_000, 1 << 40])) for _ in range(2000)}
+    cols = [K.np.array(c, K.np.uint64) for c in zip(*rows, strict=True)]
+    cols[-1] = cols[-1].astype(K.np.int64)
+    got = K._unblob(K._blob(cols, words), words + 1, words)
+    assert {tuple(map(int, r)) for r in zip(*got, strict=True)} == rows and got[-1].dtype == K.np.int64
