@@ -15,5 +15,6 @@ def llm_query(name: str, sql: str | None = None):
 
 
 def load_queries() -> dict:
-    from . import ann, fingerprints, kneser_ney, language, minhash, packing, pieces, secrets, sharding, urls  # noqa: F401
+    from . import (ann, collocations, decontaminate, fingerprints, kneser_ney,  # noqa: F401
+                   language, middle, minhash, packing, pieces, secrets, sharding, urls)
     return LLM_QUERIES
