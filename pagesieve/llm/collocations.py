@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,25 @@ class Text:
                 yield size, [self.lang[at[due]], *(self.word[at[due] + i] for i in range(size))], since[due]
 
 
+_MARKS: dict = {}
+
+
+def squeezed(marks: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """The marks, few of which are set, compressed for the broadcast."""
+    return [(len(m), pa.compress(m.tobytes(), codec="zstd", asbytes=True)) for m in marks]
+
+
+def _known(marks, name: str) -> list[np.ndarray]:
+    """The marks of the step of that unique name, unpacked once a worker."""
+    if name not in _MARKS:
+        _MARKS.clear()
+        _MARKS[name] = [np.frombuffer(pa.decompress(x, n, codec="zstd", asbytes=True), np.uint8) for n, x in marks.value]
+    return _MARKS[name]
+
+
 def _count(marks, sizes: list[int], step: int, cycle: int, bits: int):
+    name = uuid.uuid4().hex
+
     def flush(held: dict):
         for size, parts in held.items():
             cols = [np.concatenate([p[0][i] for p in parts]) for i in range(size + 1)]
@@ -186,7 +205,7 @@ def _count(marks, sizes: list[int], step: int, cycle: int, bits: int):
                     [texts[i] for i in one[a:z].tolist()] if texts is not None else None))
 
     def run(batches):
-        known = marks.value
+        known = _known(marks, name)
         held, size_now = {s: [] for s in sizes}, 0
         for b in vec.blocks(batches):
             text = Text(b)
@@ -291,7 +310,7 @@ def count_phrases(texts: DataFrame, least: int, longest: int, shards: int,
     while step < max(x + shards for x in last):
         step += 1
         sizes = [n + 1 for n in range(longest) if last[n] + shards >= step]
-        known = spark.sparkContext.broadcast(marks)
+        known = spark.sparkContext.broadcast(squeezed(marks))
         rows = dealt.where(F.col("shard") == (step - 1) % shards).select("lang", "text").mapInArrow(
             _count(known, sizes, step, shards, bits), ROWS)
         if state is not None:
