@@ -32,6 +32,7 @@ from .tables import load, write_table
 CAPACITY = 1024
 GROUP = 1 << 16
 END_ID = 2
+TEXT_BLOCK = 1 << 20      # bytes of text encoded at once (or one text)
 NEVER = 1 << 60
 
 
@@ -57,7 +58,7 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder = _encoder(path)
-        for b in vec.blocks(batches):
+        for b in vec.blocks(batches, limit=TEXT_BLOCK):
             ids, counts = encoder.encode(vec.strings(b.column("text")).to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             row, piece, start, length, crc, at = [], [], [], [], [], 0
@@ -197,5 +198,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' pieces and their places in sequences."""
+    """Pipeline stage: the documents' pieces and their places in sequences.
+
+    A null or empty text is one piece, its end id; a long one many; repeated rows
+    each have their pieces; a null id stays null; further columns are left out;
+    an empty table gives no row.
+    """
     return pack_pieces(cut_pieces(docs))

@@ -20,7 +20,9 @@ from . import vec
 
 LATIN = 0x250
 LETTER, NUMBER, SPACE, SIGN, EDGE = range(5)
-CACHE = 1 << 19   # distinct strings kept by a worker before it starts anew
+CACHE = 1 << 17   # distinct strings kept by a worker before it starts anew ...
+POOL = 1 << 21    # ... or when their ids are more than so many
+CHUNK = 1 << 12   # strings given to the library at once
 _U = np.uint64
 
 
@@ -83,8 +85,17 @@ def cuts(cp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def encoded(path: str, texts: list[str], chunk: int) -> list[np.ndarray]:
+    """Ids of each text; the library's encodings, far larger than their ids, live for a chunk of texts only."""
+    out = []
+    for i in range(0, len(texts), chunk):
+        out.extend(np.array(e.ids, np.uint32)
+                   for e in tokenizer(path).encode_batch(texts[i:i + chunk], add_special_tokens=False))
+    return out
+
+
 class IdPool:
-    """Id lists of strings by the strings' hash; starts anew beyond ``CACHE`` strings."""
+    """Id lists of strings by the strings' hash; starts anew beyond ``CACHE`` strings or ``POOL`` ids."""
 
     def __init__(self):
         self._clear()
@@ -101,7 +112,7 @@ class IdPool:
         ``encode`` gets the positions of strings not met before and returns their
         ids one after another and the number of ids of each.
         """
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or len(self.pool) > POOL:
             self._clear()
         order = np.argsort(h)
         s = h[order]
@@ -149,9 +160,8 @@ class Encoder:
         whole = {}
         if odd.any():
             rows = np.flatnonzero(odd)
-            for i, e in zip(rows, tokenizer(self.path).encode_batch([texts[i] for i in rows], add_special_tokens=False),
-                            strict=True):
-                whole[i] = np.array(e.ids, np.uint32)
+            for i, part in zip(rows, encoded(self.path, [texts[i] for i in rows], 16), strict=True):
+                whole[i] = part
         plain = np.flatnonzero(~odd)
         ids, per = self._plain([texts[i] for i in plain])
         counts[plain] = per
@@ -185,9 +195,8 @@ class Encoder:
 
         def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words = [text[a:b] for a, b in zip(start[at].tolist(), (start[at] + seg[at]).tolist(), strict=True)]
-            got = [e.ids for e in tokenizer(self.path).encode_batch(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((x for g in got for x in g), np.uint32, int(size.sum())), size
+            got = encoded(self.path, words, CHUNK)
+            return (np.concatenate(got) if got else np.zeros(0, np.uint32)), np.array([len(g) for g in got], np.int64)
         ids, size = self.known.ids(h, fresh)
         bounds = np.searchsorted(start, edges)
         total = np.r_[0, np.cumsum(size)]
