@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .components import components
 from .registry import llm_query
-from .tables import load, write_table
+from .tables import free_name, load, write_table
 
 WORDS = 5
 COORDINATES = 64
@@ -374,11 +374,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are grouped under a row key of their own, written before it is used: a
     ``doc_id`` only orders the rows of a group, so unlike texts with null or equal
-    ids all stay, and of rows with one id and alike texts the first stays.
+    ids all stay, and of rows with one id and alike texts the first stays. All columns
+    of ``docs`` come back as they are, whatever their names; texts that are null or
+    without words are never alike; an empty table stays empty.
     """
-    numbered = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-rows")
-    groups = near_groups(numbered, "_row").select("_row", F.col("component_id").alias("_group"))
-    rows = (numbered.select("doc_id", "_row").join(groups, "_row")
-            .groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_least"))
-            .select(F.col("_least._row").alias("_row")))
-    return numbered.join(rows, "_row", "left_semi").select(docs.columns)
+    key = free_name(docs.columns, "_row")
+    numbered = write_table(docs.withColumn(key, F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_groups(numbered, key).select(F.col(key).alias("row"), F.col("component_id").alias("group"))
+    rows = (numbered.select("doc_id", F.col(key).alias("row")).join(groups, "row")
+            .groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+            .select(F.col("least.row").alias(key)))
+    return numbered.join(rows, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with as many underscores in front as make it unlike all columns in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def write_table(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage.
 

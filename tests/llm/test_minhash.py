@@ -105,3 +105,12 @@ def test_stage_keeps_unlike_texts_of_one_id(spark, make_docs):
             (None, f, None), (None, None, None), (None, "", None)]
     got = sorted((r.doc_id or 0, r.text or "") for r in minhash.keep_one(spark, make_docs(rows), "").collect())
     assert got == sorted([(0, a), (0, b), (7, c), (7, d), (2, e), (0, f), (0, ""), (0, "")])
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, near(words), "keep1", "a"), (2, near(words), "drop", "b"), (None, "x y", "keep2", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, `_ROW_2` string")
+    got = minhash.keep_one(spark, docs, "")
+    assert got.schema == docs.schema
+    assert sorted((r["_row"], r["_ROW_2"]) for r in got.collect()) == [("keep1", "a"), ("keep2", "c")]
