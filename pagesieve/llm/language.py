@@ -8,8 +8,9 @@ short stray word does not break a span but a passage in another language does.
 The text's language is the one with the most letters in its spans.
 
 Training counts n-grams of a bounded sample of labelled documents: at most about
-``PER_LANGUAGE`` per language, taken by a hash of the id (all of them if there
-are fewer). Its bound holds at every size; prediction covers every text whole.
+``PER_LANGUAGE`` different ones per language, taken by a hash of id and text (all of
+them if there are fewer), of the ``MAX_LANGUAGES`` languages with the most rows.
+These bounds hold at every size; prediction covers every text whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from . import vec
 from .registry import llm_query
 from .tables import load
 
-PER_LANGUAGE = 4000
+PER_LANGUAGE = 4000       # documents that a language is learned from, about (the bound of the sample)
+MAX_LANGUAGES = 256       # languages learned: those of the most rows (the bound of the model's size)
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 SWITCH = 8.0          # nats a change of language costs
@@ -231,8 +233,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on rows with a language and a text; without any, a model without languages."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((len(ORDERS) << BUCKET_BITS, 0), np.float32),
@@ -242,7 +245,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share = min(1.0, per_language / sizes[x])
         keep = keep | ((F.col("lang") == x) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))))
     parts = max(1, min(16, sum(min(n, per_language) for n in sizes.values()) // 250))
-    got = (rows.where(keep).select("lang", "text").repartition(parts)
+    sample = rows.where(keep).dropDuplicates(["lang", "h"])     # rows with one id and text come in once
+    got = (sample.select("lang", "text").repartition(parts)
            .mapInArrow(_count(languages), "k int, grams binary, scripts binary")
            .groupBy("k").applyInArrow(_sum, "k int, grams binary, scripts binary").collect())
     counts = np.zeros((len(languages), len(ORDERS) << BUCKET_BITS))
@@ -325,7 +329,13 @@ MIN_SCORE = 0.25
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows stay if their text has a language that covers at least a quarter of its letters."""
+    """Pipeline stage: rows stay if their text has a language that covers at least a quarter of its letters.
+
+    Null, empty and letterless texts go, as do all rows where no row has a
+    language to learn from; repeated rows stay or go alike; long texts are judged
+    whole; ids and further columns, whatever their names, come back as they are;
+    an empty table stays empty.
+    """
     model = train(docs)
     shared = spark.sparkContext.broadcast(model)
 

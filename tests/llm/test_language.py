@@ -99,3 +99,27 @@ def test_stage(spark, make_docs, corpus):
     out = L.keep_identified(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [d for d, _, _ in corpus]
+
+
+def test_sample_is_bounded(make_docs, monkeypatch):
+    """Null and repeated ids, and one text in a third of the rows, do not make the sample larger."""
+    taken = []
+    rows = [(None if i % 3 else i % 7, prose(random.Random(i), "en", 6), "en") for i in range(4000)]
+    rows += [(None, "the same text", "en")] * 2000
+    frame = type(make_docs([]))
+    repartition = frame.repartition
+
+    def watch(self, n, *cols):
+        taken.append(self.count())
+        return repartition(self, n, *cols)
+    monkeypatch.setattr(frame, "repartition", watch)
+    L.train(make_docs(rows), per_language=500)
+    assert 200 <= taken[0] <= 600
+
+
+def test_dirty_language_column(make_docs, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", 10), "en") for i in range(20)] + [(i, prose(rng, "de", 10), "de") for i in range(10)]
+    rows += [(i, "junk words", f"x{i}") for i in range(30)]
+    assert L.train(make_docs(rows)).languages == ["de", "en"]
