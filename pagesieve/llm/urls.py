@@ -22,6 +22,7 @@ from .registry import llm_query
 from .tables import load, write_table
 
 TRAIN_ROWS = 20_000
+LEAST_AUC = 0.55
 SUFFIX_BUCKETS = 1 << 16
 SMOOTH = 20.0
 TREES = 20
@@ -96,6 +97,8 @@ class UrlModel:
     stats: DataFrame
     prior: float
     trees: GBTClassificationModel | None
+    auc: float | None = None          # on the held-out labels
+    threshold: float = 0.5
 
 
 def _with_stats(rows: DataFrame, stats: DataFrame, prior: float, own: F.Column | None) -> DataFrame:
@@ -116,36 +119,69 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
           train_rows: int = TRAIN_ROWS) -> UrlModel:
-    """Fit on rows with a URL and a label (1 block, 0 allow); rows with a null in either take no part."""
+    """Fit on rows with a URL and a label (1 block, 0 allow); rows with a null in either take no part.
+
+    Rows of one URL and label count as often as they occur, but are one training
+    row, so a URL that repeats cannot make the sample larger than ``train_rows``,
+    about. Both labels weigh the same. A fifth of the sample, by the URL's hash, is
+    held out: it gives the area under the ROC curve and the threshold (the largest
+    difference of the rates of right and of wrong blocks). Where that area is under
+    ``LEAST_AUC``, the features say nothing about the labels and the trees are not
+    asked.
+    """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
-    rows = write_table(lexical(rows), "url-labelled")
-    n, blocked = rows.agg(F.count("*"), F.sum("label")).first()
-    buckets = rows.select(F.explode(F.array(*[f"b_{s}" for s in SUFFIXES])).alias("bucket"), "label")
-    stats = write_table(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")),
-                        "url-suffixes")
+    rows = write_table(lexical(rows.groupBy("url", "label").agg(F.count("*").alias("times"))), "url-labelled")
+    distinct, n, blocked = rows.agg(F.count("*"), F.sum("times"), F.sum(F.expr("times * label"))).first()
+    buckets = rows.select(F.explode(F.array(*[f"b_{s}" for s in SUFFIXES])).alias("bucket"), "label", "times")
+    stats = write_table(buckets.groupBy("bucket").agg(F.sum("times").alias("n"),
+                                                      F.sum(F.expr("times * label")).alias("blocked")), "url-suffixes")
     prior = (blocked or 0.0) / n if n else 0.0
     if not n or blocked in (0, n):
         return UrlModel(stats, prior, None)
-    share = min(1.0, train_rows / n)
-    sample = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = write_table(_assembled(_with_stats(sample, stats, prior, F.col("label"))).select("_features", "label"),
-                         "url-sample").coalesce(4)
-    if sample.select("label").distinct().count() < 2:
+    share = min(1.0, train_rows / distinct)
+    hashed = F.xxhash64("url", "label")
+    sample = rows.where(F.pmod(hashed, F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = sample.withColumns({"weight": F.col("times") * F.when(F.col("label") == 1, n / (2 * blocked))
+                                 .otherwise(n / (2 * (n - blocked))),
+                                 "held": F.pmod(F.shiftright(hashed, 24), F.lit(5)) == 0})
+    sample = write_table(_assembled(_with_stats(sample, stats, prior, F.col("label")))
+                         .select("_features", "label", "weight", "held"), "url-sample").coalesce(4)
+    if sample.where("not held").select("label").distinct().count() < 2:
         return UrlModel(stats, prior, None)
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2,
-                          maxBins=32,
-                          minInstancesPerNode=50, seed=17).fit(sample)
-    return UrlModel(stats, prior, trees)
+    leaf = max(1, min(50, sample.count() // 200))
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
+                          stepSize=0.2, maxBins=32, minInstancesPerNode=leaf, seed=17).fit(sample.where("not held"))
+    auc, threshold = _held_out(trees.transform(sample.where("held")))
+    return UrlModel(stats, prior, trees if auc >= LEAST_AUC else None, auc, threshold)
+
+
+def _held_out(scored: DataFrame) -> tuple[float, float]:
+    """Area under the ROC curve and the best threshold, from the weights in hundredths of the score."""
+    from pyspark.ml.functions import vector_to_array
+    cells = (scored.withColumn("cell", F.floor(vector_to_array("probability")[1] * 100).cast("int"))
+             .groupBy("cell").agg(F.sum(F.expr("weight * label")).alias("bad"),
+                                  F.sum(F.expr("weight * (1 - label)")).alias("good")).collect())     # 101 rows at most
+    bad, good = sum(c.bad for c in cells), sum(c.good for c in cells)
+    if not bad or not good:
+        return 0.5, 0.5
+    at = {c.cell: (c.bad / bad, c.good / good) for c in cells}
+    area, caught, wrong, best = 0.0, 0.0, 0.0, []
+    for cell in range(100, -1, -1):
+        more_caught, more_wrong = at.get(cell, (0.0, 0.0))
+        area += more_wrong * (caught + more_caught / 2)
+        caught, wrong = caught + more_caught, wrong + more_wrong
+        best.append((round(caught - wrong, 9), -abs(cell - 50), cell))      # of equal ones the nearest to one half
+    return area, max(best)[2] / 100
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row: its id, ``host, path, rule, verdict, blocked_score``.
 
-    ``rule`` is null where none fits; then the trees decide (block from a
-    probability of one half; a model without trees gives the labels' only verdict,
-    or allow without labels). A null or empty URL is judged by its (empty)
+    ``rule`` is null where none fits; then the trees decide (block from the model's
+    threshold on; a model without trees gives the verdict of most labels, or allow
+    without labels). A null or empty URL is judged by its (empty)
     features. Repeated rows each get a row, an empty table gives no row; other
     columns are left out.
     """
@@ -157,7 +193,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, id_col: str = "page_id
         from pyspark.ml.functions import vector_to_array
         scored = model.trees.transform(_assembled(_with_stats(rows, model.stats, model.prior, None)))
         scored = scored.withColumn("blocked_score", vector_to_array("probability")[1])
-    own = F.when(F.col("blocked_score") >= 0.5, "block").otherwise("allow")
+    own = F.when(F.col("blocked_score") >= (model.threshold if model.trees is not None else 0.5), "block").otherwise("allow")
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule",
                          F.coalesce("_verdict", own).alias("verdict"), "blocked_score")
 
@@ -170,6 +206,19 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
             .select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("blocked")))
 
 
+# Host, path and rule in SQL; the verdict without a rule comes from the trees, which SQL cannot express.
+RULES_SQL = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS m
+  FROM pages),
+h AS (SELECT page_id, translate(m.h, '{UPPER}', '{LOWER}') AS host, m.p AS path FROM p),
+r AS (SELECT unnest(['net', 'example.net', 'example.com', 'org']) AS rh, unnest(['/', '/en/', '/de/', '/fr/']) AS rp)
+SELECT h.page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule
+FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+GROUP BY h.page_id, host, path
+"""
+
+
 @llm_query("op8_url_filters")
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the URL of every page."""

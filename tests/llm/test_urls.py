@@ -74,3 +74,41 @@ def test_labels_by_document(spark):
     lab = spark.createDataFrame([(5, 0, 0), (6, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     got = sorted(tuple(r) for r in urls.labelled_urls(p, lab).collect())
     assert got == [("http://a.net/en/5?x", 1), ("http://a.net/en/6", 0), ("http://a.net/en/7", 1)]
+
+
+def test_sample_is_bounded_and_repeats_count(spark):
+    many = [("http://hot.com/1", 1)] * 900 + [(f"http://h{i % 40}.com/{i}", i % 2) for i in range(900)] + [(None, 1)] * 50
+    model = urls.train(labelled(spark, many), train_rows=200)
+    assert model.prior == pytest.approx(1350 / 1800)
+    assert sum(r["n"] for r in model.stats.collect()) == 1800 * len(urls.SUFFIXES)
+
+
+def test_statistics_leave_a_rows_own_label_out(spark):
+    rows = [("http://a.com/x.html", 1), ("http://a.com/y.html", 0), ("http://b.a.com/z.php", 1), ("http://a.com/x.html", 1)]
+    model = urls.train(labelled(spark, rows))
+    rated = urls._with_stats(urls.lexical(labelled(spark, rows)), model.stats, model.prior, urls.F.col("blocked"))
+    for r in rated.collect():
+        host = r.url.split("/")[2]
+        others = [b for u, b in rows if u.split("/")[2].split(".")[-1:] == host.split(".")[-1:]]
+        n, bad = len(others) - 1, sum(others) - r.blocked
+        assert r.f_last1_rate == pytest.approx((bad + urls.SMOOTH * 0.75) / (n + urls.SMOOTH))
+        assert r.f_last1_count == pytest.approx(math.log1p(n))
+
+
+def test_labels_without_signal_ask_no_trees(spark):
+    rng = random.Random(4)
+    rows = [(f"http://{rng.choice('abcdef')}.com/{rng.randrange(9)}/{i}", int(rng.random() < 0.2)) for i in range(1500)]
+    model = urls.train(labelled(spark, rows))
+    assert model.auc is not None and (model.trees is None) == (model.auc < urls.LEAST_AUC)
+
+
+def test_host_path_and_rule_in_sql(spark):
+    """The rules' part of the query against plain SQL."""
+    import duckdb
+    rows = [u for u, *_ in RULED]
+    got = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge(pages(spark, rows), urls.train(labelled(spark, []))).collect()}
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(rows)))
+    want = con.sql(urls.RULES_SQL).fetchall()
+    assert {i: (h, p, r) for i, h, p, r in want} == got
