@@ -2,8 +2,8 @@
 
 Skew: a duplicate key (a text copied many times, one site holding a third of
 the rows) must not land in one task. Counts per key are partial aggregations
-(map-side combine); "first row per key" is ``min(id)`` per key joined back on
-the unique id, never a window over the hot key; text keys are grouped by a
+(map-side combine); "first row per key" is the least id per key joined back,
+never a window over the hot key; text keys are grouped by a
 256-bit digest. Exact splits rank rows by a hash inside small cells of it, so no
 class is one task.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import write_shared
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -66,9 +67,19 @@ def repeated_rows(df: DataFrame, key: str, id_col: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Keep the first row (lowest id, i.e. file order) per key."""
-    firsts = df.groupBy(digest(df, key)).agg(F.min(id_col).alias(id_col)).select(id_col)
-    return df.join(firsts, id_col, "left_semi")
+    """Keep the first row (lowest id, i.e. file order; null ids last) per key, one row for each key.
+
+    Rows of a key with one id (or none) are told apart by a hash of all their
+    columns; of rows that are equal in all columns one stays. Only keys, ids and
+    hashes are grouped, one row per key and task before the shuffle.
+    """
+    rows = df.withColumns({"_key": digest(df, key), "_hash": F.xxhash64(*df.columns)})
+    order = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_hash").alias("hash")))
+    firsts = rows.groupBy("_key").agg(order.alias("m")).select(
+        F.col("_key").alias("_fkey"), F.col("m.id").alias("_fid"), F.col("m.hash").alias("_fhash"))
+    kept = rows.join(firsts, rows["_key"].eqNullSafe(firsts["_fkey"]) & rows[id_col].eqNullSafe(firsts["_fid"])
+                     & (rows["_hash"] == firsts["_fhash"]), "left_semi")
+    return kept.dropDuplicates(["_key", id_col, "_hash"]).select(*df.columns)
 
 
 def min_length(df: DataFrame, col: str = "text", n: int = 1000) -> DataFrame:
@@ -132,21 +143,54 @@ def with_common_prefix_len(df: DataFrame, a: str, b: str, out: str) -> DataFrame
     return x.drop(f"{out}_m", f"{out}_s")
 
 
+RANGE_BYTES = 32 << 20
+
+
 def strip_shared_prefix(df: DataFrame, group: str = "website", text: str = "text",
-                        id_col: str = "doc_id") -> DataFrame:
+                        id_col: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """Remove from each text the longest prefix it shares with another text of its site.
 
-    In sort order the best partner of a text is a neighbour, so ``lag`` and
-    ``lead`` over (site, text) find it without a quadratic self-join.
+    In (site, text) order the best partner of a text is a neighbour. The order is
+    cut into ranges of about ``RANGE_BYTES``, whatever the sites' sizes; neighbours
+    inside a range are found by a window over the range, and only the first and last
+    row of each range are joined to those of the ranges beside it. A null site is
+    a site; a null text shares nothing.
     """
-    w = Window.partitionBy(group).orderBy(F.col(text), F.col(id_col))
-    x = df.select(id_col, group, text,
-                  F.lag(text).over(w).alias("_prev"), F.lead(text).over(w).alias("_next"))
+    spark = df.sparkSession
+    rows = df.select(id_col, group, text)
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    dealt = write_shared(rows.repartitionByRange(ranges, group, text, id_col)
+                         .withColumn("_r", F.spark_partition_id()), "prefix-ranges")
+    w = Window.partitionBy("_r").orderBy(F.col(group), F.col(text), F.col(id_col))
+    here = dealt.repartitionByRange(ranges, "_r")
+
+    def beside(step):
+        return F.when(step(group).over(w).eqNullSafe(F.col(group)), step(text).over(w))
+    x = here.select(id_col, group, text, "_r", beside(F.lag).alias("_prev"), beside(F.lead).alias("_next"),
+                    F.lag(F.lit(True)).over(w).isNull().alias("_first"), F.lead(F.lit(True)).over(w).isNull().alias("_last"))
     x = with_common_prefix_len(x, text, "_prev", "_lp")
     x = with_common_prefix_len(x, text, "_next", "_ln")
-    x = x.withColumn("prefix_len", F.greatest("_lp", "_ln"))
-    return x.select(id_col, group, "prefix_len",
-                    F.expr(f"substring({text}, prefix_len + 1)").alias(text))
+    x = write_shared(x.select(id_col, group, text, "_r", "_first", "_last",
+                              F.greatest("_lp", "_ln").alias("prefix_len")), "prefix-inside")
+    inner = x.where("not (_first or _last)")
+    # Two rows a range: ranges with rows are numbered without gaps, then joined to the next and the last one.
+    number = x.where("_first").select("_r", F.row_number().over(Window.orderBy("_r")).alias("_i"))
+    edge = x.where("_first or _last").join(number, "_r")
+    ends = edge.where("_last").select((F.col("_i") + 1).alias("_i"), F.lit(True).alias("_first"),
+                                      F.col(group).alias("_pg"), F.col(text).alias("_prev"))
+    heads = edge.where("_first").select((F.col("_i") - 1).alias("_i"), F.lit(True).alias("_last"),
+                                        F.col(group).alias("_ng"), F.col(text).alias("_next"))
+    edge = edge.join(ends, ["_i", "_first"], "left").join(heads, ["_i", "_last"], "left")
+    edge = edge.withColumns({"_prev": F.when(F.col("_pg").eqNullSafe(F.col(group)), F.col("_prev")),
+                             "_next": F.when(F.col("_ng").eqNullSafe(F.col(group)), F.col("_next"))})
+    edge = with_common_prefix_len(edge, text, "_prev", "_lp")
+    edge = with_common_prefix_len(edge, text, "_next", "_ln")
+    edge = edge.withColumn("prefix_len", F.greatest("prefix_len", "_lp", "_ln"))
+    return inner.select(id_col, group, text, "prefix_len").unionByName(
+        edge.select(id_col, group, text, "prefix_len")).select(
+        id_col, group, "prefix_len", F.expr(f"substring({text}, prefix_len + 1)").alias(text))
 
 
 def remove_substrings(text: Column, strings: list[str]) -> Column:
@@ -168,9 +212,10 @@ def equal_chunks(df: DataFrame, n: int = 5, text: str = "text", id_col: str = "d
     return df.select(id_col, *keep, F.inline_outer(chunks)).where(F.col("chunk_no").isNotNull())
 
 
-def hash_order_key(seed: int | str, id_col: str) -> Column:
-    """Reproducible random order: md5 of seed and id (also available in DuckDB)."""
-    return F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
+def hash_order_key(seed: int | str, id_col: str, columns: list[str]) -> Column:
+    """Reproducible random order: md5 of seed and id (also available in DuckDB); of a null id, of all columns."""
+    return F.md5(F.concat(F.lit(str(seed)), F.coalesce(
+        F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.xxhash64(*columns).cast("string")))))
 
 
 CELL_DIGITS = 4
@@ -181,9 +226,10 @@ def exact_rank(df: DataFrame, group: str | None, key: Column, *ids: str) -> Data
 
     Rows are counted per (group, first digits of the key); the running sum over a
     group's cells (65,536 at most) gives each cell's offset, and rows are ranked
-    only inside their cell, so no group is one task. A null group is a group.
+    only inside their cell, so no group is one task. A null group is a group; a
+    null ``key`` is ranked last.
     """
-    s = df.withColumns({"_g": F.col(group) if group else F.lit(0), "_k": key}).withColumn(
+    s = df.withColumns({"_g": F.col(group) if group else F.lit(0), "_k": F.coalesce(key, F.lit("~"))}).withColumn(
         "_cell", F.substring("_k", 1, CELL_DIGITS))
     cells = s.groupBy("_g", "_cell").agg(F.count("*").alias("_n"))
     by = Window.partitionBy("_g")
@@ -198,7 +244,7 @@ def exact_rank(df: DataFrame, group: str | None, key: Column, *ids: str) -> Data
 def split_train_test(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "doc_id",
                      stratify: str | None = "label") -> DataFrame:
     """Exact reproducible split; ``ceil(test_size * n)`` rows per class go to test."""
-    r = exact_rank(df, stratify, hash_order_key(seed, id_col), id_col)
+    r = exact_rank(df, stratify, hash_order_key(seed, id_col, df.columns), id_col)
     is_test = F.col("rank_in_group") <= F.ceil(F.col("group_size") * F.lit(test_size))
     return r.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))) \
         .drop("rank_in_group", "group_size")
@@ -206,6 +252,6 @@ def split_train_test(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_c
 
 def epoch_batches(df: DataFrame, epoch: int, batch_size: int = 32, id_col: str = "doc_id") -> DataFrame:
     """The epoch's shuffle order cut into consecutive batches."""
-    r = exact_rank(df, None, hash_order_key(f"{epoch}-", id_col), id_col)
+    r = exact_rank(df, None, hash_order_key(f"{epoch}-", id_col, df.columns), id_col)
     return r.withColumn("batch_id", F.floor((F.col("rank_in_group") - 1) / batch_size).cast("long")) \
         .drop("rank_in_group", "group_size")

@@ -296,6 +296,6 @@ def m19_legacy_metrics(spark, sf_dir):
     sc = c.select("doc_id", "chunk_no", F.when(F.col("cls") == "slop", 0).otherwise(1).alias("y"),
                   F.when(s >= LX.LEGACY_THRESHOLD, 1).otherwise(0).alias("pred"),
                   F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string")).alias("key"))
-    r = CL.exact_rank(sc, None, CL.hash_order_key(42, "key"), "doc_id", "chunk_no")
+    r = CL.exact_rank(sc, None, CL.hash_order_key(42, "key", sc.columns), "doc_id", "chunk_no")
     te = r.where(F.col("rank_in_group") <= F.ceil(F.col("group_size") * F.lit(0.2)))
     return LX.metrics(te, "y", "pred")
