@@ -9,9 +9,9 @@ model, not by the data. A document embedding is linear in the table:
     e_d = sum_b w_{d,b} * vocab[b],  w_{d,b} = sum over words j holding b of
           count_j(b) / (n_words_d * n_ids_j)
 
-so ``(doc, bucket, w)`` is computed once and every step is a join + grouped
-sum. Gradients are sums over documents: one aggregation per step returns the
-dense gradient (a few hundred numbers) and a ``groupBy(bucket)`` gives the
+so a document's entries ``(bucket, w)`` are computed once and every step is a join +
+grouped sum. Gradients are sums over documents: one aggregation per step returns
+the dense gradient (a few hundred numbers) and a ``groupBy(bucket)`` gives the
 embedding update, so results do not depend on row order or partitioning.
 Random numbers come from md5 of (seed, position), so re-executed tasks and the
 SQL oracle see the same values.
@@ -20,6 +20,7 @@ SQL oracle see the same values.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import with_bucket
+from ..session import shared_dir, write_shared
 from .clean import epoch_batches
 
 TWO32 = 4294967296.0
@@ -59,7 +61,7 @@ def np_std_normal(keys: list[str]) -> np.ndarray:
 
 def init_vocab(buckets: DataFrame, emb_size: int, seed: int = 0, scale: float = 0.1) -> DataFrame:
     """M9: ``(bucket, e0..)`` with ``scale * N(0,1)`` per (seed, bucket, dim)."""
-    b = buckets.select("bucket").distinct()
+    b = buckets.select(F.col("bucket").cast("long").alias("bucket")).distinct()
     return b.select("bucket", *[init_value(F.col("bucket"), j, seed, scale).alias(f"e{j}") for j in range(emb_size)])
 
 
@@ -192,89 +194,142 @@ class TrainConfig:
     per_distinct: bool = True       # D15: one update per distinct bucket vs per occurrence
 
 
+MERGE_EVERY = 8               # steps after which the embedding table's deltas are merged
+BROADCAST_ENTRIES = 1 << 20   # a batch's (document, bucket) entries that may be broadcast
+
+
+def as_examples(weights: DataFrame, x_num: DataFrame, labels: DataFrame, num_cols: list[str],
+                id_col: str = "doc_id") -> DataFrame:
+    """One row per labelled document: ``id, label, n_ids, entries`` and its numeric inputs ``z_*``."""
+    packed = weights.groupBy(id_col).agg(
+        F.max("n_ids").alias("n_ids"),
+        F.collect_list(F.struct(F.col("bucket").cast("long").alias("bucket"), "w",
+                                F.col("occ").cast("long").alias("occ"))).alias("entries"))
+    return (labels.select(id_col, "label").join(packed, id_col, "left")
+            .join(x_num.select(id_col, *[f"z_{c}" for c in num_cols]), id_col, "left"))
+
+
+def entries_of(examples: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, n_ids, bucket, w, occ)`` of every kept id of the examples."""
+    return examples.select(id_col, "n_ids", F.inline("entries"))
+
+
+def inputs(examples: DataFrame, table: DataFrame, dense: Dense, id_col: str = "doc_id",
+           small: bool = False) -> DataFrame:
+    """``id, label, x*, z_*``: the dense layer's inputs; documents without ids have a zero embedding.
+
+    ``table`` may hold several rows of a bucket, whose sum is its vector.
+    """
+    ent = entries_of(examples, id_col).select(id_col, "bucket", "w")
+    emb = embed_docs(F.broadcast(ent) if small else ent, table, dense.emb_size, id_col)
+    return examples.drop("entries", "n_ids").join(emb, id_col, "left").na.fill(0.0, dense.inputs())
+
+
 def train(weights: DataFrame, x_num: DataFrame, labels: DataFrame, cfg: TrainConfig,
           num_cols: list[str], id_col: str = "doc_id", val: tuple[DataFrame, DataFrame, DataFrame] | None = None,
           buckets: DataFrame | None = None):
+    """:func:`train_examples` on separate tables of weights, numeric inputs and labels."""
+    return train_examples(as_examples(weights, x_num, labels, num_cols, id_col), cfg, num_cols, id_col,
+                          None if val is None else as_examples(*val, num_cols, id_col), buckets)
+
+
+def train_examples(examples: DataFrame, cfg: TrainConfig, num_cols: list[str], id_col: str = "doc_id",
+                   val: DataFrame | None = None, buckets: DataFrame | None = None):
     """Epochs of mini-batch gradient steps. Returns (vocab, dense, history).
 
-    ``weights`` is ``doc_bucket_weights``; ``x_num`` standardized numeric rows
-    ``(id, z_*)``; ``labels`` ``(id, label)``, shuffled anew each epoch and cut
-    into exact batches (C19). ``buckets`` holds the table's rows (the mask), by
-    default those of ``weights``. Each step: one forward pass, kept until the new
-    table is written; one aggregation of the (E+F)*2 gradient sums and the row
-    count; one grouped update of the embedding table, then checkpointed.
+    ``examples`` is :func:`as_examples`; its rows are shuffled anew each epoch, cut
+    into exact batches (C19) and written with one folder per batch, so a step
+    reads its batch and nothing else of the examples. ``buckets`` holds the
+    embedding table's rows (the mask), by default those of the examples. The table is
+    a base and the last steps' deltas: an embedding is linear in it, so a step
+    joins its batch's entries to all of them at once, and writes a delta with the rows of
+    its batch's buckets; every ``MERGE_EVERY`` steps they are summed into a new
+    base. Documents' ids are unique and not null.
     """
-    spark = weights.sparkSession
+    spark = examples.sparkSession
     E = cfg.emb_size
-    # step inputs are reused by every step: materialize them once
-    weights = weights.persist()
-    x_num = x_num.persist()
-    nf = len(num_cols) if cfg.with_features else 0
-    vocab = init_vocab(weights if buckets is None else buckets, E, cfg.seed).checkpoint(eager=True)
-    W = init_dense(E + nf, 2, cfg.seed, xavier=cfg.with_features)
-    b = np.zeros(2)
-    dense = Dense(W, b, E, num_cols if cfg.with_features else [])
+    dense_cols = num_cols if cfg.with_features else []
+    examples = write_shared(examples.select(id_col, "label", "n_ids", "entries", *[f"z_{c}" for c in dense_cols]),
+                            "train-examples")
+    if buckets is None:
+        buckets = entries_of(examples, id_col)
+    base = write_shared(init_vocab(buckets.select("bucket"), E, cfg.seed), "train-base").persist()
+    deltas: list[DataFrame] = []
+
+    def table():
+        out = base
+        for d in deltas:
+            out = out.unionByName(d)
+        return out
+
+    def merged():
+        return table().groupBy("bucket").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(E)])
+    dense = Dense(init_dense(E + len(dense_cols), 2, cfg.seed, xavier=cfg.with_features), np.zeros(2), E, dense_cols)
     history = []
-    lab = labels.select(id_col, "label")
-    n_rows = lab.count()
+    n_rows = examples.count()
     size = cfg.batch_size or max(n_rows, 1)
-    xin = x_num.select(id_col, *[f"z_{c}" for c in dense.num_cols])
-    for epoch in range(cfg.epochs):
-        order = epoch_batches(lab, epoch, size, id_col).persist()
+    for epoch in range(cfg.epochs if n_rows else 0):
+        folder = shared_dir(spark, f"train-epoch{epoch}-{uuid.uuid4().hex[:12]}")
+        dealt = epoch_batches(examples, epoch, size, id_col)
+        dealt.repartition("batch_id").write.partitionBy("batch_id").parquet(folder)
+        most = (spark.read.schema(dealt.schema).parquet(folder).groupBy("batch_id")
+                .agg(F.sum(F.coalesce(F.size("entries"), F.lit(0))).alias("n")).agg(F.max("n")).first()[0])
         for bi in range(-(-n_rows // size)):
-            batch = order.where(F.col("batch_id") == bi).select(id_col, "label")
-            emb = embed_docs(weights.join(batch.select(id_col), id_col), vocab, E, id_col)
-            x = batch.join(emb, id_col, "left").na.fill(0.0).join(xin, id_col, "left").na.fill(0.0)
-            if cfg.dropout > 0:
-                x = x.select(id_col, "label", *[(F.col(c) * dropout_keep(
-                    F.concat_ws(":", F.lit(f"{cfg.seed}:{epoch}:{bi}"), F.col(id_col).cast("string"), F.lit(c)),
-                    cfg.dropout)).alias(c) for c in dense.inputs()])
-            pr = predict(x, dense).withColumns({
-                f"g{k}": F.col(f"p{k}") - F.when(F.col("label") == k, 1.0).otherwise(0.0) for k in (0, 1)}).persist()
-            eps = 1e-15
-            p = F.least(F.greatest(F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0")), F.lit(eps)),
-                        F.lit(1 - eps))
-            cols = dense.inputs()
-            aggs = [F.sum(F.col(c) * F.col(f"g{k}")).alias(f"d_{j}_{k}") for j, c in enumerate(cols) for k in (0, 1)]
-            r = pr.agg(*aggs, F.sum("g0").alias("db0"), F.sum("g1").alias("db1"), F.avg(-F.log(p)).alias("ce"),
-                       F.count("*").alias("n")).first()
-            scale = 1.0 / r["n"] if cfg.with_features else 1.0
-            reg = cfg.reg_lambda * (np.abs(dense.W).sum() if cfg.with_features else 0.5 * (dense.W ** 2).sum())
-            history.append((epoch, bi, "train", float(r["ce"]) + float(reg)))
-            dW = scale * np.array([[r[f"d_{j}_{k}"] for k in (0, 1)] for j in range(len(cols))], dtype=float)
-            if cfg.with_features:
-                dW = dW + cfg.reg_lambda * np.sign(dense.W)
-                gn = float(np.linalg.norm(dW))
-                if gn > cfg.max_grad_norm:
-                    dW *= cfg.max_grad_norm / gn
-            else:
-                dW = dW + cfg.reg_lambda * dense.W
-            dense.W = dense.W - cfg.lr * dW
-            dense.b = dense.b - cfg.lr * scale * np.array([r["db0"], r["db1"]])
-            # embedding step with the updated weights: dx = g @ W_new^T (embedding rows)
-            dx = [F.col("g0") * F.lit(scale * float(dense.W[k, 0])) + F.col("g1") * F.lit(scale * float(dense.W[k, 1]))
-                  for k in range(E)]
-            gd = pr.select(id_col, *[d.alias(f"dx{k}") for k, d in enumerate(dx)])
-            wb = weights.join(gd, id_col)
-            # Once per distinct bucket of a document, or once per occurrence
-            mult = F.lit(cfg.lr) * (F.lit(1.0) if cfg.per_distinct else F.col("occ")) / F.col("n_ids")
-            delta = wb.groupBy("bucket").agg(*[F.sum(F.col(f"dx{k}") * mult).alias(f"u{k}") for k in range(E)])
-            vocab = vocab.join(delta, "bucket", "left").select(
-                "bucket", *[(F.col(f"e{k}") - F.coalesce(F.col(f"u{k}"), F.lit(0.0))).alias(f"e{k}") for k in range(E)])
-            vocab = vocab.checkpoint(eager=True)
-            pr.unpersist()
-        order.unpersist()
+            batch = spark.read.schema(examples.schema).parquet(f"{folder}/batch_id={bi}")
+            x = inputs(batch, table(), dense, id_col, most <= BROADCAST_ENTRIES)
+            delta, loss = _step(x, batch, dense, cfg, f"{cfg.seed}:{epoch}:{bi}", id_col)
+            history.append((epoch, bi, "train", loss))
+            deltas.append(delta)
+            if len(deltas) >= MERGE_EVERY:
+                old, base = base, write_shared(merged(), "train-base").persist()
+                deltas = []
+                old.unpersist()
         if val is not None:
-            vw, vx, vl = val
-            emb = embed_docs(vw, vocab, E, id_col)
-            xv = vl.select(id_col, "label").join(emb, id_col, "left").na.fill(0.0) \
-                .join(vx.select(id_col, *[f"z_{c}" for c in dense.num_cols]), id_col, "left").na.fill(0.0)
-            lv = loss_frame(predict(xv, dense), dense, cfg.reg_lambda, cfg.with_features).first()
-            history.append((epoch, -1, "validation", float(lv["loss"])))
-    weights.unpersist()
-    x_num.unpersist()
-    hist = spark.createDataFrame(history, "epoch int, batch int, split string, loss double")
-    return vocab, dense, hist
+            lv = loss_frame(predict(inputs(val, table(), dense, id_col), dense), dense, cfg.reg_lambda,
+                            cfg.with_features).first()
+            if lv["n"]:
+                history.append((epoch, -1, "validation", float(lv["loss"])))
+    vocab = write_shared(merged(), "train-vocab")
+    base.unpersist()
+    return vocab, dense, spark.createDataFrame(history, "epoch int, batch int, split string, loss double")
+
+
+def _step(x: DataFrame, batch: DataFrame, dense: Dense, cfg: TrainConfig, key: str, id_col: str) -> tuple[DataFrame, float]:
+    """One gradient step: changes ``dense``, returns the embedding table's delta and the batch's loss."""
+    cols, E = dense.inputs(), dense.emb_size
+    if cfg.dropout > 0:
+        x = x.select(id_col, "label", *[(F.col(c) * dropout_keep(
+            F.concat_ws(":", F.lit(key), F.col(id_col).cast("string"), F.lit(c)), cfg.dropout)).alias(c) for c in cols])
+    pr = predict(x, dense).withColumns({
+        f"g{k}": F.col(f"p{k}") - F.when(F.col("label") == k, 1.0).otherwise(0.0) for k in (0, 1)})
+    pr = pr.select(id_col, "label", "p0", "p1", "g0", "g1", *cols).persist()
+    eps = 1e-15
+    p = F.least(F.greatest(F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0")), F.lit(eps)), F.lit(1 - eps))
+    aggs = [F.sum(F.col(c) * F.col(f"g{k}")).alias(f"d_{j}_{k}") for j, c in enumerate(cols) for k in (0, 1)]
+    r = pr.agg(*aggs, F.sum("g0").alias("db0"), F.sum("g1").alias("db1"), F.avg(-F.log(p)).alias("ce"),
+               F.count("*").alias("n")).first()
+    scale = 1.0 / r["n"] if cfg.with_features else 1.0
+    reg = cfg.reg_lambda * (np.abs(dense.W).sum() if cfg.with_features else 0.5 * (dense.W ** 2).sum())
+    dW = scale * np.array([[r[f"d_{j}_{k}"] for k in (0, 1)] for j in range(len(cols))], dtype=float)
+    if cfg.with_features:
+        dW = dW + cfg.reg_lambda * np.sign(dense.W)
+        gn = float(np.linalg.norm(dW))
+        if gn > cfg.max_grad_norm:
+            dW *= cfg.max_grad_norm / gn
+    else:
+        dW = dW + cfg.reg_lambda * dense.W
+    dense.W = dense.W - cfg.lr * dW
+    dense.b = dense.b - cfg.lr * scale * np.array([r["db0"], r["db1"]])
+    # embedding step with the updated weights: dx = g @ W_new^T (embedding rows)
+    # Once per distinct bucket of a document, or once per occurrence
+    mult = F.lit(-cfg.lr * scale) * (F.lit(1.0) if cfg.per_distinct else F.col("occ")) / F.col("n_ids")
+    both = entries_of(batch, id_col).join(pr.select(id_col, "g0", "g1"), id_col)
+    sums = both.groupBy("bucket").agg(F.sum(F.col("g0") * mult).alias("s0"), F.sum(F.col("g1") * mult).alias("s1"))
+    delta = sums.select("bucket", *[(F.col("s0") * F.lit(float(dense.W[k, 0])) + F.col("s1") * F.lit(float(dense.W[k, 1])))
+                                    .alias(f"e{k}") for k in range(E)])
+    delta = write_shared(delta, "train-delta")
+    pr.unpersist()
+    return delta, float(r["ce"]) + float(reg)
 
 
 # --- collapse and impact (M13, E1..E6) ----------------------------------------------
@@ -287,17 +342,25 @@ def collapse(vocab: DataFrame, dense: Dense, grams: DataFrame) -> DataFrame:
     return j.select("ngram", u[0].alias("u0"), u[1].alias("u1"))
 
 
-def word_gram_diffs(words: DataFrame, grams: Column, diff: Column, buckets: int) -> DataFrame:
+def word_gram_diffs(words: DataFrame, grams: Column, diff: Column | DataFrame, buckets: int) -> DataFrame:
     """``(word, ngram, diff, n_occ)`` of distinct words and their distinct n-grams.
 
-    ``words`` is ``(word, n_occ)``; ``diff`` is an expression over ``bucket``. A
-    gram's diff depends only on its bucket, so every occurrence of a word carries
-    the same diffs, and each distinct n-gram is hashed and valued once.
+    ``words`` is ``(word, n_occ)``; ``diff`` is an expression over ``bucket``, or a
+    table ``(bucket, diff)`` outside of which n-grams have none. A gram's diff
+    depends only on its bucket, so every occurrence of a word carries the same
+    diffs, and each distinct n-gram is hashed and valued once.
     """
     wg = words.select("word", "n_occ", F.explode(F.array_distinct(grams)).alias("ngram"))
-    valued = with_bucket(wg.select("ngram").distinct(), "ngram", "bucket", buckets).where("bucket <> 0").select(
-        "ngram", diff.alias("diff"))
-    return wg.join(valued, "ngram")
+    hashed = with_bucket(wg.select("ngram").distinct(), "ngram", "bucket", buckets).where("bucket <> 0")
+    valued = hashed.withColumn("diff", diff) if isinstance(diff, Column) else hashed.join(diff, "bucket")
+    return wg.join(valued.select("ngram", "diff"), "ngram")
+
+
+def trained_diff(vocab: DataFrame, dense: Dense) -> DataFrame:
+    """``(bucket, diff)``: vocab[bucket] . (w1 - w0)[:E] of a trained table."""
+    wd = dense.W[:dense.emb_size, 1] - dense.W[:dense.emb_size, 0]
+    return vocab.select("bucket", sum((F.col(f"e{k}") * F.lit(float(wd[k])) for k in range(dense.emb_size)),
+                                      F.lit(0.0)).alias("diff"))
 
 
 def initial_diff(dense: Dense, seed: int = 0) -> Column:

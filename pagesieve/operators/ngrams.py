@@ -115,7 +115,11 @@ def subword_mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _frequent(words: DataFrame, min_n: int, max_n: int, min_freq: int) -> DataFrame:
-    wc = words.groupBy("word").agg(F.count("*").alias("n"))
+    return frequent_of_counts(words.groupBy("word").agg(F.count("*").alias("n")), min_n, max_n, min_freq)
+
+
+def frequent_of_counts(wc: DataFrame, min_n: int, max_n: int, min_freq: int) -> DataFrame:
+    """The n-grams that words with counts ``(word, n)`` hold at least ``min_freq`` times."""
     gc = wc.select(F.explode(H.word_ngrams(F.col("word"), min_n, max_n)).alias("ngram"), "n") \
         .groupBy("ngram").agg(F.sum("n").alias("count"))
     return gc.where(F.col("count") >= min_freq).select("ngram")

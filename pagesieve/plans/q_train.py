@@ -1,11 +1,10 @@
-"""Model queries: scaler, embedding, init, forward, loss, collapse (M1..M13),
-training runs (M7, M8, M10), linear baseline (M17, M20) and impact studies (E1..E6)."""
+"""Model queries that SQL can follow, on the initial model: scaler, embedding, init, forward, loss,
+collapse (M1..M13), impact studies (E1..E5); dropout (M6) and the linear baseline (M17, M20)."""
 
 from __future__ import annotations
 
 import functools
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,16 +15,15 @@ from ..operators import features as FE
 from ..operators import lexical as LX
 from ..operators import model as MD
 from ..operators import ngrams as NG
-from ..operators import scoring as SC
-from ..session import shared_dir
-from ..sources import model_io, tables
+from ..operators import training as TR
+from ..sources import tables
 from . import sqlparts as Q
 from .common import round_doubles
 from .q_clean import TRAIN_CTE
 from .q_ngrams import _encode_sql, _tokens_sql, sql_bucket, sql_word_ngrams
 from .registry import query
 
-EMB = 4          # embedding width of the checked (oracle) model
+EMB = 4          # embedding width of the initial model, whose queries have SQL; q_trained has the trained one
 SEED = 0
 REG = 1e-4
 NUM = K.NUM_COLUMNS
@@ -46,13 +44,6 @@ def _train_docs(spark, sf_dir):
     return tables.train_table(spark, sf_dir)
 
 
-def _encoding(spark, sf_dir, docs=None):
-    docs = docs if docs is not None else _train_docs(spark, sf_dir)
-    occ = NG.word_occurrences(docs, "doc_id", "text")
-    enc = NG.encode(docs, "doc_id", "text", 3, 4, NG.H.DEFAULT_BUCKETS)
-    return occ, enc
-
-
 def _doc_feats(spark, sf_dir, docs=None):
     docs = docs if docs is not None else _train_docs(spark, sf_dir)
     return FE.page_features(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))) \
@@ -102,17 +93,16 @@ PRED_CTE = (f"{TRAIN_CTE}, {DOCFEAT_CTE}, {EMBED_CTE}, "
             "exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p1 FROM zz)")
 
 
-def _predictions(spark, sf_dir):
+def _prepared(spark, sf_dir):
+    """The labelled documents with all their n-gram ids, encoded once under their version's name."""
     docs = _train_docs(spark, sf_dir)
-    occ, enc = _encoding(spark, sf_dir, docs)
-    wts = MD.doc_bucket_weights(occ, enc)
-    vocab = MD.init_vocab(wts, EMB, SEED)
-    emb = MD.embed_docs(wts, vocab, EMB)
-    feats = _doc_feats(spark, sf_dir, docs)
-    sc = MD.fit_scaler(feats, NUM)
-    z = MD.standardize(feats, sc, NUM)
+    return TR.prepared(spark, docs, TR.Inputs(masked=False))
+
+
+def _predictions(spark, sf_dir):
+    prep = _prepared(spark, sf_dir)
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))
-    x = docs.select("doc_id", "label").join(z, "doc_id").join(emb, "doc_id", "left").na.fill(0.0)
+    x = MD.inputs(prep.examples, MD.init_vocab(MD.entries_of(prep.examples), EMB, SEED), dense)
     return MD.predict(x, dense), dense
 
 
@@ -127,16 +117,14 @@ def m01_fit_scaler(spark, sf_dir):
 @query("m03_document_embedding", f"""WITH {TRAIN_CTE}, {EMBED_CTE}
 SELECT doc_id, {', '.join(f'round(x{j}, 6) AS x{j}' for j in range(EMB))} FROM emb""")
 def m03_document_embedding(spark, sf_dir):
-    occ, enc = _encoding(spark, sf_dir)
-    wts = MD.doc_bucket_weights(occ, enc)
-    return round_doubles(MD.embed_docs(wts, MD.init_vocab(wts, EMB, SEED), EMB))
+    ent = MD.entries_of(_prepared(spark, sf_dir).examples)
+    return round_doubles(MD.embed_docs(ent, MD.init_vocab(ent, EMB, SEED), EMB))
 
 
 @query("m09_init_vocab", f"""WITH {TRAIN_CTE}, {EMBED_CTE}
 SELECT bucket, {', '.join(f'round(e{j}, 6) AS e{j}' for j in range(EMB))} FROM voc""")
 def m09_init_vocab(spark, sf_dir):
-    occ, enc = _encoding(spark, sf_dir)
-    return round_doubles(MD.init_vocab(enc, EMB, SEED))
+    return round_doubles(MD.init_vocab(MD.entries_of(_prepared(spark, sf_dir).examples), EMB, SEED))
 
 
 @query("m12_class_probabilities", f"""WITH {PRED_CTE}
@@ -258,84 +246,6 @@ def e05_word_strength(spark, sf_dir):
     return round_doubles(MD.word_strength_weighted(d, words, 50))
 
 
-# --- training runs (rows-only checks; unit tests compare one step with numpy) ------------
-
-TRAIN = dict(emb_size=50, lr=0.05, batch_size=128, seed=SEED)
-
-
-def _train_inputs(spark, sf_dir):
-    """Split, mask built on the training split, both splits encoded through it, scaler of the training split."""
-    docs = _train_docs(spark, sf_dir)
-    split = CL.split_train_test(docs.select("doc_id", "label"), 0.2, 42, "doc_id", "label").select("doc_id", "split")
-    docs = docs.join(split, "doc_id")
-    train = docs.where(F.col("split") == "train")
-    mask = NG.subword_mask(train, "doc_id", "text", 3, 4, MIN_FREQ)
-    feats = _doc_feats(spark, sf_dir, docs)
-    sc = MD.fit_scaler(feats.join(train.select("doc_id"), "doc_id", "left_semi"), NUM)
-    out = []
-    for part in (train, docs.where(F.col("split") == "test")):
-        occ = NG.word_occurrences(part, "doc_id", "text")
-        enc = NG.encode(part, "doc_id", "text", 3, 4, mask=mask)
-        z = MD.standardize(feats.join(part.select("doc_id"), "doc_id", "left_semi"), sc, NUM)
-        out.append((MD.doc_bucket_weights(occ, enc), z, part.select("doc_id", "label")))
-    return out[0], out[1], sc, mask, train
-
-
-@query("m10_training_history")
-def m10_training_history(spark, sf_dir):
-    """M7 + M10: 2 epochs of exact shuffled batches with features, L1, clipping; train and validation loss."""
-    tr, val, _, mask, _ = _train_inputs(spark, sf_dir)
-    _, _, hist = MD.train(*tr, MD.TrainConfig(epochs=2, **TRAIN), list(NUM), val=val, buckets=mask)
-    return hist
-
-
-@query("m08_training_no_features")
-def m08_training_no_features(spark, sf_dir):
-    """M8: text-only model, summed gradient, L2, one update per occurrence, dropout 0.1."""
-    tr, val, _, mask, _ = _train_inputs(spark, sf_dir)
-    cfg = MD.TrainConfig(epochs=1, with_features=False, per_distinct=False, dropout=0.1, **(TRAIN | {"lr": 0.01}))
-    _, _, hist = MD.train(*tr, cfg, list(NUM), val=val, buckets=mask)
-    return hist
-
-
-def _trained(spark, sf_dir):
-    """One epoch on the training split: ``(vocab, dense, scaler, training texts)``."""
-    tr, _, sc, mask, train = _train_inputs(spark, sf_dir)
-    vocab, dense, _ = MD.train(*tr, MD.TrainConfig(epochs=1, **TRAIN), list(NUM), buckets=mask)
-    return vocab, dense, sc, train
-
-
-@query("e06_numeric_weight_ranking")
-def e06_numeric_weight_ranking(spark, sf_dir):
-    """E6 on a trained model: numeric rows ranked by |w1 - w0|."""
-    _, dense, _, _ = _trained(spark, sf_dir)
-    rows = [(c, float(dense.W[dense.emb_size + i, 1] - dense.W[dense.emb_size + i, 0])) for i, c in enumerate(NUM)]
-    df = spark.createDataFrame(rows, "feature string, w_diff double")
-    return df.orderBy(F.desc(F.abs("w_diff")), "feature")
-
-
-KEPT_GRAMS = 42
-
-
-@query("s09_model_export")
-def s09_model_export(spark, sf_dir):
-    """The whole chain: train, keep the n-grams of most weight, collapse, export, read back, score the pages."""
-    vocab, dense, sc, train = _trained(spark, sf_dir)
-    grams = NG.H.with_bucket(NG.frequent_grams(train, "text", 3, 4, MIN_FREQ), "ngram", "bucket")
-    table = MD.collapse(vocab, dense, grams)
-    kept = table.orderBy(F.desc(F.round(F.abs(F.col("u1") - F.col("u0")), 12)), "ngram").limit(KEPT_GRAMS).collect()
-    e = dense.emb_size
-    model = model_io.CollapsedModel(
-        w_num=[[float(x) for x in row] for row in dense.W[e:]], bias=[float(x) for x in dense.b],
-        u={r["ngram"]: [r["u0"], r["u1"]] for r in kept}, mu=[sc[c][0] for c in NUM], sigma=[sc[c][1] for c in NUM])
-    if not model.u:
-        return spark.createDataFrame([], "page_id long, p_slop double, n_grams int")
-    path = shared_dir(spark, f"s09-{uuid.uuid4().hex}")
-    model_io.write_model(model, spark, path)
-    scored = SC.score_pages(tables.pages(spark, sf_dir), model_io.load_model(spark, path))
-    return scored.select("page_id", F.round("p_slop", 6).alias("p_slop"), F.size("grams").alias("n_grams"))
-
-
 @query("m06_dropout_mask")
 def m06_dropout_mask(spark, sf_dir):
     """M6: share of kept inputs per document under rate 0.1 (reproducible md5 mask)."""

@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every plan module so that all queries register themselves."""
     from . import (q_clean, q_features, q_lexical, q_links,  # noqa: F401
-                   q_model, q_ngrams, q_reports, q_sources, q_stream, q_text, q_train)
+                   q_model, q_ngrams, q_reports, q_sources, q_stream, q_text, q_train, q_trained)
     return REGISTRY
