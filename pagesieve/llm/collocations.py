@@ -36,15 +36,15 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .registry import llm_query
-from .runs import Runs, gap_table
+from .runs import Runs, gap_table, string_array
 from .tables import load, shared_path, write_table
 
 LEAST = 30                # occurrences of a candidate
 LONGEST = 4
 TOP = 2000
 SHARDS = 4                # scans of one cycle
-RUN_BYTES = 12 << 20      # text whose phrases a task sorts at once
-DEAL_BYTES = 12 << 20     # text per shard of phrases
+RUN_BYTES = 16 << 20      # text whose phrases a task sorts at once
+DEAL_BYTES = 48 << 20     # text per part of the phrases
 SLOT_BITS = 25
 GAP = gap_table([(9, 13), (32, 32), *((ord(c), ord(c)) for c in ".,;:!?")])
 BREAK = gap_table([(10, 13), *((ord(c), ord(c)) for c in ".,;:!?")])
@@ -56,7 +56,7 @@ ROWS = "kind string, size int, part long, data binary"
 # ---------------------------------------------------------------- phrases as arrays
 
 def fold(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of a phrase: its language's and its words' hashes, as columns."""
+    """Hash of a phrase: its words' hashes (each with the language in it), as columns."""
     h = np.full(len(columns[0]), len(columns), np.uint64)
     for c in columns:
         h = vec.mix(h * _MUL + c)
@@ -68,20 +68,8 @@ def lang_hash(langs: list) -> np.ndarray:
     return np.array([out[x] for x in langs], np.uint64)
 
 
-def pack(words: list[np.ndarray], numbers: list[np.ndarray], texts: list[bytes] | None = None) -> bytes:
-    """Rows of word hashes (as a dictionary and sorted planes of its places), numbers and, for words, their bytes."""
-    values, at = np.unique(np.concatenate(words), return_inverse=True)
-    at = at.reshape(len(words), -1)
-    order = np.lexsort(at[::-1])
-    at, numbers = at[:, order], [n[order] for n in numbers]
-    at[1] = np.diff(at[1], prepend=0)     # ascending within a language
-    buf = io.BytesIO()
-    for a in (values, *(_planes(x) for x in at), *(_planes(x) for x in numbers)):
-        np.save(buf, a, allow_pickle=False)
-    if texts is not None:
-        buf.write(b"\n".join(texts[i] for i in order.tolist()))
-    raw = buf.getvalue()
-    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+def in_language(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return vec.mix(word * _MUL + lang)
 
 
 def _planes(a: np.ndarray) -> np.ndarray:
@@ -98,13 +86,38 @@ def _numbers(planes: np.ndarray) -> np.ndarray:
     return (a >> 1) ^ -(a & 1)
 
 
+def pack(words: list[np.ndarray], numbers: list[np.ndarray], texts: list[bytes] | None = None) -> bytes:
+    """Rows of word hashes (as a dictionary and planes of its places, sorted) and numbers.
+
+    Single words are given as their languages' hashes and their bytes instead.
+    """
+    values, at = np.unique(np.concatenate(words), return_inverse=True)
+    at = at.reshape(len(words), -1)
+    order = np.lexsort(at[::-1]) if texts is None else np.array(
+        sorted(range(len(texts)), key=lambda i: (at[0, i], texts[i])), np.int64)
+    at, numbers = at[:, order], [n[order] for n in numbers]
+    at[0] = np.diff(at[0], prepend=0)
+    buf = io.BytesIO()
+    for a in (values, *(_planes(x) for x in at), *(_planes(x) for x in numbers)):
+        np.save(buf, a, allow_pickle=False)
+    if texts is not None:
+        buf.write(b"\n".join(texts[i] for i in order.tolist()))
+    raw = buf.getvalue()
+    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+
+
 def unpack(data: bytes, words: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
+    """The columns that were packed, and what follows them, cut at line ends."""
     buf = io.BytesIO(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True))
     values = np.load(buf, allow_pickle=False)
     at = [_numbers(np.load(buf, allow_pickle=False)) for _ in range(words)]
-    at[1] = np.cumsum(at[1])
+    at[0] = np.cumsum(at[0])
     out = [_numbers(np.load(buf, allow_pickle=False)) for _ in range(numbers)]
-    return [values[x] for x in at], out, buf.read().split(b"\n") if words == 2 else []
+    return [values[x] for x in at], out, buf.read().split(b"\n")
+
+
+def hashed(texts: list[bytes], lang: np.ndarray) -> np.ndarray:
+    return in_language(Runs(string_array(texts).cast(pa.large_string()), GAP).hashes(), lang)
 
 
 def part_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -135,17 +148,14 @@ class Text:
 
     def __init__(self, batch: pa.RecordBatch):
         runs = Runs(vec.strings(batch.column("text")), GAP)
-        self.runs, self.word = runs, runs.hashes()
-        self.lang = lang_hash(batch.column("lang").to_pylist())[runs.doc]
+        self.runs, self.lang = runs, lang_hash(batch.column("lang").to_pylist())[runs.doc]
+        self.word = in_language(runs.hashes(), self.lang)
         broken = np.r_[0, np.cumsum(BREAK[runs.buf], dtype=np.int32)]
         piece = broken[runs.start]
         self.goes_on = (piece[1:] == piece[:-1]) & (runs.doc[1:] == runs.doc[:-1])
 
-    def words(self):
-        return [self.lang, self.word], np.zeros(len(self.word), np.uint8)
-
     def longer(self, sizes: list[int], marks: list[np.ndarray], step: int, cycle: int):
-        """For each of ``sizes`` above 1, ascending: its columns (language, words) and steps of activation.
+        """For each of ``sizes`` above 1, ascending: its word columns and steps of activation.
 
         A phrase is active since the last step at which one of its subphrases
         reached the threshold. That step is the same in every scan.
@@ -155,7 +165,7 @@ class Text:
         on = np.r_[self.goes_on, np.zeros(1 + len(marks), bool)]
         for size in range(2, max(sizes, default=0) + 1):
             # Of the active phrases one word shorter, those at the threshold ...
-            h = fold([self.lang[at], *(self.word[at + i] for i in range(size - 1))])
+            h = fold([self.word[at + i] for i in range(size - 1)])
             mark = marks[size - 2][(h >> _U(64 - bits)).astype(np.int64)]
             at, since = at[mark > 0], np.maximum(since, mark)[mark > 0]
             # ... two of which, one word apart and in one piece, make a longer one active.
@@ -166,7 +176,7 @@ class Text:
             since = np.maximum(dense[at], dense[at + 1])
             if size in sizes:
                 due = since.astype(np.int64) + cycle >= step
-                yield size, [self.lang[at[due]], *(self.word[at[due] + i] for i in range(size))], since[due]
+                yield size, [self.word[at[due] + i] for i in range(size)], since[due]
 
 
 _MARKS: dict = {}
@@ -189,20 +199,27 @@ def _count(marks, sizes: list[int], step: int, cycle: int, bits: int):
     name = uuid.uuid4().hex
 
     def flush(held: dict):
-        for size, parts in held.items():
-            cols = [np.concatenate([p[0][i] for p in parts]) for i in range(size + 1)]
-            since = np.concatenate([p[1] for p in parts])
-            if not len(since):
+        for size in sizes:
+            parts, held[size] = held[size], []
+            cols = [np.concatenate([p[0][i] for p in parts]) for i in range(size)]
+            if not len(cols[0]):
                 continue
-            count = np.concatenate([p[2] for p in parts]) if size == 1 else np.ones(len(since), np.int64)
-            texts = [t for p in parts for t in p[3]] if size == 1 else None
-            h, cols, n, one, since = merged(cols, count, since)
+            if size == 1:
+                count, lang = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+                texts = [t for p in parts for t in p[3]]
+                h, _, n, one, lang = merged(cols, count, lang)
+                cols, numbers = [lang], [n, np.zeros(len(n), np.int64)]
+                texts = [texts[i] for i in one.tolist()]
+            else:
+                since = np.concatenate([p[1] for p in parts])
+                parts = None
+                h, cols, n, _, since = merged(cols, np.ones(len(since), np.int64), since)
+                numbers, texts = [n, since], None
             part = part_of(h, bits)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-                yield ("new", size, int(part[a]), pack(
-                    [c[a:z] for c in cols], [n[a:z], since[a:z]],
-                    [texts[i] for i in one[a:z].tolist()] if texts is not None else None))
+                yield ("new", size, int(part[a]), pack([c[a:z] for c in cols], [x[a:z] for x in numbers],
+                                                       texts and texts[a:z]))
 
     def run(batches):
         known = _known(marks, name)
@@ -210,18 +227,17 @@ def _count(marks, sizes: list[int], step: int, cycle: int, bits: int):
         for b in vec.blocks(batches):
             text = Text(b)
             if 1 in sizes:
-                cols, since = text.words()
-                _, cols, n, one, since = merged(cols, np.ones(len(since), np.int64), since)
+                _, cols, n, one, lang = merged([text.word], np.ones(len(text.word), np.int64), text.lang)
                 data = text.runs.buf.tobytes()
                 words = [data[a:z].lower() for a, z in zip(text.runs.start[one].tolist(), text.runs.end[one].tolist(),
                                                            strict=True)]       # of bytes: A-Z only
-                held[1].append((cols, since, n, words))
+                held[1].append((cols, n, lang, words))
             for size, cols, since in text.longer(sizes, known, step, cycle):
                 held[size].append((cols, since))
             size_now += len(text.runs.buf)
             if size_now >= RUN_BYTES:
                 yield _batch(list(flush(held)))
-                held, size_now = {s: [] for s in sizes}, 0
+                size_now = 0
         if size_now:
             yield _batch(list(flush(held)))
     return run
@@ -233,16 +249,21 @@ def _merge(step: int, cycle: int, least: int, longest: int, slot_bits: int):
         size, part = (k.as_py() for k in key)
         cols, count, since, old, texts = [], [], [], [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
-            c, (n, s), t = unpack(data, size + 1, 2)
+            c, (n, s), t = unpack(data, size, 2)
+            if size == 1:
+                c.append(hashed(t, c[0]))
+                texts.extend(t)
             cols.append(c)
             count.append(n)
             since.append(s)
             old.append(n if kind == "open" else np.zeros(len(n), np.int64))
-            texts.extend(t)
-        cols = [np.concatenate([c[i] for c in cols]) for i in range(size + 1)]
+        cols = [np.concatenate([c[i] for c in cols]) for i in range(len(cols[0]))]
+        lang = cols.pop(0) if size == 1 else None
         count, since, old = (np.concatenate(x) for x in (count, since, old))
         before = merged(cols, old)[2]
         h, cols, count, one, since = merged(cols, count, since)
+        if size == 1:
+            cols = [lang[one]]
         rows = []
         if size < longest:
             reached = h[(before < least) & (count >= least)]
@@ -267,13 +288,15 @@ def _merge(step: int, cycle: int, least: int, longest: int, slot_bits: int):
 # ---------------------------------------------------------------- the cycles
 
 def _rows(batches):
-    """Kept phrases as rows: language hash, word hashes, count; a single word's bytes."""
+    """Kept phrases as rows: word hashes and count; a single word's language's hash and bytes."""
     for b in batches:
         for size, data in zip(b.column("size").to_pylist(), b.column("data").to_pylist(), strict=True):
-            cols, (n, _), texts = unpack(data, size + 1, 2)
-            words = np.stack(cols[1:], 1).astype(np.int64).reshape(-1)
+            cols, (n, _), texts = unpack(data, size, 2)
+            lang, cols = (cols[0], [hashed(texts, cols[0])]) if size == 1 else (None, cols)
+            words = np.stack(cols, 1).astype(np.int64).reshape(-1)
             yield pa.record_batch([
-                pa.array(cols[0].astype(np.int64)), pa.array(np.full(len(n), size, np.int32)),
+                pa.nulls(len(n), pa.int64()) if lang is None else pa.array(lang.astype(np.int64)),
+                pa.array(np.full(len(n), size, np.int32)),
                 vec.list_array(words, np.full(len(n), size), pa.int64()), pa.array(n, pa.int64()),
                 pa.array([t.decode() for t in texts] if size == 1 else [None] * len(n), pa.string())],
                 ["lang_h", "size", "words", "a", "word"])
@@ -291,8 +314,8 @@ def count_phrases(texts: DataFrame, least: int, longest: int, shards: int,
                   slot_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Phrases of ``lang, text`` rows with at least ``least`` occurrences, and the words of each language.
 
-    The first table has ``lang_h, size, words, a`` (and ``word``, for single words),
-    the second ``lang_h, n``. Counts are exact: see the module's text.
+    The first table has ``size, words, a`` (and ``lang_h, word`` for single words; a word's
+    hash has its language in it), the second ``lang_h, n``. Counts are exact: see the module's text.
     """
     spark = texts.sparkSession
     path = shared_path(spark, "phrase-texts")
@@ -302,7 +325,7 @@ def count_phrases(texts: DataFrame, least: int, longest: int, shards: int,
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(size / DEAL_BYTES))) if size else 0
     if slot_bits is None:
-        slot_bits = min(SLOT_BITS, max(16, math.ceil(math.log2(size / 16 + 1))))
+        slot_bits = min(SLOT_BITS, max(16, math.ceil(math.log2(size / 64 + 1))))
     marks = [np.zeros(1 << slot_bits, np.uint8) for _ in range(longest - 1)]
     last = [0] + [-1 << 30] * (longest - 1)     # by size: the last step at which a phrase of it may have become active
     state, done = None, []
@@ -373,34 +396,35 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     phrases, totals = count_phrases(texts, least, longest, shards, slot_bits)
-    long = phrases.where("size > 1").select("lang_h", "size", "words", "a")
-    parts = phrases.select("lang_h", F.col("words").alias("part"), F.col("a").alias("f"))
+    names = phrases.where("size = 1").select(F.col("words")[0].alias("w"), "lang_h", "word")
+    long = phrases.where("size > 1").select("size", "words", "a")
+    parts = phrases.select(F.col("words").alias("part"), F.col("a").alias("f"))
     # Every cut's two parts, then the cut of the lowest score.
     cuts = long.select("*", F.explode(F.expr("sequence(1, size - 1)")).alias("k")).select(
         "*", F.expr("slice(words, 1, k)").alias("left"), F.expr("slice(words, k + 1, size - k)").alias("right"))
-    cuts = (cuts.join(parts.withColumnsRenamed({"part": "left", "f": "l"}), ["lang_h", "left"])
-            .join(parts.withColumnsRenamed({"part": "right", "f": "r"}), ["lang_h", "right"]))
+    cuts = (cuts.join(parts.withColumnsRenamed({"part": "left", "f": "l"}), "left")
+            .join(parts.withColumnsRenamed({"part": "right", "f": "r"}), "right"))
     score = F.expr("(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    best = (cuts.withColumn("score", score).groupBy("lang_h", "words")
+    best = (cuts.withColumn("score", score).groupBy("words")
             .agg(F.first("a").alias("a"), F.first("size").alias("size"), F.min(F.struct("score", "k", "l", "r")).alias("cut")))
     # Phrases inside a longer one that has nearly all of their occurrences go.
-    inner = long.where("size > 2").select("lang_h", "a", F.explode(F.expr(
+    inner = long.where("size > 2").select("a", F.explode(F.expr(
         "flatten(transform(sequence(2, size - 1), m -> transform(sequence(1, size - m + 1), i -> slice(words, i, m))))"
-    )).alias("words")).groupBy("lang_h", "words").agg(F.max("a").alias("longer"))
-    left = best.join(inner, ["lang_h", "words"], "left").where(
+    )).alias("words")).groupBy("words").agg(F.max("a").alias("longer"))
+    left = best.join(inner, "words", "left").where(
         F.col("longer").isNull() | (exact("longer") * 100 < exact("a") * covered_percent))
     # Ranks by numbers first (ties at the end stay), then words for these few and the order of the ties.
+    left = left.join(names.select("w", "lang_h"), F.col("words")[0] == F.col("w"))
     first = left.select("lang_h", "words", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
                         F.col("cut.score").alias("score"))
     first = write_table(leading(leading(first.withColumn("ahead", F.lit(0).cast("long")), ["lang_h"], "score", top),
                                 ["lang_h", "score"], "a", top), "phrase-top")
-    names = phrases.where("size = 1").groupBy(F.col("words")[0].alias("w")).agg(F.min("word").alias("word"))
-    spelled = (first.select("lang_h", "words", F.posexplode("words").alias("i", "w")).join(names, "w")
-               .groupBy("lang_h", "words")
+    spelled = (first.select("words", F.posexplode("words").alias("i", "w")).join(names.select("w", "word"), "w")
+               .groupBy("words")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]),
                                  " ").alias("phrase")))
     langs = texts.select("lang").distinct().mapInArrow(_lang_hashes, "lang string, lang_h long")
-    out = first.join(spelled, ["lang_h", "words"]).join(totals, "lang_h").join(langs, "lang_h")
+    out = first.join(spelled, "words").join(totals, "lang_h").join(langs, "lang_h")
     # Only phrases tied at the last place can be many: they are cut by parts first.
     by = Window.partitionBy("lang", F.expr("pmod(xxhash64(phrase), 64)")).orderBy("phrase")
     tied = out.where(F.col("same") > 2 * top).withColumn("i", F.row_number().over(by)).where(F.col("i") <= top).drop("i")

@@ -91,9 +91,9 @@ def test_oracle(make_docs):
 def test_codec(words, data):
     rows = data.draw(st.integers(1, 30))
     cols = [np.array(data.draw(st.lists(st.integers(0, 2**64 - 1), min_size=rows, max_size=rows)), np.uint64)
-            for _ in range(words + 1)]
+            for _ in range(words)]
     count = np.array(data.draw(st.lists(st.integers(0, 2**40), min_size=rows, max_size=rows)), np.int64)
     texts = [b"t%d" % i for i in range(rows)] if words == 1 else None
-    back, (n,), t = collocations.unpack(collocations.pack(cols, [count], texts), words + 1, 1)
+    back, (n,), t = collocations.unpack(collocations.pack(cols, [count], texts), words, 1)
     flat = lambda c, n, t: sorted(zip(*(x.tolist() for x in c), n.tolist(), t))
     assert flat(back, n, t if words == 1 else [b""] * rows) == flat(cols, count, texts or [b""] * rows)
