@@ -91,33 +91,151 @@ LINK_PREFIXES_OK = ["http://", "https://", "/"]
 # ---------------------------------------------------------------------------
 
 # Built-in allow list used when the user list is empty (143 host patterns).
-DEFAULT_ALLOW_LIST_TEXT = """
-adobe.com acrobat.com pdf.com office.net wetransfer.com dropbox.com box.com
-onedrive.com docs.google.com drive.google.com icloud.com docsend.com scribd.com
-file.io sendgb.com transfer.sh zippyshare.com mediafire.com mega.nz filemail.com
-khanacademy.org coursera.org edx.org udemy.com duolingo.com openai.com code.org
-alison.com futurelearn.com udacity.com mit.edu stanford.edu harvard.edu
-ocw.mit.edu academicearth.org open.edu skillshare.com brilliant.org
-codecademy.com lynda.com pluralsight.com sololearn.com study.com chegg.com
-quizlet.com byjus.com edmodo.com github.com githubusercontent.com gitlab.com
-bitbucket.org sourceforge.net npmjs.com pypi.org rubygems.org docker.com
-hub.docker.com python.org nodejs.org perl.org cpan.org cran.r-project.org
-r-project.org anaconda.com readthedocs.io maven.apache.org packagist.org
-nuget.org dotnet.microsoft.com jetbrains.com vscode.dev visualstudio.com
-eclipse.org gnome.org kde.org slackbuilds.org freecodecamp.org f-droid.org
-osdn.net wikipedia.org wikimedia.org archive.org arxiv.org nature.com
-sciencedirect.com ncbi.nlm.nih.gov nih.gov pubmed.ncbi.nlm.nih.gov springer.com
-sciencemag.org newscientist.com encyclopedia.com britannica.com infoplease.com
-wolframalpha.com stackexchange.com stackoverflow.com quora.com snopes.com
-factcheck.org politifact.com reuters.com bbc.com bbc.co.uk nytimes.com ft.com
-economist.com wsj.com bloomberg.com apnews.com npr.org theguardian.com
-theatlantic.com forbes.com techcrunch.com wired.com arstechnica.com engadget.com
-cnet.com zdnet.com pcmag.com slashdot.org hackernews.com producthunt.com vox.com
-vice.com nationalgeographic.com smithsonianmag.com time.com newsweek.com
-usnews.com usatoday.com cnn.com abcnews.go.com cbsnews.com nbcnews.com pbs.org
-aljazeera.com dw.com cbc.ca globalnews.ca sciencenews.org journals.aps.org
-"""
-DEFAULT_ALLOW_LIST = DEFAULT_ALLOW_LIST_TEXT.split()
+DEFAULT_ALLOW_LIST = [
+    "adobe.com",
+    "acrobat.com",
+    "pdf.com",
+    "office.net",
+    "wetransfer.com",
+    "dropbox.com",
+    "box.com",
+    "onedrive.com",
+    "docs.google.com",
+    "drive.google.com",
+    "icloud.com",
+    "docsend.com",
+    "scribd.com",
+    "file.io",
+    "sendgb.com",
+    "transfer.sh",
+    "zippyshare.com",
+    "mediafire.com",
+    "mega.nz",
+    "filemail.com",
+    "khanacademy.org",
+    "coursera.org",
+    "edx.org",
+    "udemy.com",
+    "duolingo.com",
+    "openai.com",
+    "code.org",
+    "alison.com",
+    "futurelearn.com",
+    "udacity.com",
+    "mit.edu",
+    "stanford.edu",
+    "harvard.edu",
+    "ocw.mit.edu",
+    "academicearth.org",
+    "open.edu",
+    "skillshare.com",
+    "brilliant.org",
+    "codecademy.com",
+    "lynda.com",
+    "pluralsight.com",
+    "sololearn.com",
+    "study.com",
+    "chegg.com",
+    "quizlet.com",
+    "byjus.com",
+    "edmodo.com",
+    "github.com",
+    "githubusercontent.com",
+    "gitlab.com",
+    "bitbucket.org",
+    "sourceforge.net",
+    "npmjs.com",
+    "pypi.org",
+    "rubygems.org",
+    "docker.com",
+    "hub.docker.com",
+    "python.org",
+    "nodejs.org",
+    "perl.org",
+    "cpan.org",
+    "cran.r-project.org",
+    "r-project.org",
+    "anaconda.com",
+    "readthedocs.io",
+    "maven.apache.org",
+    "packagist.org",
+    "nuget.org",
+    "dotnet.microsoft.com",
+    "jetbrains.com",
+    "vscode.dev",
+    "visualstudio.com",
+    "eclipse.org",
+    "gnome.org",
+    "kde.org",
+    "slackbuilds.org",
+    "freecodecamp.org",
+    "f-droid.org",
+    "osdn.net",
+    "wikipedia.org",
+    "wikimedia.org",
+    "archive.org",
+    "arxiv.org",
+    "nature.com",
+    "sciencedirect.com",
+    "ncbi.nlm.nih.gov",
+    "nih.gov",
+    "pubmed.ncbi.nlm.nih.gov",
+    "springer.com",
+    "sciencemag.org",
+    "newscientist.com",
+    "encyclopedia.com",
+    "britannica.com",
+    "infoplease.com",
+    "wolframalpha.com",
+    "stackexchange.com",
+    "stackoverflow.com",
+    "quora.com",
+    "snopes.com",
+    "factcheck.org",
+    "politifact.com",
+    "reuters.com",
+    "bbc.com",
+    "bbc.co.uk",
+    "nytimes.com",
+    "ft.com",
+    "economist.com",
+    "wsj.com",
+    "bloomberg.com",
+    "apnews.com",
+    "npr.org",
+    "theguardian.com",
+    "theatlantic.com",
+    "forbes.com",
+    "techcrunch.com",
+    "wired.com",
+    "arstechnica.com",
+    "engadget.com",
+    "cnet.com",
+    "zdnet.com",
+    "pcmag.com",
+    "slashdot.org",
+    "hackernews.com",
+    "producthunt.com",
+    "vox.com",
+    "vice.com",
+    "nationalgeographic.com",
+    "smithsonianmag.com",
+    "time.com",
+    "newsweek.com",
+    "usnews.com",
+    "usatoday.com",
+    "cnn.com",
+    "abcnews.go.com",
+    "cbsnews.com",
+    "nbcnews.com",
+    "pbs.org",
+    "aljazeera.com",
+    "dw.com",
+    "cbc.ca",
+    "globalnews.ca",
+    "sciencenews.org",
+    "journals.aps.org",
+]
 
 # Score bands on the "ok" score (upper bounds, exclusive) and their labels.
 SCORE_BANDS = [(0.15, "Slop!"), (0.3, "Risk"), (0.6, "Hmm")]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import write_shared
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?</a>"""
 ANCHOR_HREF = r"""(?is)^<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
@@ -211,33 +212,70 @@ def pattern_table(patterns: DataFrame, col: str = "pattern") -> DataFrame:
                       F.concat(F.lit("(?s)"), F.regexp_replace(esc, "%", ".*")).alias("rx"))
 
 
-def matching_keys(values: DataFrame, key: str, value_col: str, patterns: DataFrame) -> DataFrame:
-    """L7 as a relation: distinct ``key`` whose ``value_col`` matches any pattern.
+SEED = 3   # characters of a pattern's seed
+
+
+def _grams(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), _sub(c, n))).otherwise(
+        F.array().cast("array<string>"))
 
-    A literal pattern must equal one url substring of its own length; a wildcard
-    pattern's longest literal piece must, and the pairs found are then checked
-    with the regex. So no url meets every pattern, however many there are.
+
+def pattern_seeds(pat: DataFrame) -> DataFrame:
+    """``(list, p, gram)``: the 3-gram of each pattern's longest literal piece that the fewest patterns hold.
+
+    Pieces of one or two characters are their own seed.
+    """
+    grams = pat.where(F.length("piece") >= SEED).select(
+        "list", "p", F.explode(F.array_distinct(_grams(F.col("piece"), SEED))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    best = grams.join(often, "gram").groupBy("list", "p").agg(F.min(F.struct("n", "gram")).alias("s"))
+    short = pat.where(F.length("piece").between(1, SEED - 1)).select("list", "p", F.col("piece").alias("gram"))
+    return best.select("list", "p", F.col("s.gram").alias("gram")).unionByName(short)
+
+
+def matching_lists(values: DataFrame, value_col: str, patterns: DataFrame) -> DataFrame:
+    """L7 as a relation: ``(value, list)`` for each distinct lower-cased value and list with a matching pattern.
+
+    ``patterns`` has ``pattern, list``. A seed index: a value posts its distinct
+    3-grams once, each with a hash of the value only; the postings meet the patterns
+    of which they are the seed, and just these pairs are verified (substring, or the
+    wildcard's regex). So no value meets every pattern, however many there are, and
+    a repeated value is matched once.
     """
     pat = pattern_table(patterns)
     piece = F.get(F.array_sort(F.transform(F.filter(F.split(F.col("p"), "%", -1), lambda s: s != ""),
                                            lambda s: F.struct((-F.length(s)).alias("k"), s.alias("s")))), F.lit(0))
-    keyed = pat.select("p", "wild", "rx", F.coalesce(piece.getField("s"), F.lit("")).alias("piece"))
-    always = keyed.where(F.col("piece") == "")  # pattern of only '%': matches everything
-    keyed = keyed.where(F.col("piece") != "")
-    lens = [r[0] for r in keyed.select(F.length("piece")).distinct().collect()]
-    v = values.select(key, F.lower(F.col(value_col)).alias("lv"))
-    if not lens:
-        return values.select(key).where(F.lit(not always.isEmpty())).distinct()
-    subs = v.select(key, "lv", F.explode(F.flatten(F.array(*[
-        F.when(F.length("lv") >= L, F.transform(F.sequence(F.lit(1), F.length("lv") - L + 1),
-                                                _sub(F.col("lv"), L))).otherwise(F.array().cast("array<string>"))
-        for L in lens]))).alias("piece")).distinct()
-    hit = subs.join(keyed, "piece").where(~F.col("wild") | F.rlike(F.col("lv"), F.col("rx"))).select(key)
-    if not always.isEmpty():
-        hit = hit.unionByName(values.select(key))
+    pat = write_shared(pat.select("list", "p", "wild", "rx", F.coalesce(piece.getField("s"), F.lit("")).alias("piece"))
+                       .distinct(), "pattern-table")
+    bounds = pat.select(F.length("piece").alias("n"), "list").where(F.col("n") < SEED).distinct().collect()
+    short = sorted({r.n for r in bounds if r.n})             # 1, 2 or none
+    always = sorted({r.list for r in bounds if not r.n})     # lists with a pattern of only '%': they match everything
+    v = values.select(F.lower(F.col(value_col)).alias("value")).where(F.col("value").isNotNull()).distinct()
+    v = write_shared(v.withColumn("h", F.xxhash64("value")), "policy-values")
+    posts = v.select("h", F.explode(F.array_distinct(F.flatten(F.array(*[
+        _grams(F.col("value"), n) for n in (*short, SEED)])))).alias("gram"))
+    pairs = posts.join(pattern_seeds(pat), "gram").select("h", "list", "p").distinct()
+    checked = pairs.join(pat.select("list", "p", "wild", "rx"), ["list", "p"]).join(v, "h")
+    hit = checked.where((F.col("wild") & F.rlike("value", F.col("rx"))) | (~F.col("wild") & F.contains("value", F.col("p"))))
+    hit = hit.select("value", "list")
+    for name in always:
+        hit = hit.unionByName(v.select("value", F.lit(name).alias("list")))
     return hit.distinct()
 
 
+def matching_keys(values: DataFrame, key: str, value_col: str, patterns: DataFrame) -> DataFrame:
+    """Distinct ``key`` whose ``value_col`` matches any pattern."""
+    hit = matching_lists(values, value_col, patterns.select("pattern", F.lit("").alias("list"))).select(
+        F.col("value").alias("_lv"))
+    return values.join(hit, F.lower(F.col(value_col)) == F.col("_lv"), "left_semi").select(key).distinct()
+
+
+def tagged(allow: DataFrame, deny: DataFrame) -> DataFrame:
+    """Both lists as ``pattern, list``."""
+    return allow.select("pattern", F.lit("allow").alias("list")).unionByName(
+        deny.select("pattern", F.lit("deny").alias("list")))
+
+
 def _sub(c: Column, n: int):
     return lambda i: F.substring(c, i, n)
 
@@ -254,19 +292,25 @@ def policy_cascade(links: DataFrame, allow: DataFrame, deny: DataFrame, id_col:
                    model_score: Column | None = None) -> DataFrame:
     """First hit wins: bad url 1; allow 1; deny 0; google.com 1; no html 1; else model.
 
-    Allow and deny hits are computed once per distinct key by semi joins; the
-    model score is only evaluated on rows that no earlier rule decided.
+    Both lists are matched in one pass over the distinct urls and hosts, whose
+    hits are written and joined back by value, so rows need no id; the model score
+    is only evaluated on rows that no earlier rule decided.
     """
     base = links.select(id_col, url_col, html_col,
                         host_of(url_col).alias("_host"), F.lower(F.col(url_col)).alias("_href"))
-    both = base.select(id_col, F.col("_href").alias("_v")).unionByName(
-        base.where(F.col("_host").isNotNull()).select(id_col, F.col("_host").alias("_v")))
-    a_hit = matching_keys(both, id_col, "_v", allow).select(id_col, F.lit(True).alias("_allow"))
-    d_hit = matching_keys(both, id_col, "_v", deny).select(id_col, F.lit(True).alias("_deny"))
-    j = base.join(a_hit, id_col, "left").join(d_hit, id_col, "left")
+    values = base.select(F.explode(F.array("_href", "_host")).alias("_v"))
+    hits = matching_lists(values, "_v", tagged(allow, deny)).groupBy("value").agg(
+        F.bool_or(F.col("list") == "allow").alias("_a"), F.bool_or(F.col("list") == "deny").alias("_d"))
+    hits = write_shared(hits, "policy-hits")
+    j = base
+    for c in ("_href", "_host"):
+        j = j.join(hits.select(F.col("value").alias(c), F.col("_a").alias(f"_a{c}"), F.col("_d").alias(f"_d{c}")), c, "left")
+    no = F.lit(False)
+    j = j.withColumns({"_allow": F.coalesce("_a_href", no) | F.coalesce("_a_host", no),
+                       "_deny": F.coalesce("_d_href", no) | F.coalesce("_d_host", no)})
     rule = (F.when(F.col("_host").isNull(), F.lit("bad_url"))
-            .when(F.col("_allow").isNotNull(), F.lit("allow"))
-            .when(F.col("_deny").isNotNull(), F.lit("deny"))
+            .when(F.col("_allow"), F.lit("allow"))
+            .when(F.col("_deny"), F.lit("deny"))
             .when(F.col("_href").contains(K.ALWAYS_OK_HOST_TEXT), F.lit("google"))
             .when(F.col(html_col).isNull() | (F.col(html_col) == ""), F.lit("no_html"))
             .otherwise(F.lit("model")))

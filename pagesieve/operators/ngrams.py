@@ -136,18 +136,19 @@ def allow_list_grams(docs: DataFrame, grams: DataFrame, id_col: str = "page_id",
                      text_col: str = "html", lengths: list[int] | None = None) -> DataFrame:
     """Every substring of an allowed length that is in the allow list; repeats kept.
 
-    ``(id, word_pos, ngram)``. The allow list is joined by equality on the
-    substring.
+    ``(id, word_pos, ngram)``. Substrings are taken once per distinct word and
+    joined to the allow list by equality; only the hits meet the occurrences.
     """
     if lengths is None:
         lengths = [r[0] for r in grams.select(F.length("ngram")).distinct().collect()]
     occ = word_occurrences(docs, id_col, text_col, None)
     occ = occ.where(F.length("word") >= min(lengths))
-    subs = occ.select(id_col, "word_pos", F.explode(F.flatten(F.array(*[
+    subs = occ.select("word").distinct().select("word", F.explode(F.flatten(F.array(*[
         F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1),
                                                   H._sub_of(F.col("word"), n)))
         .otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]))).alias("ngram"))
-    return subs.join(grams.select("ngram").distinct(), "ngram").select(id_col, "word_pos", "ngram")
+    hits = subs.join(grams.select("ngram").distinct(), "ngram")
+    return occ.join(hits, "word").select(id_col, "word_pos", "ngram")
 
 
 def prune_vocabulary(encoded: DataFrame, chosen: DataFrame, key: str = "ngram") -> DataFrame:

@@ -190,12 +190,11 @@ def l07_like_match(spark, sf_dir):
     allow, deny = policy_lists(spark, sf_dir)
     allow = LK.effective_allow_list(spark, allow)
     p = tables.pages(spark, sf_dir)
-    vals = p.select("page_id", F.lower("url").alias("v")).unionByName(
-        p.select("page_id", LK.host_of("url").alias("v")).where(F.col("v").isNotNull()))
-    a = LK.matching_keys(vals, "page_id", "v", allow).select("page_id", F.lit("allow").alias("list"))
-    d = LK.matching_keys(vals, "page_id", "v", deny).select("page_id", F.lit("deny").alias("list"))
-    hosts = p.select("page_id", LK.host_of("url").alias("host"))
-    return a.unionByName(d).join(hosts, "page_id").groupBy("host", "list").agg(F.count("*").alias("n"))
+    rows = p.select("page_id", LK.host_of("url").alias("host"), F.lower("url").alias("href"))
+    rows = rows.select("page_id", "host", F.explode(F.array("href", "host")).alias("value"))
+    hits = LK.matching_lists(rows, "value", LK.tagged(allow, deny))
+    return rows.join(hits, "value").select("page_id", "host", "list").distinct().groupBy("host", "list").agg(
+        F.count("*").alias("n"))
 
 
 @query("l08_url_host", f"""SELECT page_id, {host_sql('url')} AS host FROM pages""")

@@ -135,6 +135,7 @@ g AS (SELECT unnest({sql_word_ngrams('word', 4, 10)}) AS ngram FROM occ)
 SELECT ngram, count(*) AS n FROM g WHERE ngram IN (SELECT ngram FROM u) GROUP BY ngram""")
 def t09_prune_vocabulary(spark, sf_dir):
     grams = model_io.gram_table(spark, model_io.load_model(spark))
-    r = NG.raw_ngrams(tables.documents(spark, sf_dir), "doc_id", "text", 4, 10)
-    e = r.select(F.explode("ngrams").alias("ngram"))
-    return NG.prune_vocabulary(e, grams).groupBy("ngram").agg(F.count("*").alias("n"))
+    words = tables.documents(spark, sf_dir).select(F.explode(NG.split_tokens(F.col("text"))).alias("word"))
+    words = words.groupBy("word").agg(F.count("*").alias("n"))
+    e = words.select("n", F.explode(NG.H.word_ngrams(F.col("word"), 4, 10)).alias("ngram"))
+    return NG.prune_vocabulary(e, grams).groupBy("ngram").agg(F.sum("n").alias("n"))

@@ -246,7 +246,15 @@ def e05_word_strength(spark, sf_dir):
     return round_doubles(MD.word_strength_weighted(d, words, 50))
 
 
-@query("m06_dropout_mask")
+def _kept_sql() -> str:
+    def u(j):
+        return (f"(('0x' || substr(md5('0:0:0:' || CAST(doc_id AS VARCHAR) || ':c{j}'), 1, 8))::BIGINT + 0.5) "
+                "/ 4294967296.0")
+    n = EMB + len(NUM)
+    return "(" + " + ".join(f"CASE WHEN {u(j)} >= 0.1 THEN 1.0 ELSE 0.0 END" for j in range(n)) + f") / {n}"
+
+
+@query("m06_dropout_mask", f"WITH {TRAIN_CTE} SELECT doc_id, CAST({_kept_sql()} AS DOUBLE) AS kept_share FROM tr")
 def m06_dropout_mask(spark, sf_dir):
     """M6: share of kept inputs per document under rate 0.1 (reproducible md5 mask)."""
     docs = _train_docs(spark, sf_dir).select("doc_id")

@@ -100,3 +100,33 @@ def test_split_keeps_rows_without_a_class(spark):
     rows = CL.split_train_test(df, 0.2, 42, "doc_id", "label").collect()
     assert len(rows) == 20
     assert sorted((str(r.label), r.split) for r in rows).count(("None", "test")) == 1
+
+
+def test_seed_index_equals_trying_every_pattern(spark):
+    import random
+    import re
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc./%") for _ in range(n))
+    urls = ["http://" + word(rng.randint(0, 12)).replace("%", "d") for _ in range(60)] + ["", "x" * 5000 + "needle", "HTTP://ABC", None]
+    pats = [(word(rng.randint(1, 5)), rng.choice(["allow", "deny"])) for _ in range(40)]
+    pats += [("needle", "deny"), (" Abc ", "allow"), ("", "deny"), (None, "allow"), ("a%c%b", "deny"), ("zz", "allow"), ("q", "deny")]
+    got = LK.matching_lists(spark.createDataFrame([(u,) for u in urls], "u string"), "u",
+                            spark.createDataFrame(pats, "pattern string, list string")).collect()
+    want = set()
+    for u in {u.lower() for u in urls if u is not None}:
+        for p, name in pats:
+            p = (p or "").strip().lower()
+            if p and re.search(".*".join(map(re.escape, p.split("%"))), u, re.S):
+                want.add((u, name))
+    assert sorted((r.value, r["list"]) for r in got) == sorted(want)
+
+
+def test_cascade_needs_no_ids(spark):
+    rows = [(None, "http://good.com/a", "<p>"), (None, "http://bad.com/a", "<p>"), (1, "http://bad.com/a", "<p>"),
+            (1, "http://other.org/", ""), (2, None, "<p>"), (3, "https://google.com/x", None), (4, "http://other.org/", "<p>")]
+    links = spark.createDataFrame(rows, "link_id long, url string, html string")
+    lists = [spark.createDataFrame([(p,)], "pattern string") for p in ("good.com", "%bad%")]
+    got = [(r.link_id, r.url, r.rule) for r in LK.policy_cascade(links, *lists).collect()]
+    rules = ["allow", "deny", "deny", "no_html", "bad_url", "google", "model"]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(got, key=key) == sorted([(i, u, r) for (i, u, _), r in zip(rows, rules)], key=key)
