@@ -20,9 +20,9 @@ from . import vec
 
 LATIN = 0x250
 LETTER, NUMBER, SPACE, SIGN, EDGE = range(5)
-CACHE = 1 << 17   # distinct strings kept by a worker before it starts anew ...
-POOL = 1 << 21    # ... or when their ids are more than so many
-CHUNK = 1 << 12   # strings given to the library at once
+CACHE = 1 << 19   # distinct strings kept by a worker before it starts anew ...
+POOL = 1 << 22    # ... or when their ids are more than so many
+CHUNK = 1 << 13   # strings given to the library at once
 _U = np.uint64
 
 
@@ -85,13 +85,17 @@ def cuts(cp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encoded(path: str, texts: list[str], chunk: int) -> list[np.ndarray]:
-    """Ids of each text; the library's encodings, far larger than their ids, live for a chunk of texts only."""
-    out = []
+def encoded(path: str, texts: list[str], chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and the number of ids of each text.
+
+    The library's encodings, far larger than their ids, live for a chunk of texts only.
+    """
+    flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for i in range(0, len(texts), chunk):
-        out.extend(np.array(e.ids, np.uint32)
-                   for e in tokenizer(path).encode_batch(texts[i:i + chunk], add_special_tokens=False))
-    return out
+        got = [e.ids for e in tokenizer(path).encode_batch(texts[i:i + chunk], add_special_tokens=False)]
+        size.append(np.fromiter(map(len, got), np.int64, len(got)))
+        flat.append(np.fromiter((x for g in got for x in g), np.uint32, int(size[-1].sum())))
+    return np.concatenate(flat), np.concatenate(size)
 
 
 class IdPool:
@@ -160,8 +164,8 @@ class Encoder:
         whole = {}
         if odd.any():
             rows = np.flatnonzero(odd)
-            for i, part in zip(rows, encoded(self.path, [texts[i] for i in rows], 16), strict=True):
-                whole[i] = part
+            flat, size = encoded(self.path, [texts[i] for i in rows], 16)
+            whole = dict(zip(rows, np.split(flat, np.cumsum(size)[:-1]), strict=True))
         plain = np.flatnonzero(~odd)
         ids, per = self._plain([texts[i] for i in plain])
         counts[plain] = per
@@ -195,8 +199,7 @@ class Encoder:
 
         def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words = [text[a:b] for a, b in zip(start[at].tolist(), (start[at] + seg[at]).tolist(), strict=True)]
-            got = encoded(self.path, words, CHUNK)
-            return (np.concatenate(got) if got else np.zeros(0, np.uint32)), np.array([len(g) for g in got], np.int64)
+            return encoded(self.path, words, CHUNK)
         ids, size = self.known.ids(h, fresh)
         bounds = np.searchsorted(start, edges)
         total = np.r_[0, np.cumsum(size)]
