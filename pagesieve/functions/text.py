@@ -74,8 +74,8 @@ def sentence_piece_count(p) -> Column:
 # N3
 def paragraph_text(html, sep: str = "\n") -> Column:
     """Text of the ``<p>`` elements, tag-stripped and trimmed, joined by ``sep``."""
-    inner = extract_all(F.coalesce(_c(html), F.lit("")), r"(?is)<p\b[^>]*>(.*?)</p>", 1)
-    cleaned = F.transform(inner, lambda s: F.trim(F.regexp_replace(s, P.TAG, "")))
+    inner = extract_all(F.coalesce(_c(html), F.lit("")), r"(?is)<p(?:\s[^>]*)?>(.*?)</p>", 1)
+    cleaned = F.transform(inner, lambda s: py_strip(F.regexp_replace(s, P.TAG, "")))
     return F.array_join(cleaned, sep)
 
 

@@ -57,7 +57,8 @@ def mean_var(df: DataFrame, value: Column, by: str | None = None) -> DataFrame:
     return g.agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var"), F.count(value).alias("n"))
 
 
-def rounded_histogram(df: DataFrame, value: Column) -> DataFrame:
-    """Width-1 bins centred on whole numbers: floor(x + 0.5)."""
-    return df.select(F.floor(value + F.lit(0.5)).cast("long").alias("bin")).groupBy("bin") \
+def rounded_histogram(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
+    """Width-1 bins centred on whole numbers, floor(x + 0.5), per group of the columns ``by``."""
+    by = by or []
+    return df.select(*by, F.floor(value + F.lit(0.5)).cast("long").alias("bin")).groupBy(*by, "bin") \
         .agg(F.count("*").alias("n"))

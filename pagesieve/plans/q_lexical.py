@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import clean as CL
 from ..operators import lexical as LX
+from ..operators import reports as RP
 from ..sources import tables
 from . import sqlparts as Q
 from .common import round_doubles
@@ -162,9 +163,7 @@ def x07_tag_trigram_perplexity(spark, sf_dir):
 @query("r06_perplexity_histogram", f"""WITH {CDOCS}, {_PPL_SQL}
 SELECT cls, floor(perplexity + 0.5)::BIGINT AS bin, count(*) AS n FROM ppl GROUP BY ALL""")
 def r06_perplexity_histogram(spark, sf_dir):
-    p = _ppl(spark, sf_dir)
-    return p.select("cls", F.floor(F.col("perplexity") + F.lit(0.5)).cast("long").alias("bin")) \
-        .groupBy("cls", "bin").agg(F.count("*").alias("n"))
+    return RP.rounded_histogram(_ppl(spark, sf_dir), F.col("perplexity"), ["cls"])
 
 
 @query("x08_tag_shares", f"""WITH {CDOCS}, {_TAGS_SQL},

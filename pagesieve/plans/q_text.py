@@ -39,10 +39,7 @@ def n02_visible_text(spark, sf_dir):
   regexp_extract_all(coalesce(html, ''), {Q.lit(PARA_P)}, 1),
   lambda s: regexp_replace(regexp_replace(s, {Q.lit(P.TAG)}, '', 'g'), {_STRIP}, '', 'g')), chr(10)) AS text FROM pages""")
 def n03_paragraph_text(spark, sf_dir):
-    html = F.coalesce(F.col("html"), F.lit(""))
-    inner = T.extract_all(html, PARA_P, 1)
-    txt = F.array_join(F.transform(inner, lambda s: T.py_strip(F.regexp_replace(s, P.TAG, ""))), "\n")
-    return _pages(spark, sf_dir).select("page_id", txt.alias("text"))
+    return _pages(spark, sf_dir).select("page_id", T.paragraph_text("html").alias("text"))
 
 
 @query("n04_word_tokens", f"""SELECT tok, count(*) AS n FROM (SELECT unnest({Q.word_tokens(Q.visible_text('html'))}) AS tok FROM pages) GROUP BY tok""")

@@ -78,6 +78,13 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, on any file system that Spark knows; none if it does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end (on any file system that Spark knows)."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

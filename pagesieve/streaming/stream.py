@@ -6,10 +6,12 @@ is per row (the page's two text aggregates are array functions inside the
 row), so the stream needs no state. Policy lists are re-read for every
 micro-batch inside ``foreachBatch`` (W4), and each batch is written to its own
 ``batch_id`` folder with overwrite, so a retried batch replaces its output
-(idempotent sink, exactly-once together with the checkpoint).
+(idempotent sink, exactly-once together with the checkpoint). Lists that change
+while the stream runs are numbered snapshots (:class:`ListSnapshots`): a batch notes
+the one that it uses before it writes, and uses the same one when it is run again.
 
 W2 keeps each url once (bounded state needs an event time: with one,
-``dropDuplicatesWithinWatermark``). W5 counts events per type in tumbling
+``dropDuplicatesWithinWatermark``); :func:`state_on_disk` keeps the state in RocksDB. W5 counts events per type in tumbling
 windows with a watermark, append mode (bounded state).
 """
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links as LK
 from ..operators import scoring as SC
+from ..session import is_written, sub_folders
 from ..sources.model_io import CollapsedModel
 
 
@@ -45,20 +48,71 @@ def cascade_scores(batch: DataFrame, allow: DataFrame, deny: DataFrame, model: C
     return SC.with_band(out, "ok_score")
 
 
-def start_link_scoring(stream: DataFrame, out_dir: str, checkpoint: str,
-                       lists: Callable[[], tuple[DataFrame, DataFrame]], model: CollapsedModel,
-                       available_now: bool = True, id_col: str = "page_id"):
-    """W1 + W3 + W4: start the scoring stream; lists are re-read per micro-batch."""
+class ListSnapshots:
+    """Allow and deny lists as numbered tables in a folder that the cluster shares.
+
+    A snapshot counts from the moment when it is written to its end; numbers grow.
+    Before the first one both lists are empty, so the built-in allow list holds.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/snapshot={number:09d}"
+
+    def latest(self) -> int:
+        done = [int(n.split("=")[1]) for n in sub_folders(self.spark, self.folder)
+                if n.startswith("snapshot=") and is_written(self.spark, f"{self.folder}/{n}")]
+        return max(done, default=0)
+
+    def publish(self, allow: DataFrame, deny: DataFrame) -> int:
+        """Write both lists as the next snapshot; returns its number."""
+        number = self.latest() + 1
+        LK.tagged(allow, deny).write.mode("overwrite").parquet(self._path(number))
+        return number
+
+    def lists(self, number: int) -> tuple[DataFrame, DataFrame]:
+        schema = "pattern string, list string"
+        both = (self.spark.read.schema(schema).parquet(self._path(number)) if number
+                else self.spark.createDataFrame([], schema))
+        allow = both.where("list = 'allow'").select("pattern")
+        return LK.effective_allow_list(self.spark, allow), both.where("list = 'deny'").select("pattern")
+
+    def for_batch(self, out_dir: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """The lists of this batch: those noted by an earlier run of it, else the latest, which are noted."""
+        note = f"{out_dir}/_lists/batch_id={batch_id}"
+        if not is_written(self.spark, note):
+            self.spark.createDataFrame([(self.latest(),)], "snapshot long").coalesce(1).write.mode("overwrite").parquet(note)
+        return self.lists(self.spark.read.schema("snapshot long").parquet(note).first()["snapshot"])
+
+
+def batch_writer(out_dir: str, lists: Callable[[], tuple[DataFrame, DataFrame]] | ListSnapshots,
+                 model: CollapsedModel, id_col: str = "page_id") -> Callable[[DataFrame, int], None]:
+    """What is done with each micro-batch: score it and (over)write its own folder."""
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        allow, deny = lists()
+        allow, deny = lists.for_batch(out_dir, batch_id) if isinstance(lists, ListSnapshots) else lists()
         res = cascade_scores(df, allow, deny, model, id_col)
         res.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+    return write_batch
+
 
+def start_link_scoring(stream: DataFrame, out_dir: str, checkpoint: str,
+                       lists: Callable[[], tuple[DataFrame, DataFrame]] | ListSnapshots, model: CollapsedModel,
+                       available_now: bool = True, id_col: str = "page_id"):
+    """W1 + W3 + W4: start the scoring stream; lists are re-read, or taken as a snapshot, per micro-batch."""
+    write_batch = batch_writer(out_dir, lists, model, id_col)
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep the state of streams started from now on in RocksDB, out of the executors' heaps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def dedup_links(stream: DataFrame, key: str = "url", event_time: str | None = None,
                 delay: str = "1 hour") -> DataFrame:
     """Each link once; bounded by a watermark when an event time exists."""
