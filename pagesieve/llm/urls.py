@@ -5,8 +5,9 @@ character entropy, number of parameters, and statistics of its host suffixes (th
 last one, two and three labels) and file suffix: the smoothed block rate and the
 count among labelled URLs. Suffixes are hashed into ``SUFFIX_BUCKETS`` buckets, so
 the statistics, counted over all labelled URLs, have a fixed size. The trees are
-fitted on a bounded sample of the labelled URLs (``TRAIN_ROWS``); a training row's
-own label is taken out of its suffix statistics.
+fitted on a bounded sample of the labelled URLs (``TRAIN_ROWS``). Their suffix
+statistics come from the other folds of the labelled URLs: with only the row's own
+label taken out, the rate itself would tell the label.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .tables import load, write_table
 
 TRAIN_ROWS = 20_000
 LEAST_AUC = 0.55
+FOLDS = 5
 SUFFIX_BUCKETS = 1 << 16
 SMOOTH = 20.0
 TREES = 20
@@ -101,15 +103,30 @@ class UrlModel:
     threshold: float = 0.5
 
 
-def _with_stats(rows: DataFrame, stats: DataFrame, prior: float, own: F.Column | None) -> DataFrame:
+def _other_folds(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``bucket, fold, n, blocked``: the statistics without the labelled rows of each fold."""
+    own = _counted(rows, "fold").withColumnsRenamed({"n": "own_n", "blocked": "own_blocked"})
+    folds = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"))
+    return folds.join(own, ["bucket", "fold"], "left").select(
+        "bucket", "fold", (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"),
+        (F.col("blocked") - F.coalesce("own_blocked", F.lit(0))).alias("blocked"))
+
+
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    """``bucket, n, blocked`` of rows with ``label, times``, by further columns."""
+    buckets = rows.select(F.explode(F.array(*[f"b_{s}" for s in SUFFIXES])).alias("bucket"), "label", "times", *by)
+    return buckets.groupBy("bucket", *by).agg(F.sum("times").alias("n"), F.sum(F.expr("times * label")).alias("blocked"))
+
+
+def _with_stats(rows: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
+    """The suffix features of ``rows``; by fold, if ``stats`` are."""
+    fold = ["fold"] if "fold" in stats.columns else []
     for s in SUFFIXES:
-        side = stats.select(F.col("bucket").alias(f"b_{s}"), F.col("n").alias("_n"), F.col("blocked").alias("_b"))
-        rows = rows.join(F.broadcast(side), f"b_{s}", "left")       # SUFFIX_BUCKETS rows at most
+        side = stats.select(F.col("bucket").alias(f"b_{s}"), *fold, F.col("n").alias("_n"), F.col("blocked").alias("_b"))
+        rows = rows.join(F.broadcast(side), [f"b_{s}", *fold], "left")       # FOLDS * SUFFIX_BUCKETS rows at most
         n, b = F.coalesce("_n", F.lit(0)), F.coalesce("_b", F.lit(0))
-        if own is not None:
-            n, b = n - 1, b - own
         rows = rows.withColumns({f"f_{s}_rate": (b + SMOOTH * prior) / (n + SMOOTH),
-                                 f"f_{s}_count": F.log1p(F.greatest(n, F.lit(0)).cast("double"))}).drop("_n", "_b")
+                                 f"f_{s}_count": F.log1p(n.cast("double"))}).drop("_n", "_b")
     return rows
 
 
@@ -123,8 +140,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
 
     Rows of one URL and label count as often as they occur, but are one training
     row, so a URL that repeats cannot make the sample larger than ``train_rows``,
-    about. Both labels weigh the same. A fifth of the sample, by the URL's hash, is
-    held out: it gives the area under the ROC curve and the threshold (the largest
+    about. Both labels weigh the same. One fold of the URLs is held out: it gives the area under the ROC curve and the threshold (the largest
     difference of the rates of right and of wrong blocks). Where that area is under
     ``LEAST_AUC``, the features say nothing about the labels and the trees are not
     asked.
@@ -132,11 +148,10 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     spark = labelled.sparkSession
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
-    rows = write_table(lexical(rows.groupBy("url", "label").agg(F.count("*").alias("times"))), "url-labelled")
+    rows = write_table(lexical(rows.groupBy("url", "label").agg(F.count("*").alias("times"))).withColumn(
+        "fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS)).cast("int")), "url-labelled")
     distinct, n, blocked = rows.agg(F.count("*"), F.sum("times"), F.sum(F.expr("times * label"))).first()
-    buckets = rows.select(F.explode(F.array(*[f"b_{s}" for s in SUFFIXES])).alias("bucket"), "label", "times")
-    stats = write_table(buckets.groupBy("bucket").agg(F.sum("times").alias("n"),
-                                                      F.sum(F.expr("times * label")).alias("blocked")), "url-suffixes")
+    stats = write_table(_counted(rows), "url-suffixes")
     prior = (blocked or 0.0) / n if n else 0.0
     if not n or blocked in (0, n):
         return UrlModel(stats, prior, None)
@@ -145,8 +160,8 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     sample = rows.where(F.pmod(hashed, F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = sample.withColumns({"weight": F.col("times") * F.when(F.col("label") == 1, n / (2 * blocked))
                                  .otherwise(n / (2 * (n - blocked))),
-                                 "held": F.pmod(F.shiftright(hashed, 24), F.lit(5)) == 0})
-    sample = write_table(_assembled(_with_stats(sample, stats, prior, F.col("label")))
+                                 "held": F.col("fold") == 0})
+    sample = write_table(_assembled(_with_stats(sample, _other_folds(rows, stats), prior))
                          .select("_features", "label", "weight", "held"), "url-sample").coalesce(4)
     if sample.where("not held").select("label").distinct().count() < 2:
         return UrlModel(stats, prior, None)
@@ -191,7 +206,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, id_col: str = "page_id
         scored = rows.withColumn("blocked_score", F.lit(float(model.prior)))
     else:
         from pyspark.ml.functions import vector_to_array
-        scored = model.trees.transform(_assembled(_with_stats(rows, model.stats, model.prior, None)))
+        scored = model.trees.transform(_assembled(_with_stats(rows, model.stats, model.prior)))
         scored = scored.withColumn("blocked_score", vector_to_array("probability")[1])
     own = F.when(F.col("blocked_score") >= (model.threshold if model.trees is not None else 0.5), "block").otherwise("allow")
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule",
