@@ -355,7 +355,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents stay; found secrets are replaced, n_chars is counted anew."""
+    """Pipeline stage: all documents stay; found secrets are replaced, n_chars is counted anew.
+
+    A null text stays null with its n_chars; empty and long texts are read whole;
+    repeated rows are masked alike; ids and further columns, whatever their names,
+    come back as they are; an empty table stays empty.
+    """
     out = docs.mapInArrow(_redact, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                           .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
