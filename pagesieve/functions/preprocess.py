@@ -88,8 +88,7 @@ def drop_comments_attrs_trigrams(s) -> Column:
 def html_model_preprocess(s, unescape: str = "full") -> Column:
     """The whole HTML text-model pipeline N9..N15.
 
-    ``unescape='full'`` decodes entities with the stdlib (Arrow-batched UDF);
-    ``'basic'`` keeps everything in the JVM and decodes the five basic ones.
+    ``unescape='full'`` decodes all entities, ``'basic'`` the five basic ones.
     """
     c = tags_to_placeholders(blocks_to_placeholders(s))
     c = T.html_unescape(c) if unescape == "full" else T.basic_unescape(c)

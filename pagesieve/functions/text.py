@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import entities
 from . import patterns as P
 
 
@@ -79,7 +80,7 @@ def paragraph_text(html, sep: str = "\n") -> Column:
     return F.array_join(cleaned, sep)
 
 
-# N8 (five basic entities as an expression; full decoding is html_unescape below)
+# N8 (the five basic entities; full decoding is in entities.py)
 def basic_unescape(s) -> Column:
     c = _c(s)
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -88,27 +89,8 @@ def basic_unescape(s) -> Column:
 
 
 def html_unescape(s) -> Column:
-    """Full HTML entity decoding (stdlib ``html.unescape``) as an Arrow-batched UDF."""
-    return _unescape_udf()(_c(s))
-
-
-_UNESCAPE = None
-
-
-def _unescape_udf():
-    global _UNESCAPE
-    if _UNESCAPE is None:
-        import html as _html
-
-        import pandas as pd
-
-        def _unescape(col):
-            return col.map(lambda v: None if v is None else _html.unescape(v))
-
-        # explicit hints (this module uses postponed annotations)
-        _unescape.__annotations__ = {"col": pd.Series, "return": pd.Series}
-        _UNESCAPE = F.pandas_udf(_unescape, "string")
-    return _UNESCAPE
+    """Full HTML entity decoding with the rules of ``html.unescape``."""
+    return entities.html_unescape(_c(s))
 
 
 def py_strip(s) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..operators import ngrams as NG
+from ..sources import csv_ranges as CR
 from ..sources import files as FS
 from ..sources import model_io, tables
 from . import sqlparts as Q
@@ -38,10 +39,26 @@ def s02_csv_roundtrip(spark, sf_dir):
         "website", "title", "url", F.col("text").alias("content"), "domain", "slop")
     path = shared_dir(spark, f"s02-{uuid.uuid4().hex}")
     FS.write_article_csv(a, path)
-    back = FS.read_article_csv(spark, path)
+    back, _ = CR.read_csv_ranges(spark, path, FS.ARTICLE_CSV_SCHEMA)
     return back.select("website", "url", F.length("content").cast("long").alias("n_chars"), "slop")
 
 
+@query("s02_csv_quarantine", f"""WITH {ART_CTE}
+SELECT doc_id % 3 = 0 AS broken, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM art GROUP BY 1""")
+def s02_csv_quarantine(spark, sf_dir):
+    """CSV records of which a third, one field short, go to the quarantine and the others to the table."""
+    a = tables.articles(spark, sf_dir).withColumnRenamed("text", "content")
+    record = F.to_csv(F.struct("website", "title", "url", "content", "domain"), {"escape": '"', "quoteAll": "true"})
+    last = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit(","), F.coalesce("slop", F.lit(""))))
+    path = shared_dir(spark, f"s02-{uuid.uuid4().hex}")
+    a.select(F.concat(record, last)).write.text(path)
+    good, bad = CR.read_csv_ranges(spark, path, FS.ARTICLE_CSV_SCHEMA, header=False)
+    short = F.from_csv("record", "website string, title string, url string, content string, domain string", {"escape": '"'})
+    rows = good.select(F.lit(False).alias("broken"), F.length("content").alias("c")).unionByName(
+        bad.select(F.lit(True).alias("broken"), F.length(short["content"]).alias("c")))
+    return rows.groupBy("broken").agg(F.count("*").alias("n"), F.sum("c").cast("long").alias("n_chars"))
+
+
 @query("s03_labelled_dataset", """SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS label,
   length(d.text) AS n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1)""")
 def s03_labelled_dataset(spark, sf_dir):
@@ -71,6 +88,20 @@ def s05_resume_sites(spark, sf_dir):
     return FS.remaining_sites(tables.sites(spark, sf_dir), done)
 
 
+@query("s05_resume_after_stop", f"""WITH {ART_CTE}
+SELECT website, domain, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM art GROUP BY 1, 2""")
+def s05_resume_after_stop(spark, sf_dir):
+    """Three runs over the sites: one commits a part, one stops before its commit, one saves what remains."""
+    a, path = tables.articles(spark, sf_dir), shared_dir(spark, f"s05-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("website"), F.lit(3))
+    FS.save_run(a.where(part == 0), path, "a")
+    a.where(part == 1).write.partitionBy("domain").parquet(f"{path}/articles/run=b")
+    done = FS.saved_sites(spark, path).select("website")
+    FS.save_run(a.join(done, a["website"].eqNullSafe(done["website"]), "left_anti"), path, "c")
+    saved = FS.read_saved(spark, path, a.schema)
+    return saved.groupBy("website", "domain").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
 @query("s06_attach_catalog", f"""WITH {ART_CTE}, {SITES_CTE}
 SELECT art.doc_id, art.website, sites.domain AS site_domain, sites.slop AS site_slop
 FROM art JOIN sites ON art.website = sites.website_name""")

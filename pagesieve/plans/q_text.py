@@ -80,7 +80,7 @@ def n08_basic_unescape(spark, sf_dir):
 
 @query("n08_html_unescape")
 def n08_html_unescape(spark, sf_dir):
-    """Full entity decoding (stdlib, Arrow-batched pandas UDF)."""
+    """All named and numeric entities decoded in the JVM (SQL has no such table; tested against the stdlib)."""
     return _pages(spark, sf_dir).select("page_id", F.length(T.html_unescape(F.col("html"))).cast("long").alias("n_chars"))
 
 

@@ -15,11 +15,14 @@ from ..operators import features as FE
 from ..operators import lexical as LX
 from ..operators import model as MD
 from ..operators import ngrams as NG
+from ..operators import regression as RG
 from ..operators import training as TR
+from ..session import write_shared
 from ..sources import tables
 from . import sqlparts as Q
 from .common import round_doubles
 from .q_clean import TRAIN_CTE
+from .q_lexical import CHUNKS_SQL, _legacy_sql_feats
 from .q_ngrams import _encode_sql, _tokens_sql, sql_bucket, sql_word_ngrams
 from .registry import query
 
@@ -264,21 +267,50 @@ def m06_dropout_mask(spark, sf_dir):
                                   / F.lit(len(keeps))).alias("kept_share"))
 
 
-@query("m17_linear_regression")
-def m17_linear_regression(spark, sf_dir):
-    """Ordinary least squares (normal equations) on the legacy features of 5 chunks per article."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def _legacy_rows(spark, sf_dir):
+    """Legacy features and class (0 = slop) of 5 chunks per article, written once."""
     t = tables.train_table(spark, sf_dir).select("doc_id", "text", LX.class_col(F.col("label")).alias("cls"))
     ck = CL.equal_chunks(t, 5, keep=["cls"])
     f = LX.legacy_features(F.col("chunk"))
-    data = ck.select(*[f[k].cast("double").alias(k) for k in LX.LEGACY_FEATURES],
-                     F.when(F.col("cls") == "slop", 0.0).otherwise(1.0).alias("label"))
-    vec = VectorAssembler(inputCols=LX.LEGACY_FEATURES, outputCol="features").transform(data)
-    lr = LinearRegression(solver="normal", regParam=0.0, standardization=False, fitIntercept=True)
-    m = lr.fit(vec)
-    rows = [(k, float(c)) for k, c in zip(LX.LEGACY_FEATURES, m.coefficients)] + [("intercept", float(m.intercept))]
-    return spark.createDataFrame(rows, "feature string, coefficient double")
+    return write_shared(ck.select(*[f[k].cast("double").alias(k) for k in LX.LEGACY_FEATURES],
+                                  F.when(F.col("cls") == "slop", 0.0).otherwise(1.0).alias("label")), "m17-rows")
+
+
+@query("m17_linear_regression")
+def m17_linear_regression(spark, sf_dir):
+    """Ordinary least squares on the legacy features of 5 chunks per article."""
+    return RG.least_squares(_legacy_rows(spark, sf_dir), LX.LEGACY_FEATURES, "label")
+
+
+def _least_rss_sql() -> str:
+    """Squares left of the label after each feature, one by one, is taken out of all later columns."""
+    feats = _legacy_sql_feats("chunk")
+    names = [f"f{i}" for i in range(len(feats))] + ["y"]
+    raw = ", ".join(f"({e})::DOUBLE AS f{i}" for i, e in enumerate(feats.values()))
+    ctes = [f"r AS MATERIALIZED (SELECT {raw}, CASE WHEN cls = 'slop' THEN 0.0 ELSE 1.0 END AS y FROM chunks)",
+            f"c0 AS MATERIALIZED (SELECT {', '.join(f'{c} - (SELECT avg({c}) FROM r) AS {c}' for c in names)} FROM r)"]
+    for i in range(len(feats)):
+        q = f"f{i}"
+        rest = names[i + 1:]
+        square = f"(SELECT sum({q} * {q}) FROM c{i})"
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT " + ", ".join(
+            f"CASE WHEN {square} > 1e-9 THEN {c} - {q} * (SELECT sum({q} * {c}) FROM c{i}) / {square} ELSE {c} END AS {c}"
+            for c in rest) + f" FROM c{i})")
+    return ", ".join(ctes)
+
+
+@query("m17_least_squares_left", f"""WITH {CHUNKS_SQL}, {_least_rss_sql()}
+SELECT (SELECT count(*) FROM r) AS n, round((SELECT sum(y * y) FROM c0), 5) AS squares,
+  round((SELECT sum(y * y) FROM c{len(LX.LEGACY_FEATURES)}), 5) AS squares_left, 0.0::DOUBLE AS largest_moment""")
+def m17_least_squares_left(spark, sf_dir):
+    """The fit's residuals: their squares are the least possible, and no feature correlates with them."""
+    rows = _legacy_rows(spark, sf_dir)
+    left = RG.residual(RG.least_squares(rows, LX.LEGACY_FEATURES, "label"), LX.LEGACY_FEATURES, "label")
+    moments = [F.abs(F.avg(F.col("left") * F.col(f))) for f in LX.LEGACY_FEATURES]
+    return rows.withColumn("left", left).agg(
+        F.count("*").alias("n"), F.round(F.var_pop("label") * F.count("*"), 5).alias("squares"),
+        F.round(F.sum(F.col("left") ** 2), 5).alias("squares_left"),
+        F.round(F.greatest(F.abs(F.avg("left")), *moments), 6).alias("largest_moment"))
 
 
 @query("m20_coefficient_ranking")

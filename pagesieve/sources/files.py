@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..session import is_written
 
 ARTICLE_CSV_SCHEMA = T.StructType([
     T.StructField("website", T.StringType()), T.StructField("title", T.StringType()),
@@ -19,8 +20,8 @@ EXPORT_ORDER = ["website", "domain", "slop", "title", "url", "html_text", "text"
 
 def read_article_csv(spark: SparkSession, path: str, schema: T.StructType = ARTICLE_CSV_SCHEMA,
                      keep_corrupt: bool = False) -> DataFrame:
-    """CSV with quoted multi-line fields of any size; malformed rows skipped
-    (or kept apart in ``_corrupt`` when ``keep_corrupt``)."""
+    """S2 for small files: a file is one task (``csv_ranges`` splits it). Quoted multi-line
+    fields of any size; malformed rows skipped (or kept apart in ``_corrupt`` when ``keep_corrupt``)."""
     r = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
          .option("escape", '"').option("encoding", "UTF-8"))
     if keep_corrupt:
@@ -39,6 +40,47 @@ def save_partitioned(df: DataFrame, path: str, by: str = "domain", mode: str = "
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
+def save_run(articles: DataFrame, path: str, run: str, by: str = "domain", site: str = "website") -> None:
+    """The articles of one run, then the list of its sites, then its commit.
+
+    Nothing of a run counts before its commit, one row written last. A run that
+    stopped earlier, at any place, leaves files that no reader takes; the next run
+    needs a new name. ``path`` is a folder that the cluster shares.
+    """
+    spark = articles.sparkSession
+    folder = f"{path}/articles/run={run}"
+    articles.write.partitionBy(by).parquet(folder)
+    saved = spark.read.schema(articles.schema).parquet(folder)
+    saved.groupBy(site).agg(F.count("*").alias("n_articles")).write.parquet(f"{path}/sites/run={run}")
+    commit_run(spark, path, run)
+
+
+def commit_run(spark: SparkSession, path: str, run: str) -> None:
+    """The last step of a run: its one row in the commit log."""
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def saved_sites(spark: SparkSession, path: str, site_type: str = "string", site: str = "website") -> DataFrame:
+    """``site, run, n_articles`` of the committed runs; of a site that several runs saved, the run of least name."""
+    schema = f"{site} {site_type}, n_articles long, run string"
+    if not is_written(spark, f"{path}/commits"):
+        return spark.createDataFrame([], schema)
+    done = spark.read.schema("run string").parquet(f"{path}/commits").distinct()
+    sites = spark.read.schema(schema).parquet(f"{path}/sites").join(done, "run", "left_semi")
+    return sites.groupBy(site).agg(F.min("run").alias("run"), F.min_by("n_articles", "run").alias("n_articles"))
+
+
+def read_saved(spark: SparkSession, path: str, schema: T.StructType, site: str = "website") -> DataFrame:
+    """Each committed site's articles once (a null site counts as one more site)."""
+    own = saved_sites(spark, path, schema[site].dataType.simpleString(), site).select(
+        F.col(site).alias("_site"), F.col("run").alias("_run"))
+    if not is_written(spark, f"{path}/commits"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])).parquet(f"{path}/articles")
+    return rows.join(own, rows["run"].eqNullSafe(own["_run"]) & rows[site].eqNullSafe(own["_site"]), "left_semi").select(
+        *[F.col(f"`{c}`") for c in schema.names])
+
+
 def remaining_sites(sites: DataFrame, done: DataFrame, key: str = "website_name",
                     done_key: str = "website") -> DataFrame:
     """Sites not yet in the checkpoint (anti join on the distinct done keys)."""
