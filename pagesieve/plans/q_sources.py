@@ -152,6 +152,3 @@ def s11_tag_and_union(spark, sf_dir):
     a = tables.articles(spark, sf_dir)
     return FS.tag_and_union({"slop": a.where(F.col("slop") == "Slop").select("doc_id"),
                              "human": a.where(F.col("slop") == "Non-Slop").select("doc_id")})
-
-
-_ = Q
