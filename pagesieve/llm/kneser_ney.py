@@ -1,5 +1,8 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, read from mapped files.
 
+Order 3, which the query uses, is counted and stored by the more compact form in
+``trigrams``; this module holds any other order and the scores of both.
+
 Words are hashed to 64 bits; a text is its words and one end token, led by begin
 tokens that are never predicted. The highest order has plain counts; a lower
 order has continuation counts, the number of distinct tokens seen before an
@@ -34,9 +37,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vec
+from . import trigrams, vec
 from .registry import llm_query
-from .tables import load, shared_path
+from .tables import load
 
 ORDER = 3
 SHARD_BYTES = 24 << 20    # text per shard
@@ -259,19 +262,19 @@ class Model:
     lowest: tuple[int, int, int, int]              # of the empty context: total, and n-grams seen once, twice, more
 
 
-def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+def train(docs: DataFrame, order: int = ORDER, text_col: str = "text",
+          shard_bytes: int | None = None) -> Model | trigrams.Model:
     """Count the texts of all rows (a null text counts as empty) and write the model's files."""
     if order < 1:
         raise ValueError("order must be at least 1")
+    if order == 3:
+        return trigrams.train(docs, text_col, shard_bytes or trigrams.SHARD_BYTES)
+    shard_bytes = shard_bytes or SHARD_BYTES
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(size / shard_bytes))) if size else 0
-    path = shared_path(spark, "kneser-ney")
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
-    fs, root = pyarrow.fs.FileSystem.from_uri(path)
-    fs.create_dir(root, recursive=True)
+    path = trigrams.folder(spark, "kneser-ney")
     rows = texts.mapInArrow(_runs(order, bits), ROWS)
     for _ in range(order + 1):
         rows = rows.groupBy("kind", "n", "shard").applyInArrow(_merge(path, bits), ROWS)
@@ -360,7 +363,15 @@ def _probabilities(model: Model, cols: list[np.ndarray]) -> np.ndarray:
     return p
 
 
-def _score(model: Model):
+def _known(model: Model, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each row's last token after the others, and how often that token occurs."""
+    if model.order == 3:
+        return trigrams.probabilities(model, [discounts(*x) for x in model.counts], *(c >> _U(8) for c in cols))
+    each, slot = _distinct(fold(cols[-1:]))
+    return _probabilities(model, cols), _lookup(model, "raw1", each, ("count",))[0][slot]
+
+
+def _score(model: Model | trigrams.Model):
     def run(batches):
         lead = model.order - 1
         for b in vec.blocks(batches, limit=RUN_BYTES // 2):
@@ -368,21 +379,19 @@ def _score(model: Model):
             at = predicted(tok, doc, lead)
             n, doc = b.num_rows, doc[at]
             cols = [tok[at - i] for i in range(lead, -1, -1)]
-            each, slot = _distinct(fold(cols[-1:]))
-            c = _lookup(model, "raw1", each, ("count",))[0]
-            base = np.log10((c + 1) / (model.total + model.vocabulary + 1))
-            score = np.log10(_probabilities(model, cols))
+            p, c = _known(model, cols)
+            base, score = np.log10((c + 1) / (model.total + model.vocabulary + 1)), np.log10(p)
             n_tok = np.bincount(doc, minlength=n)
             total = np.bincount(doc, score, n)
             yield pa.record_batch(
-                [b.column("id"), pa.array(n_tok, pa.int64()), pa.array(np.bincount(doc, (c > 0)[slot], n).astype(np.int64)),
-                 pa.array(np.full(n, model.total), pa.int64()), pa.array(np.bincount(doc, base[slot], n)),
+                [b.column("id"), pa.array(n_tok, pa.int64()), pa.array(np.bincount(doc, c > 0, n).astype(np.int64)),
+                 pa.array(np.full(n, model.total), pa.int64()), pa.array(np.bincount(doc, base, n)),
                  pa.array(total), pa.array(10 ** (-total / n_tok))],
                 ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | trigrams.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_tokens, n_known, train_tokens, base_score, score, perplexity``.
 
     A null text counts as empty, an empty text has the end token only. Under a

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from pagesieve.llm import kneser_ney as K
+from pagesieve.llm import trigrams as T3
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,9 +67,10 @@ def texts():
     return [*out, None, "", "W1 w1\tw2\n", "hot " * 700, *["the same line"] * 30]
 
 
-@pytest.mark.parametrize("order,shard", [(1, 1 << 20), (2, 300), (3, 1 << 20), (3, 500)])
+@pytest.mark.parametrize("order,shard", [(1, 1 << 20), (2, 300), (3, 1 << 20), (3, 500), (4, 500)])
 def test_scores(make_docs, texts, monkeypatch, order, shard):
     monkeypatch.setattr(K, "RUN_BYTES", 2000)
+    monkeypatch.setattr(T3, "RUN_TOKENS", 300)
     rows = [(i, t, None) for i, t in enumerate(texts)]
     brute = Brute(texts[:100] + texts[-33:], order)
     docs = make_docs(rows)
@@ -124,3 +126,40 @@ def test_blobs_hold_their_rows(words):
     cols[-1] = cols[-1].astype(K.np.int64)
     got = K._unblob(K._blob(cols, words), words + 1, words)
     assert {tuple(map(int, r)) for r in zip(*got, strict=True)} == rows and got[-1].dtype == K.np.int64
+
+
+def test_trigram_rows_hold_their_rows():
+    rng = random.Random(5)
+    voc = K.np.unique(K.np.array([rng.getrandbits(56) for _ in range(300)], K.np.uint64))
+    rows = sorted({tuple(rng.randrange(len(voc)) for _ in range(3)) for _ in range(2000)})
+    n = [rng.choice([1, 2, 300, 70_000]) for _ in rows]
+    words, *cols = T3.unpack_trigrams(T3.pack_trigrams(voc, *K.np.array(rows).T, K.np.array(n)))
+    assert [tuple(int(words[i]) for i in r) for r in zip(*cols[:3], strict=True)] == [
+        tuple(int(voc[i]) for i in r) for r in rows]
+    assert cols[3].tolist() == n
+
+
+def test_hot_middle_words_are_split(make_docs, texts):
+    docs = make_docs([(i, t, None) for i, t in enumerate(texts)])
+    model = T3.train(docs, shard_bytes=500)
+    assert 0 < len(model.hot) <= 4 << model.bits and len(model.written["context"])
+    brute = Brute(texts, 3)
+    assert [int(n) for n in model.lowest[:1]] == [sum(brute.counts[1].values())]
+
+
+def test_an_absent_file_raises(make_docs, texts):
+    docs = make_docs([(i, t, None) for i, t in enumerate(texts)])
+    model = T3.train(docs)
+    fs, root = T3.pyarrow.fs.FileSystem.from_uri(model.path)
+    fs.move(f"{root}/gram-0", f"{root}/gone")
+    with pytest.raises(Exception, match="gram-0"):
+        K.score(docs, model).collect()
+
+
+def test_more_words_than_numbers_in_a_run(make_docs, texts, monkeypatch):
+    monkeypatch.setattr(T3, "LOCAL", 5)
+    docs = make_docs([(i, t, None) for i, t in enumerate(texts[:40])])
+    whole = T3.train(docs)
+    monkeypatch.undo()
+    assert (whole.total, whole.counts, whole.lowest) == tuple(
+        getattr(T3.train(docs), k) for k in ("total", "counts", "lowest"))
