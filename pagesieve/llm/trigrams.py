@@ -420,8 +420,9 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     path = folder(spark, "trigrams")
     merge = _merge(path, bits, hot)
     rows = texts.mapInArrow(_counts(bits, hot), ROWS)
-    for _ in range(2):
-        rows = rows.groupBy("kind", "shard").applyInArrow(merge, ROWS)
+    parts = max(2 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for _ in range(2):                     # about one shard a task, whatever the session's number of partitions
+        rows = rows.repartition(parts, "kind", "shard").groupBy("kind", "shard").applyInArrow(merge, ROWS)
     got: dict[str, list] = {}
     for r in rows.collect():               # seven numbers a shard, and a hot word in a shard
         got.setdefault(r["kind"], []).append((r["shard"], np.frombuffer(r["data"], np.int64)))
