@@ -11,8 +11,8 @@ is within a ratio of its nearest centroid's distance; the ratio is the one that
 would have found ``TARGET`` of the neighbours inside the sample.
 
 Copies of one vector are posted once with their smallest ids. A list is dealt
-into blocks by its size, so no list is one task; queries go to all blocks of
-their lists. Scores are double-precision cosines of the original vectors,
+into blocks by its size, and so are its queries; a task compares one block of
+queries with one block of vectors. Scores are double-precision cosines of the original vectors,
 computed pair by pair so that equal pairs have equal scores.
 """
 
@@ -292,12 +292,18 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = K, id_col: str = "ve
     index.sizes = np.zeros(len(index.centroids), np.int64)
     for r in sizes.collect():                      # one row per centroid
         index.sizes[r["list"]] = r["n"]
-    asked = (rows.where(queries).distinct().select(F.col("vec_id").alias("query_id"), "v")
-             .mapInArrow(_ask(index, 8 * (k + 1)), f"list long, query_id long, v {kind}")
-             .join(sizes, "list").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))))
-    dealt = posts.join(sizes, "list").withColumn("block", F.expr("pmod(xxhash64(v), blocks)"))
-    found = (asked.select("list", "block", "query_id", "v").groupBy("list", "block")
-             .cogroup(dealt.select("list", "block", "v", "ids").groupBy("list", "block"))
+    asked = write_table(rows.where(queries).distinct().select(F.col("vec_id").alias("query_id"), "v")
+                        .mapInArrow(_ask(index, 8 * (k + 1)), f"list long, query_id long, v {kind}"), "ann-asked")
+    # Both sides of a list are dealt into blocks; a cell is one block of queries against one block of vectors.
+    cells = sizes.join(asked.groupBy("list").agg(
+        F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("query_blocks")), "list")
+    asked = (asked.join(cells, "list").withColumn("query_block", F.expr("pmod(xxhash64(query_id), query_blocks)"))
+             .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))))
+    dealt = (posts.join(cells, "list").withColumn("block", F.expr("pmod(xxhash64(v), blocks)"))
+             .withColumn("query_block", F.explode(F.expr("sequence(0L, query_blocks - 1)"))))
+    cell = ["list", "query_block", "block"]
+    found = (asked.select(*cell, "query_id", "v").groupBy(*cell)
+             .cogroup(dealt.select(*cell, "v", "ids").groupBy(*cell))
              .applyInArrow(_cell(k), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best))

@@ -63,6 +63,17 @@ def test_recall_and_scores(spark, monkeypatch):
     assert all(exact[q, j] == s for q, v in got.items() for j, s in v if (q, j) in exact)
 
 
+def test_many_queries_of_one_list_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(5)
+    rows = [(i, floats(rng.normal(size=3) * 0.01 + 1)) for i in range(300)]     # all near one direction
+    want = brute(rows, lambda i: True)
+    got = {}
+    for r in ann.nearest(table(spark, rows), F.lit(True)).collect():
+        got.setdefault(r.query_id, set()).add((r.vec_id, r.score))
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.95 * 5 * len(rows)
+
+
 def test_graph_search_finds_the_best(spark):
     rng = np.random.default_rng(3)
     c = ann.unit(rng.normal(size=(300, 8)))
