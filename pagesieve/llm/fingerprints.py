@@ -252,7 +252,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     follows = {tops[b]: order[i + 1] if i + 1 < len(order) else order[0] for i, b in enumerate(order)}
     kind = "doc_id long, text string, key long, bucket long, extra boolean"
     return (rows.mapInArrow(_bucketed(bounds, follows), kind)
-            .repartition(parts, "bucket")
+            .repartitionById(parts, F.col("bucket").cast("int"))    # a range is one task
             .sortWithinPartitions("bucket", "extra", F.desc("key"), "text")
             .mapInArrow(_chained, SCHEMA))
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagesieve.llm import fingerprints as P
 
@@ -90,3 +91,14 @@ def test_likeness_follows_similarity():
     _, f = P._features(texts)
     like = lambda i, j: float(P.likeness(tuple(x[[i]] for x in f), tuple(x[[j]] for x in f))[0])
     assert like(0, 0) == 1 and like(0, 2) < 0.1 and abs(like(0, 1) - 1 / 3) < 0.2 and like(0, 3) > 0.7
+
+
+def test_a_range_is_one_task(make_docs):
+    docs = make_docs([(i, f"text number {i} " * 20, None) for i in range(400)])
+    got = P.fingerprints(docs, part_bytes=4000).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    ids = {}
+    for r in got:
+        ids.setdefault(r.part, []).append(r.doc_id)
+    spans = sorted((min(x), max(x), len(x)) for x in ids.values())
+    assert len(spans) > 20 and max(n for *_, n in spans) <= 3 * 400 / len(spans)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
