@@ -24,16 +24,20 @@ from pyspark.sql import functions as F
 
 from ..operators import links as LK
 from ..operators import scoring as SC
-from ..session import is_written, sub_folders
+from ..session import is_folder, is_written, sub_folders
 from ..sources.model_io import CollapsedModel
 
 
 def read_stream(spark: SparkSession, directory: str, table: str, schema, max_files: int | None = None):
-    """A file stream over ``<directory>/<table>.parquet`` (a single-file path fails)."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A file stream over the table ``<directory>/<table>.parquet``: a folder of part files, or one file.
+
+    A stream reads folders only, so a single file is picked by name from its folder.
+    """
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    path = f"{directory.rstrip('/')}/{table}.parquet"
+    return r.parquet(path) if is_folder(spark, path) else r.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
 
 
 def cascade_scores(batch: DataFrame, allow: DataFrame, deny: DataFrame, model: CollapsedModel,

@@ -59,3 +59,14 @@ def test_links_once_over_batches_and_a_restart(spark, tmp_path):
         assert sum(s.numRowsTotal for s in last.stateOperators) <= 2        # a, b and c have left the state
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_stream_reads_a_table_in_one_file_or_in_a_folder_of_part_files(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", '<a href="/x">x</a>') for i in range(6)]
+    spark.createDataFrame(rows, PAGE).repartition(3).write.parquet(str(tmp_path / "parts" / "pages.parquet"))
+    spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "one" / "pages.parquet")
+    for kind in ("parts", "one"):
+        got = ST.read_stream(spark, str(tmp_path / kind), "pages", PAGE)
+        ST.run_to_parquet(got, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-ckpt"))
+        assert rows_of(spark, str(tmp_path / f"{kind}-out"), "page_id", "url", "html") == rows
