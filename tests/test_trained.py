@@ -96,6 +96,31 @@ def test_several_batches_equal_numpy(spark, monkeypatch, cfg, merge):
     assert all("batch_id=" in f for files in read for f in files)
 
 
+@pytest.mark.parametrize("cfg, most", [
+    (MD.TrainConfig(emb_size=3, lr=0.3, reg_lambda=1e-3, max_grad_norm=0.05, epochs=2, batch_size=3), 10**6),
+    (MD.TrainConfig(emb_size=3, lr=0.3, reg_lambda=1e-3, max_grad_norm=0.05, epochs=2, batch_size=2), 60),
+    (MD.TrainConfig(emb_size=3, lr=0.1, reg_lambda=1e-2, epochs=2, batch_size=3, with_features=False, per_distinct=False,
+                    dropout=0.3), 10**6)])
+def test_blocks_of_batches_equal_single_steps(spark, monkeypatch, cfg, most):
+    docs = documents(spark)
+    w = MD.doc_bucket_weights(NG.word_occurrences(docs, "doc_id", "text"), NG.encode(docs, "doc_id", "text", 3, 4, 1000))
+    z = docs.select("doc_id", (F.length("text") / 10.0 - 2.0).alias("z_f"))
+    rows = MD.as_examples(w, z, docs, ["f"])
+    steps, blocks = [], []
+    for name, into in (("_step", steps), ("_block", blocks)):
+        monkeypatch.setattr(MD, name, lambda *a, f=getattr(MD, name), n=into: (n.append(1), f(*a))[1])
+    want = MD.train_examples(rows, cfg, ["f"])
+    n = len(steps)
+    got = MD.train_examples(rows, cfg, ["f"], block_entries=most)
+    assert blocks and len(steps) - n + len(blocks) < n       # some batches together; with 60 a wide one is alone
+    assert np.allclose(got[1].W, want[1].W, atol=1e-12) and np.allclose(got[1].b, want[1].b, atol=1e-12)
+    tables = [{r.bucket: tuple(r)[1:] for r in t[0].select("bucket", "e0", "e1", "e2").collect()} for t in (got, want)]
+    assert tables[0].keys() == tables[1].keys() and all(np.allclose(tables[0][b], tables[1][b], atol=1e-12) for b in tables[1])
+    losses = [[tuple(r) for r in t[2].orderBy("epoch", "batch").collect()] for t in (got, want)]
+    assert [x[:3] for x in losses[0]] == [x[:3] for x in losses[1]]
+    assert np.allclose([x[3] for x in losses[0]], [x[3] for x in losses[1]], atol=1e-12)
+
+
 def test_prepared_inputs_equal_the_encoding(spark):
     docs = documents(spark)
     prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=997))
