@@ -102,11 +102,14 @@ def _prepared(spark, sf_dir):
     return TR.prepared(spark, docs, TR.Inputs(masked=False))
 
 
+def _embedded(prep):
+    return TR.embed_by_word(prep, MD.init_vocab(TR.word_entries(prep), EMB, SEED), EMB)
+
+
 def _predictions(spark, sf_dir):
     prep = _prepared(spark, sf_dir)
     dense = MD.Dense(init_W(), np.zeros(2), EMB, list(NUM))
-    x = MD.inputs(prep.examples, MD.init_vocab(MD.entries_of(prep.examples), EMB, SEED), dense)
-    return MD.predict(x, dense), dense
+    return MD.predict(MD.fused(prep.rows, _embedded(prep), dense), dense), dense
 
 
 # --- queries -------------------------------------------------------------------------
@@ -120,14 +123,13 @@ def m01_fit_scaler(spark, sf_dir):
 @query("m03_document_embedding", f"""WITH {TRAIN_CTE}, {EMBED_CTE}
 SELECT doc_id, {', '.join(f'round(x{j}, 6) AS x{j}' for j in range(EMB))} FROM emb""")
 def m03_document_embedding(spark, sf_dir):
-    ent = MD.entries_of(_prepared(spark, sf_dir).examples)
-    return round_doubles(MD.embed_docs(ent, MD.init_vocab(ent, EMB, SEED), EMB))
+    return round_doubles(_embedded(_prepared(spark, sf_dir)))
 
 
 @query("m09_init_vocab", f"""WITH {TRAIN_CTE}, {EMBED_CTE}
 SELECT bucket, {', '.join(f'round(e{j}, 6) AS e{j}' for j in range(EMB))} FROM voc""")
 def m09_init_vocab(spark, sf_dir):
-    return round_doubles(MD.init_vocab(MD.entries_of(_prepared(spark, sf_dir).examples), EMB, SEED))
+    return round_doubles(MD.init_vocab(TR.word_entries(_prepared(spark, sf_dir)), EMB, SEED))
 
 
 @query("m12_class_probabilities", f"""WITH {PRED_CTE}

@@ -134,6 +134,16 @@ def test_prepared_inputs_equal_the_encoding(spark):
     assert other.version != prep.version
 
 
+def test_embedding_by_word_equals_that_by_entry(spark):
+    docs = documents(spark).unionByName(documents(spark).where("doc_id = 12"))      # an id twice: the sum over its rows
+    prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=997))
+    table = MD.init_vocab(TR.word_entries(prep), 3)
+    got = {r.doc_id: tuple(r)[1:] for r in TR.embed_by_word(prep, table, 3).collect()}
+    assert not TR.is_written(spark, prep.examples_at)       # no document was joined to its n-grams
+    want = {r.doc_id: tuple(r)[1:] for r in MD.embed_docs(MD.entries_of(prep.examples), table, 3).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
+
+
 def test_studies_of_a_stored_model(spark):
     how = TR.Inputs(min_freq=1, buckets=997)
     cfg = MD.TrainConfig(emb_size=3, lr=0.5, epochs=2, batch_size=4)
