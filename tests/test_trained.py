@@ -106,6 +106,7 @@ def test_blocks_of_batches_equal_single_steps(spark, monkeypatch, cfg, most):
     w = MD.doc_bucket_weights(NG.word_occurrences(docs, "doc_id", "text"), NG.encode(docs, "doc_id", "text", 3, 4, 1000))
     z = docs.select("doc_id", (F.length("text") / 10.0 - 2.0).alias("z_f"))
     rows = MD.as_examples(w, z, docs, ["f"])
+    rows = rows.unionByName(rows.where("doc_id = 12"))      # rows of one id share its entries in a batch
     steps, blocks = [], []
     for name, into in (("_step", steps), ("_block", blocks)):
         monkeypatch.setattr(MD, name, lambda *a, f=getattr(MD, name), n=into: (n.append(1), f(*a))[1])
