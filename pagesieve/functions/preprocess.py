@@ -162,6 +162,11 @@ def legacy_sentences(s) -> Column:
     return F.flatten(per_line)
 
 
+def line_sentences(s) -> Column:
+    """``legacy_sentences`` of a text without newlines."""
+    return T.extract_all(F.regexp_extract(_c(s), rf"(?d)^(.*[.!?])(?={S}|$)", 1), SENTENCE_RULE, 1)
+
+
 def legacy_words(s) -> Column:
     return T.extract_all(_c(s), rf"{W}+")
 

@@ -4,15 +4,14 @@ model features (M16, M18).
 Class texts stay as rows: every statistic is computed per document (or per
 sentence) and summed per class with conditional aggregation, never by
 joining a class into one string. Sentence-level sequence statistics
-(tag trigrams) use one hash partitioning on the sentence id that the
-windows and the final aggregation all reuse.
+(tag trigrams) are counted inside a sentence's row.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -152,19 +151,28 @@ def paragraph_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     opens = F.col("t").startswith("\n") | ((F.col("t") == "") & (F.col("n") > 1))
     empty = first.select(cls, F.explode(F.array_repeat(F.lit(""), F.when(opens, 2).otherwise(1))).alias("paragraph"))
     return (own.select(cls, F.regexp_replace("paragraph", "\\n+$", "").alias("paragraph")).unionByName(empty)
-            .withColumn("sentences", PP.legacy_sentences(F.col("paragraph"))))
+            .withColumn("sentences", PP.line_sentences(F.col("paragraph"))))
 
 
 def distributions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cls: str = "cls") -> DataFrame:
-    """The three legacy series as long rows ``(cls, series, value)``."""
-    ps = paragraph_sentences(docs, id_col, text, cls)
-    spp = ps.select(cls, F.lit("sentences_per_paragraph").alias("series"), F.size("sentences").alias("value"))
-    sents = ps.select(cls, F.explode("sentences").alias("s"))
-    words = sents.select(cls, PP.legacy_words(F.col("s")).alias("w"))
-    wps = words.select(cls, F.lit("words_per_sentence").alias("series"), F.size("w").alias("value"))
-    spw = words.select(cls, F.lit("syllables_per_word").alias("series"),
-                       F.explode(F.transform("w", lambda x: PP.syllable_count(x).cast("int"))).alias("value"))
-    return spp.unionByName(wps).unionByName(spw)
+    """The three legacy series as long rows ``(cls, series, value)``.
+
+    Each text is taken apart once. Vowel runs (a word's syllables) become one letter
+    first, which leaves paragraphs, sentences and words as they are; a word's
+    syllables are then a count of that letter.
+    """
+    runs = docs.withColumn(text, F.regexp_replace(text, "[aeiouyAEIOUY]+", "a"))
+
+    def one(series, value):
+        return F.struct(F.lit(series).alias("series"), value.cast("int").alias("value"))
+
+    def of_sentence(words):
+        return F.concat(F.array(one("words_per_sentence", F.size(words))), F.transform(words, lambda w: one(
+            "syllables_per_word", F.length(w) - F.length(F.replace(w, F.lit("a"), F.lit(""))))))
+    words = F.transform("sentences", PP.legacy_words)
+    values = F.concat(F.array(one("sentences_per_paragraph", F.size("sentences"))),
+                      F.flatten(F.transform(words, of_sentence)))
+    return paragraph_sentences(runs, id_col, text, cls).select(cls, F.inline(values))
 
 
 def outlier_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cls: str = "cls",
@@ -196,28 +204,64 @@ def sentence_tags(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     .alias("pos", "tag"))
 
 
-def trigram_perplexity(tags: DataFrame, id_col: str = "doc_id", smoothing: float = 1.0,
+def tagged_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                     keep: list[str] | None = None) -> DataFrame:
+    """``(id, *keep, sent_pos, tags)``: every legacy sentence's tags as a string of their first letters."""
+    keep = keep or []
+    s = docs.select(id_col, *keep, F.posexplode(PP.legacy_sentences(F.col(text))).alias("sent_pos", "sentence"))
+    codes = F.transform(PP.legacy_words(F.col("sentence")), lambda w: F.substring(rule_tag(w), 1, 1))
+    return s.select(id_col, *keep, "sent_pos", F.array_join(codes, "").alias("tags"))
+
+
+def _letters(s: Column) -> Column:
+    return T.extract_all(s, ".")
+
+
+def trigram_perplexity(sents: DataFrame, id_col: str = "doc_id", smoothing: float = 1.0,
                        keep: list[str] | None = None) -> DataFrame:
     """Per sentence 2^(-mean log2 p), p = (tri + s) / (bi + s * V); < 3 tags -> 0.
 
-    One hash partitioning on (id, sent_pos) serves the lag windows, both count
-    windows and the final aggregation (their keys extend the partition key).
+    ``sents`` is :func:`tagged_sentences`. A sentence is one row, counted inside the row.
+    Sentences of one (id, sent_pos) are counted together, their words by place; V and
+    the number of tags are those of the rows with equal ``keep``. A null id has no mean.
     """
     keep = keep or []
     key = [id_col, "sent_pos"]
-    t = tags.repartition(*key)
-    w = Window.partitionBy(*key).orderBy("pos")
-    t = t.withColumn("t1", F.lag("tag", 1).over(w)).withColumn("t2", F.lag("tag", 2).over(w))
-    v = t.groupBy(*key, *keep).agg(F.countDistinct("tag").alias("V"), F.count("tag").alias("n_tags"))
-    g = t.where(F.col("t2").isNotNull())
-    g = g.withColumn("tri_n", F.count("*").over(Window.partitionBy(*key, "t2", "t1", "tag"))) \
-         .withColumn("bi_n", F.count("*").over(Window.partitionBy(*key, "t2", "t1")))
-    lp = g.join(v, key).select(*key, F.log2((F.col("tri_n") + smoothing) / (F.col("bi_n") + smoothing * F.col("V")))
-                               .alias("lp"))
-    agg = lp.groupBy(*key).agg(F.avg("lp").alias("mlp"))
-    out = v.join(agg, key, "left")
-    return out.select(*key, *keep, "n_tags", F.when(F.col("n_tags") < 3, F.lit(0.0))
-                      .otherwise(F.pow(F.lit(2.0), -F.col("mlp"))).alias("perplexity"))
+    own = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_all"))
+    x = sents.groupBy(*key).agg(F.collect_list(F.struct(own.alias("own"), "tags")).alias("parts"))
+    placed = F.flatten(F.transform("parts", lambda p: F.transform(
+        _letters(p["tags"]), lambda c, i: F.struct(i.alias("pos"), c.alias("tag")))))
+    seq = F.when(F.size("parts") == 1, F.col("parts")[0]["tags"]).otherwise(
+        F.array_join(F.transform(F.array_sort(placed), lambda t: t["tag"]), ""))
+    groups = F.transform(F.array_distinct(F.transform("parts", lambda p: p["own"])), lambda o: F.struct(
+        o.alias("own"), F.array_join(F.transform(F.filter("parts", lambda p: p["own"].eqNullSafe(o)),
+                                                 lambda p: p["tags"]), "").alias("tags")))
+    x = x.select(*key, seq.alias("seq"), groups.alias("groups"))
+    x = x.select(*key, F.transform("groups", lambda g: F.struct(
+        g["own"].alias("own"), F.length(g["tags"]).cast("long").alias("n_tags"),
+        F.size(F.array_distinct(_letters(g["tags"]))).alias("V"))).alias("groups"),
+        F.when(F.length("seq") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - 2, F.lit(1))),
+                                                 lambda i: F.substring("seq", i, 3)))
+        .otherwise(F.array().cast("array<string>")).alias("tris"))
+    x = x.withColumn("counts", F.transform(F.array_distinct("tris"), lambda k: F.struct(
+        k.alias("k"), F.size(F.filter("tris", lambda t: t == k)).alias("n"))))
+
+    def prefix_count(c):
+        same = F.filter("counts", lambda d: F.substring(d["k"], 1, 2) == F.substring(c["k"], 1, 2))
+        return F.aggregate(same, F.lit(0), lambda acc, d: acc + d["n"])
+
+    x = x.withColumn("counts", F.transform("counts", lambda c: F.struct(
+        c["k"].alias("k"), c["n"].alias("tri_n"), prefix_count(c).alias("bi_n"))))
+    x = x.withColumn("lps", F.map_from_entries(F.transform("counts", lambda c: F.struct(
+        c["k"], F.aggregate("groups", F.lit(0.0), lambda acc, g: acc + F.log2(
+            (c["tri_n"] + smoothing) / (c["bi_n"] + smoothing * g["V"])))))))
+    # asking for the map's size keeps it a column of its own: inside the lambda it would be built for every word
+    mean = F.when(F.col(id_col).isNotNull() & (F.size("lps") > 0), F.aggregate(
+        "tris", F.lit(0.0), lambda acc, t: acc + F.col("lps")[t]) / (F.size("tris") * F.size("groups")))
+    x = x.select(*key, "groups", mean.alias("mlp")).select(*key, "mlp", F.explode("groups").alias("g"))
+    return x.select(*key, *[F.col(f"g.own.{c}").alias(c) for c in keep], F.col("g.n_tags").alias("n_tags"),
+                    F.when(F.col("g.n_tags") < 3, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -F.col("mlp")))
+                    .alias("perplexity"))
 
 
 def tag_shares(tags: DataFrame, cls: str = "cls") -> DataFrame:

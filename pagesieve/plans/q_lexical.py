@@ -148,8 +148,7 @@ ppl AS (SELECT v.doc_id, v.sent_pos, v.cls, v.n_tags,
 
 
 def _ppl(spark, sf_dir):
-    tags = LX.sentence_tags(_cdocs(spark, sf_dir), keep=["cls"])
-    return LX.trigram_perplexity(tags, keep=["cls"])
+    return LX.trigram_perplexity(LX.tagged_sentences(_cdocs(spark, sf_dir), keep=["cls"]), keep=["cls"])
 
 
 @query("x07_tag_trigram_perplexity", f"""WITH {CDOCS}, {_PPL_SQL}

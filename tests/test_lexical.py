@@ -1,4 +1,5 @@
 """Corpus comparison rules against Python's ``re`` on the joined class texts."""
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -92,3 +93,51 @@ def test_phrase_finders_return_their_groups(spark):
         want += [(d, "that_is_not", i, "", "") for i, _ in enumerate(re.findall("that is not", text))]
         want += [(d, k, i, a, b) for k, rx in rules.items() for i, (a, b) in enumerate(re.findall(rx, text))]
     assert got == sorted(want)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_series_take_each_text_apart_once(spark):
+    df = LX.distributions(docs(spark))
+    want = []
+    for c in ("slop", "human"):
+        for p in paragraphs(joined(c)):
+            want.append((c, "sentences_per_paragraph", len(sentences(p))))
+            for s in sentences(p):
+                words = re.findall(r"\w+", s)
+                want.append((c, "words_per_sentence", len(words)))
+                want += [(c, "syllables_per_word", len(re.findall("[aeiouyAEIOUY]+", w))) for w in words]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert len(re.findall("LogicalRDD|LocalRelation", plan_of(df))) == 2        # the texts, and each class's first
+
+
+def test_perplexity_is_counted_inside_a_sentence_row(spark):
+    rows = [(1, "He is 12 running quickly he ran, they ran. Yes!", "a"), (2, "!!! it IS? ok 1 2 3 4 5 6.", "b"),
+            (3, "We are. We are here now singing it.", "a"), (3, "We are. We are here now singing it.", "b"),
+            (None, "It is what it is.", "a"), (4, "I he it 1 . ", "b"), (5, "no mark", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls string")
+    got = LX.trigram_perplexity(LX.tagged_sentences(df, keep=["cls"]), keep=["cls"])
+    assert "Window" not in plan_of(got) and "Join" not in plan_of(got)
+
+    def tag(w):
+        return ("NUM" if w.isdecimal() else "PRP" if w in LX.LEGACY_PRONOUNS else "VBG" if w.endswith("ing") and len(w) > 3
+                else "RB" if w.endswith("ly") or w in LX.LEGACY_ADVERBS else "X")
+    parts = {}
+    for d, text, cls in rows:
+        for i, s in enumerate(sentences(text)):
+            parts.setdefault((d, i), {}).setdefault(cls, []).append([tag(w) for w in re.findall(r"\w+", s)])
+    want = []
+    for (d, i), by in parts.items():
+        placed = [(k, t) for lists in by.values() for tags in lists for k, t in enumerate(tags)]
+        seq = [t for _, t in sorted(placed)]
+        tris = list(zip(seq, seq[1:], seq[2:]))
+        bi = [t[:2] for t in tris]
+        flat = {c: [t for tags in lists for t in tags] for c, lists in by.items()}
+        logs = [math.log2((tris.count(t) + 1) / (bi.count(t[:2]) + len(set(f)))) for t in tris for f in flat.values()]
+        for c, f in flat.items():
+            value = 0.0 if len(f) < 3 else None if d is None else 2 ** (-sum(logs) / len(logs))
+            want.append((str(d), i, c, len(f), None if value is None else round(value, 9)))
+    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.sent_pos, r.cls, r.n_tags, None if r.perplexity is None else
+                                                 round(r.perplexity, 9))) for r in got.collect())
