@@ -180,3 +180,14 @@ def test_no_training_documents(spark):
     pr = MD.predict(MD.inputs(m.prepared.examples, m.vocab, m.dense), m.dense)
     assert pr.count() == 0 and MD.loss_frame(pr, m.dense, 1e-4).where("n > 0").count() == 0
     assert MD.word_gram_diffs(TR.train_word_counts(m.prepared), MD_grams(), MD.trained_diff(m.vocab, m.dense), 997).count() == 0
+
+
+def test_initial_vectors_are_one_expression(spark):
+    buckets = spark.createDataFrame([(1,), (77,), (77,), (499999,)], "bucket long")
+    got = MD.init_vocab(buckets, 50, 3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5") == 2
+    rows = {r.bucket: list(r)[1:] for r in got.collect()}
+    for b in (1, 77, 499999):
+        want = 0.1 * MD.np_std_normal([f"3:v:{b}:{j}" for j in range(50)])
+        assert max(abs(x - y) for x, y in zip(rows[b], want)) < 1e-12
+    assert len(rows) == 3 and got.columns == ["bucket", *[f"e{j}" for j in range(50)]]
