@@ -35,7 +35,7 @@ BUCKET_BITS = 16
 SWITCH = 8.0          # nats a change of language costs
 SCRIPT_SHARE = 0.005  # a language is a candidate for a script with at least this share of its letters
 UND = "und"
-TEXT_BLOCK = 2 << 20
+TEXT_BLOCK = 1 << 20  # bytes of text judged or counted at once (or one text)
 _U = np.uint64
 
 # First code points of script ranges; a range ends where the next begins. Fixed values (Unicode blocks).
@@ -78,6 +78,7 @@ class LetterWords:
         self.heads = np.cumsum(width) - width
         self.n_docs = len(texts)
         cp = np.frombuffer(b"".join(raw), np.uint32)
+        del raw           # what is done with goes at once: a worker shares its memory with the other tasks' ones
         low = lower[cp]
         letter = low > 0
         begins = letter.copy()
@@ -89,14 +90,18 @@ class LetterWords:
         where = np.flatnonzero(begins[at])          # each word's first place among the letters
         self.size = np.diff(where, append=len(at))
         self.letters = low[at]
+        del low, letter, begins
         self.where = where
         self.script = script[cp[self.start]]
         self.first = np.searchsorted(self.start, np.r_[self.heads, len(cp)])
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
         if len(where):
-            pos = np.arange(len(at), dtype=np.int32) - np.repeat(where.astype(np.int32), self.size)
-            p = vec.powers(int(self.size.max()) + 1)
-            self.hash = vec.mix(np.add.reduceat(code[self.letters] * p[pos], where))
+            pos = np.arange(len(at), dtype=np.int32)
+            del at, cp
+            pos -= np.repeat(where.astype(np.int32), self.size)
+            value = code[self.letters]
+            value *= vec.powers(int(self.size.max()) + 1)[pos]
+            self.hash = vec.mix(np.add.reduceat(value, where))
         else:
             self.hash = np.zeros(0, np.uint64)
 
@@ -202,7 +207,7 @@ def _count(languages: list[str]):
     def run(batches):
         grams = np.zeros((len(languages), len(ORDERS) << BUCKET_BITS), np.int32)
         scripts = np.zeros((len(languages), len(NAMES)), np.int64)
-        for b in vec.blocks(batches):
+        for b in vec.blocks(batches, limit=TEXT_BLOCK):
             lang = np.array([at[x] for x in b.column("lang").to_pylist()])
             w = LetterWords(vec.strings(b.column("text")).to_pylist())
             if not len(w.start):

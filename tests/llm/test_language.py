@@ -123,3 +123,17 @@ def test_dirty_language_column(make_docs, monkeypatch):
     rows = [(i, prose(rng, "en", 10), "en") for i in range(20)] + [(i, prose(rng, "de", 10), "de") for i in range(10)]
     rows += [(i, "junk words", f"x{i}") for i in range(30)]
     assert L.train(make_docs(rows)).languages == ["de", "en"]
+
+
+def test_a_block_of_words_holds_few_bytes_a_character():
+    import tracemalloc
+
+    from pagesieve.llm import language as L
+    texts = ["plain words of some text " * 4000] * 10
+    L.LetterWords(texts[:1])        # the tables and powers are made once
+    tracemalloc.start()
+    w = L.LetterWords(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.start) == 10 * 4000 * 5 and len(set(w.hash.tolist())) == 5
+    assert peak < 42 * sum(map(len, texts)) and L.TEXT_BLOCK <= 1 << 20
