@@ -145,6 +145,31 @@ def test_embedding_by_word_equals_that_by_entry(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
 
 
+def test_entries_are_not_shuffled(spark):
+    rows = [tuple(r) for r in documents(spark).collect()] + [
+        (12, "another, longer text of that id!", 0), (40, None, 1), (41, "\u00e9\u00e9 \U0001f600\U0001f600 __url__ abcabcabc", 1)]
+    docs = spark.createDataFrame(rows, kinds := "doc_id long, text string, label int")
+    prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=97))        # words share buckets
+    plan = TR.with_entries(prep.rows, docs, prep.how)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Join")
+    got = {(r.doc_id, r.bucket): (r.n_ids, round(r.w, 9), r.occ) for r in MD.entries_of(prep.examples).collect()}
+    assert not TR.is_written(spark, prep.word_ids_at)       # only those who ask for it write it
+    one = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], kinds)     # one text after another, then summed by id
+    want = {}
+    for r in MD.doc_bucket_weights(NG.word_occurrences(one, "doc_id", "text"), NG.encode(one, "doc_id", "text", 3, 4, 97)).collect():
+        n = want.setdefault((rows[r.doc_id][0], r.bucket), [0.0, 0])
+        n[0] += r.w
+        n[1] += r.occ
+    ids = {d: sum(occ for (x, _), (_, occ) in want.items() if x == d) for d, _ in want}
+    assert got == {(d, b): (ids[d], round(w, 9), occ) for (d, b), (w, occ) in want.items()}
+    assert prep.examples.where("doc_id = 40").first().entries is None
+    got = {r.word: (r.n_ids_w, sorted(map(tuple, r.ids))) for r in prep.word_ids.collect()}
+    words = prep.words.select("word").distinct()
+    per = NG.word_grams(words, 3, 4, 97).groupBy("word", "bucket").count().collect()
+    assert got == {w: (sum(r["count"] for r in per if r.word == w), sorted((r.bucket, r["count"]) for r in per if r.word == w))
+                   for w in {r.word for r in per}}
+
+
 def test_studies_of_a_stored_model(spark):
     how = TR.Inputs(min_freq=1, buckets=997)
     cfg = MD.TrainConfig(emb_size=3, lr=0.5, epochs=2, batch_size=4)
