@@ -1,5 +1,6 @@
 """Training over several batches against numpy; prepared inputs, stored models and studies against brute force."""
 import hashlib
+import uuid
 
 import numpy as np
 import pytest
@@ -147,7 +148,7 @@ def test_embedding_by_word_equals_that_by_entry(spark):
 
 def test_entries_are_not_shuffled(spark):
     rows = [tuple(r) for r in documents(spark).collect()] + [
-        (12, "another, longer text of that id!", 0), (40, None, 1), (41, "\u00e9\u00e9 \U0001f600\U0001f600 __url__ abcabcabc", 1)]
+        (12, f"another, longer text of that id! {uuid.uuid4().hex}", 0), (40, None, 1), (41, "\u00e9\u00e9 \U0001f600\U0001f600 __url__ abcabcabc", 1)]
     docs = spark.createDataFrame(rows, kinds := "doc_id long, text string, label int")
     prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=97))        # words share buckets
     plan = TR.with_entries(prep.rows, docs, prep.how)._jdf.queryExecution().optimizedPlan().toString()
