@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesieve import constants as K
+from pagesieve.functions import grams as GR
+from pagesieve.operators import clean as CL
 from pagesieve.operators import model as MD
 from pagesieve.operators import ngrams as NG
 from pagesieve.operators import training as TR
@@ -217,3 +219,58 @@ def test_initial_vectors_are_one_expression(spark):
         want = 0.1 * MD.np_std_normal([f"3:v:{b}:{j}" for j in range(50)])
         assert max(abs(x - y) for x, y in zip(rows[b], want)) < 1e-12
     assert len(rows) == 3 and got.columns == ["bucket", *[f"e{j}" for j in range(50)]]
+
+
+def test_table_made_in_tasks_equals_the_expression(spark):
+    buckets = spark.createDataFrame([(1,), (77,), (77,), (499999,)], "bucket long")
+    want = {r.bucket: list(r)[1:] for r in MD.init_vocab(buckets, 5, 3).collect()}
+    got = MD.init_table(buckets, 5, 3)
+    assert got.columns == MD.init_vocab(buckets, 5, 3).columns
+    rows = {r.bucket: list(r)[1:] for r in got.collect()}
+    assert rows.keys() == want.keys() and all(np.allclose(rows[b], want[b], rtol=0, atol=1e-15) for b in want)
+
+
+def test_examples_meet_the_table_without_a_shuffle_of_entries(spark, monkeypatch):
+    docs = documents(spark).unionByName(documents(spark).where("doc_id = 12"))      # an id twice: the sum over its rows
+    prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=997))
+    table = MD.init_vocab(MD.entries_of(prep.examples).where("bucket % 3 > 0"), 4, 5)         # some buckets are unknown
+    num = list(K.NUM_COLUMNS)
+    dense = MD.Dense(MD.init_dense(4 + len(num), 2, 1), np.array([0.25, -0.5]), 4, num)
+    want = {r.doc_id: tuple(r)[1:] for r in MD.embed_docs(MD.entries_of(prep.examples), table, 4).collect()}
+    got = MD.embed_examples(prep.examples, table, 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Aggregate") < plan.index("MapInArrow")
+    got = {r.doc_id: tuple(r)[1:] for r in got.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
+    monkeypatch.setattr(MD, "BROADCAST_TABLE", 0)
+    joined = {r.doc_id: tuple(r)[1:] for r in MD.embed_examples(prep.examples, table, 4).collect()}
+    assert joined.keys() == want.keys()
+    halves = table.unionByName(table.select("bucket", *[(-F.col(f"e{k}") / 2).alias(f"e{k}") for k in range(4)]))   # rows of a bucket are summed
+    for t in (table, halves):
+        a, b = (sorted((r.doc_id, r.label, r.z0, r.z1, r.p0, r.p1) for r in x.collect()) for x in (
+            MD.predict(MD.inputs(prep.examples, t, dense), dense), MD.predict_examples(prep.examples, t, dense)))
+        assert len(a) == len(LABELS) + 2 * 2 - 1 and np.allclose(a, b, atol=1e-12)
+
+
+def test_batches_of_near_ranks_are_dealt_once(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("x"))
+    want = {r.doc_id: r.batch_id for r in CL.epoch_batches(df, 4, 16).collect()}
+    near = CL.epoch_batches(df, 4, 16, near=16)
+    assert {r.doc_id: r.batch_id for r in near.collect()} == want
+    parts = near.select("batch_id", F.spark_partition_id().alias("p")).distinct().groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in parts) <= 2.2 * len(parts)       # a batch is written by its own and its neighbour's task
+
+
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    monkeypatch.setattr(GR, "TOKENS_AT_ONCE", 3)
+    rows = [(1, f"b a b, {uuid.uuid4().hex}"), (1, "b"), (2, None), (3, ""), (4, "éé \U0001f600 b b")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, label int").coalesce(1)
+    prep = TR.prepared(spark, docs, TR.Inputs(masked=False, buckets=97))
+    toks = docs.select("doc_id", NG.split_tokens(F.col("text")).alias("t")).where("size(t) > 0").collect()
+    want = sorted((r.doc_id, len(r.t), w, r.t.count(w)) for r in toks for w in set(r.t))
+    assert sorted(tuple(r) for r in prep.words.collect()) == want
+    got, plain = (sorted((r.doc_id, r.n_ids, r.bucket, round(r.w, 12), r.occ) for r in MD.entries_of(x).collect()) for x in (
+        prep.examples, TR.with_entries(prep.rows, docs, prep.how)))
+    assert got == plain and len(got) > 0
+    plan = TR.with_entries(prep.rows, prep.texts, prep.how)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
