@@ -274,3 +274,20 @@ def test_texts_are_taken_apart_once(spark, monkeypatch):
     assert got == plain and len(got) > 0
     plan = TR.with_entries(prep.rows, prep.texts, prep.how)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan
+
+
+def test_texts_meet_a_small_table_without_a_shuffle_of_words(spark, monkeypatch):
+    rows = [tuple(r) for r in documents(spark).collect()] + [
+        (12, f"again that id {uuid.uuid4().hex}", 0), (40, None, 1), (41, "éé \U0001f600 __url__ abcabcabc", 1), (42, "lonelywordx", 0)]
+    prep = TR.prepared(spark, spark.createDataFrame(rows, "doc_id long, text string, label int"), TR.Inputs(masked=False, buckets=997))
+    lone = [b for _, own in GR.word_ids(["lonelywordx"], 3, 4, 997) for b in own.tolist()]
+    table = MD.init_vocab(TR.word_entries(prep).where(~F.col("bucket").isin(lone)), 3)     # some buckets are unknown
+    monkeypatch.setattr(GR, "TOKENS_AT_ONCE", 5)
+    got = TR.embed_by_word(prep, table, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan       # the count of an id's rows; no word is a row
+    got = {r.doc_id: tuple(r)[1:] for r in got.collect()}
+    monkeypatch.setattr(MD, "BROADCAST_TABLE", 0)
+    want = {r.doc_id: tuple(r)[1:] for r in TR.embed_by_word(prep, table, 3).collect()}
+    assert got.keys() == want.keys() and {12, 41} <= got.keys() and not {40, 42} & got.keys()
+    assert all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
