@@ -3,6 +3,7 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,72 @@ def test_texts_meet_a_small_table_without_a_shuffle_of_words(spark, monkeypatch)
     want = {r.doc_id: tuple(r)[1:] for r in TR.embed_by_word(prep, table, 3).collect()}
     assert got.keys() == want.keys() and {12, 41} <= got.keys() and not {40, 42} & got.keys()
     assert all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
+
+
+@pytest.mark.parametrize("cfg", [MD.TrainConfig(emb_size=3, lr=0.3, reg_lambda=1e-3, max_grad_norm=0.05),
+                                 MD.TrainConfig(emb_size=3, lr=0.1, reg_lambda=1e-2, with_features=False, per_distinct=False)])
+def test_a_block_steps_through_parts_in_any_order(monkeypatch, cfg):
+    rng, E, nf = np.random.default_rng(5), 3, 2 if cfg.with_features else 0
+    docs = []       # batch, id, label, n_ids, z, buckets, w, occ; an id twice, a label that is no class, texts without ids
+    for i in range(15):
+        b = np.sort(rng.choice(np.arange(1, 90), rng.integers(0, 12), replace=False))
+        docs.append((i // 5, str(i - (i == 7)), -1 if i == 3 else int(rng.integers(2)), float(max(len(b), 1)), rng.normal(size=nf), b,
+                     rng.random(len(b)), rng.integers(1, 4, len(b))))
+    V = {b: rng.normal(size=E) for b in range(1, 80)}       # the others are unknown
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), *[pa.list_(x) for x in (pa.float64(), pa.int32(), pa.float64(), pa.int32())]]
+    names = ["batch_id", "id", "label", "n_ids", "z", "bucket", "w", "occ"]
+    got = pa.record_batch([pa.array([x[k] for x in docs], t) for k, t in enumerate(kinds)], names)
+    got = got.append_column("keep", pa.array([[]] * len(docs), pa.list_(pa.float64())))
+    monkeypatch.setattr(MD, "PART_ENTRIES", 9)
+    monkeypatch.setattr(MD, "VECTORS_AT_ONCE", 7)
+    parts = list(MD.packed_parts([got]))
+    assert len(parts) > 3
+    keys = np.array(list(V), np.int32)
+    table = [pa.record_batch([pa.array([v], t) for v, t in zip(
+        [-1 if c == "batch_id" else keys[a:a + 30].tobytes() if c == "bucket" else
+         np.stack([V[b] for b in keys[a:a + 30]]).tobytes() if c == "w" else None for c in MD.PACKED], parts[0].schema.types)],
+        list(MD.PACKED)) for a in range(0, len(keys), 30)]
+    want = {i: (sum(len(x[5]) for x in docs if x[0] == i), 5) for i in range(3)}
+    W0 = MD.init_dense(E + nf, 2, 1, cfg.with_features)
+
+    def run(rows):
+        steps = MD.BlockSteps(W0, np.zeros(2), E, cfg, len(V), want)
+        out = [r for b in steps(iter(rows)) for r in b.to_pylist()]
+        vectors = {b: v for r in out if r["kind"] == 0 for b, v in zip(
+            np.frombuffer(r["bucket"], np.int32).tolist(), np.frombuffer(r["w"]).reshape(-1, E))}
+        return vectors, steps.W, steps.b, [np.frombuffer(r["w"])[0] for r in out if r["kind"] == 2]
+    W, bias, losses, vec = W0, np.zeros(2), [], {b: V.get(b, np.zeros(E)) for b in {*V, *(int(x) for d in docs for x in d[5])}}
+    for i in range(3):
+        batch = [x for x in docs if x[0] == i]
+        alike = [[y for y in batch if y[1] == x[1]] for x in batch]       # rows of an id share its entries
+        X = np.array([np.r_[sum((w * vec[b] for y in same for b, w in zip(y[5], y[6])), np.zeros(E)), x[4]] for x, same in zip(batch, alike)])
+        z, Y = X @ W + bias, np.array([[x[2] == c for c in (0, 1)] for x in batch])
+        P = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        scale = 1 / len(batch) if cfg.with_features else 1
+        reg = np.abs(W).sum() if cfg.with_features else 0.5 * (W ** 2).sum()
+        losses.append(-np.log([p[1 if x[2] == 1 else 0] for p, x in zip(P, batch)]).mean() + cfg.reg_lambda * reg)
+        G = P - Y
+        W, bias = MD.updated(W, bias, scale * X.T @ G, scale * G.sum(0), cfg)
+        for x, same in zip(batch, alike):
+            g = sum(G[k] for k, y in enumerate(batch) if y[1] == x[1])
+            for b, occ in zip(x[5], x[7]):
+                vec[b] = vec[b] - cfg.lr * scale * (1 if cfg.per_distinct else occ) / x[3] * (W[:E] @ g)
+    for rows in ([*table, *parts], [*parts[::-1], *table], [table[0], *parts[2:], *table[1:], *parts[:2]]):
+        vectors, w, b, told = run(rows)
+        assert np.allclose(w, W, atol=1e-12) and np.allclose(b, bias, atol=1e-12) and np.allclose(told, losses, atol=1e-12)
+        assert vectors.keys() == vec.keys() and all(np.allclose(vectors[k], vec[k], atol=1e-12) for k in vec)
+    with pytest.raises(ValueError, match="not whole"):
+        run([*table, *parts[1:]])
+
+
+def test_training_and_predictions_take_entries_as_bytes(spark):
+    how, cfg = TR.Inputs(min_freq=1, buckets=499), MD.TrainConfig(emb_size=3, epochs=1, batch_size=4)
+    m = TR.trained(spark, documents(spark), cfg, how)
+    assert [m.prepared.packed.schema[c].dataType.simpleString() for c in MD.ENTRY] == ["binary"] * 3
+    plan = MD.predict_examples(m.prepared.packed, m.vocab, m.dense)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "entries" not in plan       # no entry is a row, none is joined to the table
+    a, b = (sorted((r.doc_id, round(r.p0, 12), round(r.p1, 12)) for r in x.collect()) for x in (
+        MD.predict_examples(m.prepared.packed, m.vocab, m.dense), MD.predict_examples(m.prepared.examples, m.vocab, m.dense)))
+    assert a == b and len(a) == len(LABELS)
+    want = {r.doc_id: tuple(r) for r in MD.embed_examples(m.prepared.examples, m.vocab, 3).collect()}
+    assert {r.doc_id: tuple(r) for r in MD.embed_examples(m.prepared.packed, m.vocab, 3).collect()} == want and want
